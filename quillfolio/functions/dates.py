@@ -157,7 +157,7 @@ def read_date(text: Column, month_first: Column | None = None) -> Column:
     day = F.when(month_first, second).otherwise(first)
     month = F.when(month_first, first).otherwise(second)
     return (
-        F.when(cell.rlike(ISO), _valid_date(_day(cell, ISO, 1), _day(cell, ISO, 2), _day(cell, ISO, 3)))
+        F.when(cell.rlike(ISO), F.try_to_date(F.substring(cell, 1, 10), "yyyy-MM-dd"))
         .when(
             cell.rlike(DAY_NAMED_MONTH),
             _valid_date(_day(cell, DAY_NAMED_MONTH, 3), _month_number(F.regexp_extract(cell, DAY_NAMED_MONTH, 2)), _day(cell, DAY_NAMED_MONTH, 1)),

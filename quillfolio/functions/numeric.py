@@ -79,8 +79,7 @@ def natural_scale(base: Column) -> Column:
 
 def clean_cell(text: Column) -> Column:
     """Cell text without surrounding blanks and one layer of quotes."""
-    trimmed = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    return F.regexp_replace(F.regexp_replace(trimmed, "^[\"']|[\"']$", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"""^\s*["']?\s*|\s*["']?\s*$""", "")
 
 
 def reported_number(text: Column) -> Column:
@@ -94,12 +93,15 @@ def reported_number(text: Column) -> Column:
 
 def cell_number(text: Column) -> Column:
     """Number in a price file: commas dropped, K/M/B suffixes expanded."""
-    bare = F.regexp_replace(clean_cell(text), ",", "")
+    bare = F.replace(clean_cell(text), F.lit(","), F.lit(""))
     suffix = F.upper(F.regexp_extract(bare, r"^-?\d*\.?\d+\s*([KMBkmb])$", 1))
     stem = F.regexp_extract(bare, r"^(-?\d*\.?\d+)\s*[KMBkmb]$", 1).try_cast("double")
     factor = F.create_map(*[F.lit(x) for kv in SUFFIX_FACTORS.items() for x in kv])[suffix]
-    plain = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
-    return F.when(bare.isin("", "-", "N/A"), None).when(suffix != "", stem * factor).otherwise(plain)
+    # The common case first, so that most cells meet one pattern only.
+    return (
+        F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
+        .when(bare.isin("", "-", "N/A"), None).when(suffix != "", stem * factor)
+    )
 
 
 def same_number(a: Column, b: Column) -> Column:

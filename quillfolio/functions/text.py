@@ -30,13 +30,14 @@ def company_from_file(file_name: Column) -> Column:
 
 def cell_text(html: Column) -> Column:
     """Text of one table cell: tags out, entities resolved, blanks collapsed."""
-    text = F.regexp_replace(html, r"<[^>]*>", " ")
+    bare = F.regexp_replace(html, r"<[^>]*>", " ")
+    text = bare
     for entity, plain in ENTITIES.items():
         text = F.regexp_replace(text, "(?i)" + entity, plain)
     # An ampersand is resolved last, so its result is not read as an entity again.
     text = F.regexp_replace(text, r"(?i)&(?!amp;)([a-z]+|#x?[0-9a-f]+);", " ")
     text = F.regexp_replace(text, "(?i)&amp;", "&")
-    return clean_cell(F.regexp_replace(text, r"\s+", " "))
+    return clean_cell(F.regexp_replace(F.when(bare.contains("&"), text).otherwise(bare), r"\s+", " "))
 
 
 def html_rows(html: Column) -> Column:

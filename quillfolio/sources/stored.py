@@ -96,8 +96,8 @@ def targets_listing(targets: DataFrame, companies: DataFrame, accounts: DataFram
 
 def oldest_duplicates(rows: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """Rows to drop because an older row has the same keys (missing keys are equal)."""
-    first = rows.groupBy(*keys).agg(F.min(row_id).alias("keep_id"))
+    first = rows.groupBy(*keys).agg(F.min(row_id).alias("keep_id")).alias("f")
     same = F.lit(True)
     for k in keys:
-        same = same & rows[k].eqNullSafe(first[k])
-    return rows.join(first, same).filter(F.col(row_id) > F.col("keep_id")).select(*[rows[c] for c in rows.columns], "keep_id")
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}"))
+    return rows.alias("r").join(first, same).filter(F.col(f"r.{row_id}") > F.col("keep_id")).select("r.*", "keep_id")

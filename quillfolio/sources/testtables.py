@@ -307,3 +307,187 @@ class TestTables:
                      F.when((n == 1) & (F.col("account_id") != "FURNITURE"), 0.0).otherwise(100.0 * n).alias("opening_balance"))
             .filter(~gap)
         )
+
+    # -- dividends and statements ---------------------------------------------
+
+    def receivables(self) -> DataFrame:
+        """Declared, unpaid dividends on month-end statements: from record date until paid."""
+        x = self.transactions().filter("record_date is not null and txn_type = 'dividend'")
+        lines = x.groupBy("account_id", "symbol", "record_date", F.last_day("record_date").alias("as_of")).agg(
+            (F.sum(_cents(F.col("gross_amount"))) / 100).alias("entitlement"), F.count(F.lit(1)).alias("n"), F.max("trade_date").alias("_paid")
+        ).filter("as_of < _paid")
+        return lines.select(
+            "account_id", "as_of", F.concat(F.lit("Company "), F.col("symbol")).alias("company_name"), "symbol",
+            (F.col("n") * 100.0).alias("holding"), (F.col("entitlement") / (F.col("n") * 100)).alias("rate"), "entitlement", "record_date",
+        )
+
+    def credits(self) -> DataFrame:
+        """Dividend cash credited between consecutive month-end statements."""
+        w = W.partitionBy("account_id").orderBy("as_of")
+        s = self.snapshots().select("account_id", "as_of", "cash_dividend")
+        return s.select(
+            "account_id", "as_of", F.lead("as_of").over(w).alias("next_as_of"),
+            round_half_up(F.lead("cash_dividend").over(w) - F.col("cash_dividend")).alias("credited"),
+        ).filter("next_as_of is not null")
+
+    def declared(self) -> DataFrame:
+        """Cash dividends declared per company, some carrying restated decimals."""
+        a = self.corporate_actions().filter("action_type = 'cash_dividend' and ex_date is not null")
+        k = F.col("action_id") % 6
+        return a.select(
+            "symbol", "ex_date", (F.col("cash_pct") / 10 + F.when(k == 0, 0.0123).otherwise(0.0)).alias("amount"), (k == 0).alias("restated"), "action_id",
+        )
+
+    def statement_holdings(self, as_of: str = "2001-03-31") -> DataFrame:
+        """A broker's holdings on a date: the ledger's, with some lines differing."""
+        from ..operators.ledger import day_states
+
+        upto = self.transactions().filter(F.col("trade_date") <= F.lit(as_of).cast("date"))
+        held = day_states(upto).groupBy("account_id", "symbol").agg(F.max_by(F.struct("q", "c"), "trade_date").alias("s")).select("account_id", "symbol", "s.*")
+        k = F.substring("symbol", 2, 6).cast("long")
+        return held.filter(((F.col("q") > 0) | (k % 13 == 0)) & (k % 11 != 0)).select(
+            "account_id", "symbol",
+            (F.col("q") + F.when(k % 9 == 0, 10.0).when(k % 9 == 1, -1.0).otherwise(0.0)).alias("quantity"),
+            (F.col("c") + F.when(k % 7 == 0, 1.0).when(k % 9 == 0, F.col("c") * 0.1).otherwise(0.0)).alias("cost_amount"),
+        ).filter("quantity > 0")
+
+    def report_lines(self) -> DataFrame:
+        """Dividend report lines: one per (account, symbol, record date) of the ledger's dividends."""
+        k = F.substring("symbol", 2, 6).cast("long")
+        rows = self.transactions().filter("record_date is not null and txn_type = 'dividend'").groupBy("account_id", "symbol", "record_date").agg(
+            (F.sum(_cents(F.col("gross_amount"))) / 100).alias("gross"), F.min("txn_id").alias("line_id")
+        )
+        return rows.select(
+            F.col("account_id").alias("report_id"), F.concat_ws("/", "account_id", "symbol", "record_date").alias("line_id"), "account_id",
+            F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0"), F.when(k % 3 == 0, " Ltd.").otherwise("")).alias("company_name"),
+            F.when(k % 5 == 0, "elsewhere").otherwise("broker").alias("paid_via"),
+            F.when(k % 4 == 0, F.date_add("record_date", 200)).otherwise(F.col("record_date")).alias("record_date"),
+            F.lit(100.0).alias("holding"), (F.col("gross") + F.when(k % 6 == 0, 1.0).otherwise(0.0)).alias("gross"),
+            F.when(k % 7 != 0, round_half_up(F.col("gross") * 0.1)).alias("tax"),
+        )
+
+    # -- raw inputs -------------------------------------------------------------
+
+    def price_file_lines(self) -> DataFrame:
+        """Price files, one per company, written four ways, with repeats, junk and padding."""
+        p = self.daily_prices()
+        k, day, doy = F.substring("symbol", 2, 2).cast("int"), F.datediff("trade_date", F.lit("1990-01-01").cast("date")), F.dayofyear("trade_date")
+        style = k % 4
+
+        def money(c: Column) -> Column:
+            return F.when(style == 3, F.format_number(c, 2)).otherwise(F.format_string("%.2f", c))
+
+        def line(close: Column) -> Column:
+            o, h, l, c = money(F.col("open")), money(F.col("high")), money(F.col("low")), money(close)
+            vol = F.format_string("%.0f", F.col("volume"))
+            q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+            decoy = F.lit("1.00")
+            return (
+                F.when(style == 0, F.concat_ws(",", F.date_format("trade_date", "yyyy-MM-dd"), "symbol", decoy, h, l, o, c, decoy, vol))
+                .when(style == 1, F.concat_ws("\t", F.date_format("trade_date", "dd/MM/yyyy"), F.lower("symbol"), decoy, c, h, l, o, vol))
+                .when(style == 2, F.concat_ws(";", F.date_format("trade_date", "MM/dd/yyyy"), "symbol", c, o, h, l, vol))
+                .otherwise(F.concat_ws(",", q(F.date_format("trade_date", "MMM d, yyyy")), q("symbol"), q(c), q(o), q(h), q(l), q(F.concat(F.format_string("%.3f", F.col("volume") / 1000), F.lit("K")))))
+            )
+
+        def at(n: int, text: Column) -> Column:
+            return F.struct((day * 4 + n).cast("long").alias("line_no"), text.alias("line"))
+
+        body = p.select(_file_name(F.col("symbol")).alias("file"), F.inline(F.array_compact(F.array(
+            F.when(doy % 10 == 0, at(0, line(F.col("close") + 100))), at(1, line(F.col("close"))),
+            F.when(doy % 17 == 0, at(2, F.when(style == 2, "not a date;x;-").when(style == 1, "not a date\tx\t-\t-").otherwise("not a date,x,-"))),
+            F.when(doy % 23 == 0, at(3, F.when(style == 2, ";;;").when(style == 1, "\t\t").otherwise(",,,"))),
+        ))))
+        head = (
+            F.when(style == 0, "DATE,TRADING CODE,LTP*,HIGH,LOW,OPENP*,CLOSEP*,YCP,VOLUME").when(style == 1, "Trade_Date\tSymbol\tPrice\tClose\tHigh\tLow\tOpen\tVol.")
+            .when(style == 2, "Date;Code;Close;Open;High;Low;Volume").otherwise('"Date","Ticker","Last Price","Open","High","Low","Volume"')
+        )
+        heads = p.select("symbol").distinct().select(_file_name(F.col("symbol")).alias("file"), F.lit(0).cast("long").alias("line_no"), head.alias("line"))
+        return heads.unionByName(body)
+
+    def archive_pages(self) -> DataFrame:
+        """Day-end HTML pages, one per company and year, the price table among others."""
+        p = self.daily_prices()
+        cell = lambda c: F.concat(F.lit("<td> "), c, F.lit("&nbsp;</td>"))
+        money = lambda c: cell(F.format_number(F.col(c), 2))
+        row = F.concat(F.lit("<tr>"), cell(F.lit("1")), cell(F.date_format("trade_date", "yyyy-MM-dd")), cell(F.concat(F.lit("<a href='#'>"), "symbol", F.lit("</a>"))),
+                       cell(F.lit("1.0")), money("high"), money("low"), money("open"), money("close"), cell(F.format_string("%.0f", "volume")), F.lit("</tr>"))
+        head = "<tr><th>#</th><th>DATE</th><th>TRADING CODE</th><th>LTP*</th><th>HIGH</th><th>LOW</th><th>OPENP*</th><th>CLOSEP*</th><th>VOLUME</th></tr>"
+        rows = p.groupBy("symbol", F.year("trade_date").alias("year")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+        return rows.select(
+            F.concat_ws("/", "symbol", "year").alias("file"),
+            F.concat(F.lit("<html><table><tr><td>Ticker</td><td>Up</td></tr><tr><td>x</td><td>1</td></tr></table><TABLE class='t'>"), F.lit(head), "rows", F.lit("</TABLE></html>")).alias("html"),
+        )
+
+    def pasted_dividends(self) -> DataFrame:
+        """Pasted dividend tables, one document per company, in three shapes."""
+        d = self.declared()
+        k = F.substring("symbol", 2, 2).cast("int") % 3
+        ex, pay = F.col("ex_date"), F.date_add("ex_date", 30)
+        amount = F.format_string("%.4f", "amount")
+        td = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+        row = (
+            F.when(k == 0, F.concat_ws("\t", F.date_format(ex, "MMM dd, yyyy"), amount, F.lit("Annual"), F.date_format(pay, "MMM dd, yyyy")))
+            .when(k == 1, F.concat(F.lit("<tr>"), td(F.date_format(ex, "dd-MMM-yyyy")), td(amount), td(F.date_format(pay, "yyyy-MM-dd")), F.lit("</tr>")))
+            .otherwise(F.concat_ws(";", F.lit("row"), F.date_format(ex, "yyyy-MM-dd"), F.lit("-"), amount, F.date_format(pay, "yyyy-MM-dd")))
+        )
+        docs = d.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(ex, row.alias("row")))).alias("r"))
+        body = F.array_join(F.transform("r", lambda x: x["row"]), "\n")
+        junk = F.when(k == 1, "<tr><td>none</td><td>-</td></tr>").otherwise("no figures here")
+        return docs.select(
+            F.col("symbol").alias("doc_id"),
+            F.when(k == 0, F.concat(F.lit("Ex-Dividend Date\tDividend\tType\tPayment Date\n"), body, F.lit("\n"), junk))
+            .when(k == 1, F.concat(F.lit("<table><tr><th>Ex Date</th><th>Cash Dividend</th><th>Pay Date</th></tr>"), body, junk, F.lit("</table>")))
+            .otherwise(F.concat(body, F.lit("\n"), junk)).alias("text"),
+        )
+
+    def boards(self) -> DataFrame:
+        """One JSON board per trading day, keyed by code, with a few unusable items."""
+        p = self.daily_prices()
+        k, day = F.substring("symbol", 2, 2).cast("int"), F.dayofyear("trade_date")
+        n = (k + day) % 40
+        item = F.struct(
+            F.col("open").alias("open"), F.when(n == 1, F.col("low") / 2).otherwise(F.col("high")).alias("high"), F.col("low").alias("low"),
+            F.when(n == 2, 0.0).when(n == 3, F.col("high") * 1.01).when(n == 4, F.col("low") * 0.9).otherwise(F.col("close")).alias("close"),
+            F.col("trade_count").alias("trades"), F.col("volume").cast("long").alias("volume"), (F.col("turnover") / 1e6).alias("value"),
+            F.when(n == 5, "soon").otherwise(F.concat(F.date_format("trade_date", "yyyy-MM-dd"), F.lit(" 14:05:53"))).alias("updated_at"),
+        )
+        listed = p.filter(n != 6).groupBy("trade_date").agg(F.map_from_entries(F.collect_list(F.struct(F.when(k % 2 == 0, F.lower("symbol")).otherwise(F.col("symbol")), item))).alias("m"))
+        return listed.select(F.date_format("trade_date", "yyyy-MM-dd").alias("board_id"), F.to_json("m").alias("payload"))
+
+    def datasets(self) -> DataFrame:
+        """Figures as arrays per tag aligned by year, one row per company."""
+        f = self.figures()
+        rows = f.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("fiscal_year", *TAGS))).alias("r"))
+        pairs = [x for t in TAGS for x in (F.lit(t), F.col(f"r.{t}"))]
+        return rows.select("symbol", F.col("r.fiscal_year").alias("fiscal_years"), F.create_map(*pairs).alias("data"))
+
+    def ledger_lines(self) -> tuple[DataFrame, DataFrame]:
+        """Printed ledger lines with a running balance, one import per customer, and the imports."""
+        x = self.transactions("c_custkey").filter("txn_type in ('buy', 'sell', 'rights')")
+        side = F.when(F.col("txn_type") == "sell", "sell").otherwise("buy")
+        cents = F.floor(F.col("quantity") * F.col("price_per_share") * 100 + F.lit(0.5)).cast("long")
+        fee = F.floor(F.col("commission") * 100 + F.lit(0.5)).cast("long")
+        w = W.partitionBy("account_id").orderBy("trade_date", "symbol", "txn_id")
+        # A customer trades a few dozen times, so the printed balance is one window.
+        rows = x.select("account_id", "symbol", "trade_date", "txn_id", "quantity", "price_per_share", side.alias("kind"), cents.alias("a"), fee.alias("f"))
+        rows = rows.withColumn("cash", F.when(F.col("kind") == "buy", -(F.col("a") + F.col("f"))).otherwise(F.col("a") - F.col("f")))
+        rows = rows.withColumns({"line_no": F.row_number().over(w), "run": F.sum("cash").over(w.rowsBetween(W.unboundedPreceding, 0))})
+        opening = F.lit(100000000)
+        off = F.when(F.col("txn_id") % 97 == 0, 500).otherwise(0)
+        lines = rows.select(
+            F.col("account_id").alias("import_id"), "line_no", "account_id", F.col("trade_date").alias("line_date"), "kind", "symbol", "quantity",
+            round_half_up(F.col("price_per_share")).alias("rate"), (F.col("a") / 100).alias("amount"), (F.col("f") / 100).alias("commission"),
+            F.when(F.col("kind") == "buy", (F.col("a") + F.col("f") + F.when(F.col("txn_id") % 89 == 0, 7).otherwise(0)) / 100).otherwise(0.0).alias("debit"),
+            F.when(F.col("kind") == "sell", (F.col("a") - F.col("f")) / 100).otherwise(0.0).alias("credit"),
+            ((opening + F.col("run") + off) / 100).alias("balance"),
+        )
+        imports = rows.groupBy(F.col("account_id").alias("import_id")).agg(
+            F.lit(1000000.0).alias("opening_balance"), ((opening + F.sum("cash")) / 100).alias("closing_balance"), (F.sum("f") / 100).alias("total_commission"),
+            (F.sum(F.when(F.col("kind") == "buy", F.col("a") + F.col("f")).otherwise(0)) / 100).alias("total_debit"),
+            (F.sum(F.when(F.col("kind") == "sell", F.col("a") - F.col("f")).otherwise(0)) / 100 + F.when(F.col("import_id").cast("long") % 50 == 0, 3.0).otherwise(0.0)).alias("total_credit"),
+        )
+        return lines, imports
+
+
+def _file_name(symbol: Column) -> Column:
+    return F.concat(symbol, F.lit("_Stock-Price+History (1).csv"))

@@ -148,9 +148,9 @@ def _valid_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
-def read_date(text: Column, month_first: Column | None = None) -> Column:
+def read_date(text: Column, month_first: Column | None = None, cleaned: bool = False) -> Column:
     """First of ISO, named-month and slashed forms that fits; null if none does."""
-    cell = clean_cell(text)
+    cell = text if cleaned else clean_cell(text)
     first, second = _day(cell, SLASHED, 1), _day(cell, SLASHED, 2)
     if month_first is None:
         month_first = F.lit(False)

@@ -91,9 +91,9 @@ def reported_number(text: Column) -> Column:
     return F.when(~trimmed.isin("", "-", "—", "N/A"), signed)
 
 
-def cell_number(text: Column) -> Column:
+def cell_number(text: Column, cleaned: bool = False) -> Column:
     """Number in a price file: commas dropped, K/M/B suffixes expanded."""
-    bare = F.replace(clean_cell(text), F.lit(","), F.lit(""))
+    bare = F.replace(text if cleaned else clean_cell(text), F.lit(","), F.lit(""))
     suffix = F.upper(F.regexp_extract(bare, r"^-?\d*\.?\d+\s*([KMBkmb])$", 1))
     stem = F.regexp_extract(bare, r"^(-?\d*\.?\d+)\s*[KMBkmb]$", 1).try_cast("double")
     factor = F.create_map(*[F.lit(x) for kv in SUFFIX_FACTORS.items() for x in kv])[suffix]

@@ -7,7 +7,7 @@ from ..functions.dates import read_date
 from ..functions.numeric import cell_number, clean_cell
 from ..functions.text import cell_text, delimiter_of, html_rows, split_cells
 from ..operators.dividends import looks_restated
-from .price_tables import column_index, heading_names
+from .price_tables import column_index, heading_names, once
 
 # Heading names per field; earlier names win over later ones.
 ALIASES = {
@@ -49,19 +49,17 @@ def read_dividends(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     j = rows.join(heads, "doc_id").filter(~headed | (F.col("pos") > 0))
     at = lambda f: F.get("cells", F.col(f"at_{f}"))
     # Without headings: the first date, and the first amount above zero after it.
-    dated = F.transform("cells", lambda c: read_date(c))
-    j = j.withColumn("_dates", dated)
+    j = once(j, j.columns, {"_dates": F.transform("cells", lambda c: read_date(c))})
     first = F.array_position(F.transform("_dates", lambda d: d.isNotNull()), True)
     after = F.slice("cells", F.greatest(first, F.lit(1)) + 1, F.size("cells"))
-    loose_amount = F.get(F.filter(F.transform(after, cell_number), lambda v: v > 0), F.lit(0))
+    loose_amount = F.get(F.filter(F.transform(after, lambda c: cell_number(c)), lambda v: v > 0), F.lit(0))
     loose_paid = F.get(F.filter(F.slice("_dates", F.greatest(first, F.lit(1)) + 1, F.size("cells")), lambda d: d.isNotNull()), F.lit(0))
-    read = j.select(
-        "doc_id", "pos", "cells",
-        F.when(headed, read_date(at("ex"))).otherwise(F.when(first > 0, F.get("_dates", (first - 1).cast("int")))).alias("ex_date"),
-        F.when(headed, cell_number(at("amount"))).otherwise(F.when(first > 0, loose_amount)).alias("amount"),
-        F.when(headed, read_date(at("payment"))).otherwise(F.when(first > 0, loose_paid)).alias("payment_date"),
-        F.when(headed, F.nullif(clean_cell(at("kind")), F.lit(""))).alias("kind"),
-    )
+    read = once(j, ["doc_id", "pos", "cells"], {
+        "ex_date": F.when(headed, read_date(at("ex"))).otherwise(F.when(first > 0, F.get("_dates", (first - 1).cast("int")))),
+        "amount": F.when(headed, cell_number(at("amount"))).otherwise(F.when(first > 0, loose_amount)),
+        "payment_date": F.when(headed, read_date(at("payment"))).otherwise(F.when(first > 0, loose_paid)),
+        "kind": F.when(headed, F.nullif(clean_cell(at("kind")), F.lit(""))),
+    })
     ok = F.col("ex_date").isNotNull() & F.col("amount").isNotNull()
     good = read.filter(ok & (F.col("amount") > 0)).groupBy("doc_id", "ex_date").agg(F.min_by(F.struct("amount", "payment_date", "kind"), "pos").alias("_r"))
     good = good.select("doc_id", "ex_date", "_r.*").withColumn("looks_restated", looks_restated(F.col("amount")))

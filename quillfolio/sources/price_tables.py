@@ -23,6 +23,16 @@ ALIASES = {
 }
 
 
+def once(df: DataFrame, keep: list[str], computed: dict[str, Column]) -> DataFrame:
+    """Columns computed once per row, whatever is filtered on them later.
+
+    A filter is pushed through a projection by copying its expressions into the
+    condition, which for cell reading means every pattern many times over; it is
+    not pushed through a generator, so the row is built by one.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in computed.items()]))))
+
+
 def heading_names(cells: Column) -> Column:
     """Headings in lower case, marks as blanks."""
     def plain(cell: Column) -> Column:
@@ -96,8 +106,9 @@ def date_orders(body: DataFrame, columns: DataFrame) -> DataFrame:
     """Which way round each file writes slashed dates, from all of its rows."""
     cell = F.col("_cell")
     part = lambda g: F.regexp_extract(cell, SLASHED, g).try_cast("int") > 12
-    dated = body.join(columns.select("file", "at_date"), "file").filter("at_date is not null").select(
-        "file", clean_cell(F.get("cells", F.col("at_date"))).alias("_cell")
+    dated = once(
+        body.join(columns.select("file", "at_date"), "file").filter("at_date is not null"), ["file"],
+        {"_cell": clean_cell(F.get("cells", F.col("at_date")))},
     )
     seen = dated.groupBy("file").agg(
         F.bool_or(part(1)).alias("_d"), F.bool_or(part(2)).alias("_m"), F.count_if(cell.rlike(SLASHED)).alias("slashed")
@@ -115,18 +126,16 @@ def read_price_rows(heads: DataFrame, body: DataFrame, fallback_symbol: str | No
     padding = F.forall("cells", lambda c: clean_cell(c) == "")
     at = lambda field: F.get("cells", F.col(f"at_{field}"))
     symbol = F.when(F.col("at_symbol").isNotNull(), F.nullif(F.upper(clean_cell(at("symbol"))), F.lit(""))).otherwise(F.lit(fallback_symbol))
-    # Cells are picked first, so that each is read once.
-    picked = j.filter(~padding).select(
-        "file", "line_no", "raw", "at_date", "at_close", "month_first", "conflict", symbol.alias("symbol"),
-        *[clean_cell(at(f)).alias(f"_{f}") for f in ("date", "close", "open", "high", "low", "volume")],
-    )
+    picked = once(j.filter(~padding), ["file", "line_no", "raw", "at_date", "at_close", "month_first", "conflict"], {
+        "symbol": symbol, **{f"_{f}": clean_cell(at(f)) for f in ("date", "close", "open", "high", "low", "volume")},
+    })
     at = lambda field: F.col(f"_{field}")
-    rows = picked.select(
-        "file", "line_no", "raw", "symbol", read_date(at("date"), F.coalesce("month_first", F.lit(False))).alias("trade_date"),
-        *[cell_number(at(f)).alias(f) for f in ("close", "open", "high", "low")], F.floor(cell_number(at("volume")) + 0.5).alias("volume"),
-        F.when(F.col("at_date").isNull(), "no date column").when(F.col("at_close").isNull(), "no closing price column")
-        .when(F.col("conflict"), "dates written both ways round").alias("_file_issue"),
-    )
+    rows = once(picked, ["file", "line_no", "raw", "symbol"], {
+        "trade_date": read_date(at("date"), F.coalesce("month_first", F.lit(False)), cleaned=True),
+        **{f: cell_number(at(f), cleaned=True) for f in ("close", "open", "high", "low")}, "volume": F.floor(cell_number(at("volume"), cleaned=True) + 0.5),
+        "_file_issue": F.when(F.col("at_date").isNull(), "no date column").when(F.col("at_close").isNull(), "no closing price column")
+        .when(F.col("conflict"), "dates written both ways round"),
+    })
     reason = (
         F.when(F.col("_file_issue").isNotNull(), F.col("_file_issue")).when(F.col("trade_date").isNull(), "unreadable date")
         .when(F.col("close").isNull(), "unreadable close").when(F.col("close") <= 0, "close not positive")

@@ -375,28 +375,28 @@ class TestTables:
         style = k % 4
 
         def money(c: Column) -> Column:
-            return F.when(style == 3, F.format_number(c, 2)).otherwise(F.format_string("%.2f", c))
+            return F.when(style == 3, F.format_number(c, 2)).otherwise(_decimal(c, 2))
 
         def line(close: Column) -> Column:
             o, h, l, c = money(F.col("open")), money(F.col("high")), money(F.col("low")), money(close)
-            vol = F.format_string("%.0f", F.col("volume"))
+            vol = F.col("volume").cast("long").cast("string")
             q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
             decoy = F.lit("1.00")
             return (
                 F.when(style == 0, F.concat_ws(",", F.date_format("trade_date", "yyyy-MM-dd"), "symbol", decoy, h, l, o, c, decoy, vol))
                 .when(style == 1, F.concat_ws("\t", F.date_format("trade_date", "dd/MM/yyyy"), F.lower("symbol"), decoy, c, h, l, o, vol))
                 .when(style == 2, F.concat_ws(";", F.date_format("trade_date", "MM/dd/yyyy"), "symbol", c, o, h, l, vol))
-                .otherwise(F.concat_ws(",", q(F.date_format("trade_date", "MMM d, yyyy")), q("symbol"), q(c), q(o), q(h), q(l), q(F.concat(F.format_string("%.3f", F.col("volume") / 1000), F.lit("K")))))
+                .otherwise(F.concat_ws(",", q(F.date_format("trade_date", "MMM d, yyyy")), q("symbol"), q(c), q(o), q(h), q(l), q(F.concat(_decimal(F.col("volume") / 1000, 3), F.lit("K")))))
             )
 
-        def at(n: int, text: Column) -> Column:
-            return F.struct((day * 4 + n).cast("long").alias("line_no"), text.alias("line"))
-
-        body = p.select(_file_name(F.col("symbol")).alias("file"), F.inline(F.array_compact(F.array(
-            F.when(doy % 10 == 0, at(0, line(F.col("close") + 100))), at(1, line(F.col("close"))),
-            F.when(doy % 17 == 0, at(2, F.when(style == 2, "not a date;x;-").when(style == 1, "not a date\tx\t-\t-").otherwise("not a date,x,-"))),
-            F.when(doy % 23 == 0, at(3, F.when(style == 2, ";;;").when(style == 1, "\t\t").otherwise(",,,"))),
-        ))))
+        n = F.col("_n")
+        junk = F.when(style == 2, "not a date;x;-").when(style == 1, "not a date\tx\t-\t-").otherwise("not a date,x,-")
+        padding = F.when(style == 2, ";;;").when(style == 1, "\t\t").otherwise(",,,")
+        wanted = F.array_compact(F.array(F.when(doy % 10 == 0, 0), F.lit(1), F.when(doy % 17 == 0, 2), F.when(doy % 23 == 0, 3)))
+        body = p.select("*", F.explode(wanted).alias("_n")).select(
+            _file_name(F.col("symbol")).alias("file"), (day * 4 + n).cast("long").alias("line_no"),
+            F.when(n == 2, junk).when(n == 3, padding).otherwise(line(F.col("close") + F.when(n == 0, 100.0).otherwise(0.0))).alias("line"),
+        )
         head = (
             F.when(style == 0, "DATE,TRADING CODE,LTP*,HIGH,LOW,OPENP*,CLOSEP*,YCP,VOLUME").when(style == 1, "Trade_Date\tSymbol\tPrice\tClose\tHigh\tLow\tOpen\tVol.")
             .when(style == 2, "Date;Code;Close;Open;High;Low;Volume").otherwise('"Date","Ticker","Last Price","Open","High","Low","Volume"')
@@ -408,9 +408,9 @@ class TestTables:
         """Day-end HTML pages, one per company and year, the price table among others."""
         p = self.daily_prices()
         cell = lambda c: F.concat(F.lit("<td> "), c, F.lit("&nbsp;</td>"))
-        money = lambda c: cell(F.format_number(F.col(c), 2))
+        money = lambda c: cell(F.format_number(F.col(c), 2) if c == "high" else _decimal(F.col(c), 2))
         row = F.concat(F.lit("<tr>"), cell(F.lit("1")), cell(F.date_format("trade_date", "yyyy-MM-dd")), cell(F.concat(F.lit("<a href='#'>"), "symbol", F.lit("</a>"))),
-                       cell(F.lit("1.0")), money("high"), money("low"), money("open"), money("close"), cell(F.format_string("%.0f", "volume")), F.lit("</tr>"))
+                       cell(F.lit("1.0")), money("high"), money("low"), money("open"), money("close"), cell(F.col("volume").cast("long").cast("string")), F.lit("</tr>"))
         head = "<tr><th>#</th><th>DATE</th><th>TRADING CODE</th><th>LTP*</th><th>HIGH</th><th>LOW</th><th>OPENP*</th><th>CLOSEP*</th><th>VOLUME</th></tr>"
         rows = p.groupBy("symbol", F.year("trade_date").alias("year")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
         return rows.select(
@@ -489,5 +489,9 @@ class TestTables:
         return lines, imports
 
 
+def _decimal(value: Column, digits: int) -> Column:
+    return value.cast(f"decimal(18,{digits})").cast("string")
+
+
 def _file_name(symbol: Column) -> Column:
     return F.concat(symbol, F.lit("_Stock-Price+History (1).csv"))

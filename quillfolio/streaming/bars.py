@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 def daily_bars(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Open, high, low and close per symbol and day of ``(user_id, ts, event_id, value)`` ticks."""
-    source = ticks.withWatermark("ts", lateness) if ticks.isStreaming else ticks
+    source = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness) if ticks.isStreaming else ticks
     at = F.struct("ts", "event_id")
     bars = source.groupBy(F.window("ts", "1 day"), F.col("user_id").cast("string").alias("symbol")).agg(
         F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),

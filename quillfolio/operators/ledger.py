@@ -83,25 +83,36 @@ def net_days(txns: DataFrame) -> DataFrame:
     )
 
 
+def share_walk(txns: DataFrame) -> DataFrame:
+    """Netted days with shares before and after each.
+
+    Shares walk up and down and stop at zero: a running sum less its running
+    minimum below zero.
+    """
+    key = W.partitionBy(*POSITION).orderBy("trade_date")
+    run = key.rowsBetween(W.unboundedPreceding, W.currentRow)
+    zero = F.lit(0.0)
+    walk = net_days(txns).withColumn("_cum", F.sum(F.col("in_qty") - F.col("out_qty")).over(run))
+    left = F.col("_cum") - F.least(zero, F.min("_cum").over(run))
+    walk = walk.withColumn("q", left).withColumn("q", F.when(F.col("q") < EMPTY_BELOW, zero).otherwise(F.col("q")))
+    return walk.withColumn("q_open", F.coalesce(F.lag("q").over(key), zero)).drop("_cum")
+
+
 def day_states(txns: DataFrame) -> DataFrame:
     """Netted days with shares and cost before and after each.
 
-    Shares walk up and down and stop at zero: a running sum less its running
-    minimum below zero.  Each day's sales leave the fraction ``_r`` of the cost,
-    so between full exits the cost is F * sum(paid * _r / F), F the running
-    product of ``_r``.  F restarts before it can underflow ("stretch"); the cost
-    brought in from the stretch before is added, and any older one has by then
-    been scaled below e**-600.
+    Each day's sales leave the fraction ``_r`` of the cost, so between full
+    exits the cost is F * sum(paid * _r / F), F the running product of ``_r``.
+    F restarts before it can underflow ("stretch"); the cost brought in from the
+    stretch before is added, and any older one has by then been scaled below
+    e**-600.
     """
     key = W.partitionBy(*POSITION)
     run = key.orderBy("trade_date").rowsBetween(W.unboundedPreceding, W.currentRow)
     past = key.orderBy("trade_date").rowsBetween(W.unboundedPreceding, -1)
     zero, one = F.lit(0.0), F.lit(1.0)
 
-    walk = net_days(txns).withColumn("_cum", F.sum(F.col("in_qty") - F.col("out_qty")).over(run))
-    left = F.col("_cum") - F.least(zero, F.min("_cum").over(run))
-    walk = walk.withColumn("q", left).withColumn("q", F.when(F.col("q") < EMPTY_BELOW, zero).otherwise(F.col("q")))
-    walk = walk.withColumn("q_open", F.coalesce(F.lag("q").over(key.orderBy("trade_date")), zero))
+    walk = share_walk(txns)
     held = F.col("q_open") + F.col("in_qty")
     emptied = (F.col("sales") > 0) & (F.col("q") == 0)
     walk = walk.withColumn("_r", F.when(emptied | (held <= 0), one).otherwise(F.try_divide(F.col("q"), held)))
@@ -121,7 +132,7 @@ def day_states(txns: DataFrame) -> DataFrame:
         "*", F.when(emptied, zero).otherwise(F.col("_c")).alias("c"), F.least(F.col("out_qty"), held).alias("sold"),
         F.coalesce(F.try_divide(F.col("c_open") + F.col("in_cost"), held), zero).alias("average"),
     )
-    return out.drop("_cum", "_r", "_island", "_stretch", "_f", "_c", "_before")
+    return out.drop("_r", "_island", "_stretch", "_f", "_c", "_before")
 
 
 def _sale_fills(sales: DataFrame) -> DataFrame:
@@ -139,17 +150,22 @@ def sale_gains(txns: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Every sale with the gain it realised against average cost that day."""
     states = day_states(txns) if states is None else states
     day = states.filter(F.col("sales") > 0).select(
-        *DAY, "average", (F.col("q_open") + F.col("in_qty")).alias("available"), "out_qty", *SALE_IDS
+        *DAY, "average", (F.col("q_open") + F.col("in_qty")).alias("available")
     )
     sales = txns.filter(F.col("txn_type") == "sell").select(
         *DAY, "txn_id", _n("quantity").alias("quantity"), _n("price_per_share").alias("price_per_share"),
         _n("commission").alias("commission"),
     )
     joined = sales.join(day, DAY)
-    short = F.col("out_qty") > F.col("available")
     # Only days that sold more than was held need the order of their sales.
-    plain = joined.filter(~short).select("*", F.col("available").alias("left_before"), F.col("quantity").alias("filled"))
-    filled = plain.unionByName(_sale_fills(joined.filter(short)))
+    short_days = share_walk(txns).filter(F.col("out_qty") > F.col("q_open") + F.col("in_qty")).select(
+        *DAY, (F.col("q_open") + F.col("in_qty")).alias("available"), *SALE_IDS
+    )
+    short = _sale_fills(sales.select(*DAY, "txn_id", "quantity").join(short_days, DAY)).select(*DAY, "txn_id", "quantity", "filled", "left_before")
+    row = DAY + ["txn_id", "quantity"]
+    filled = joined.join(short, row, "left").withColumns(
+        {"filled": F.coalesce("filled", "quantity"), "left_before": F.coalesce("left_before", "available")}
+    )
     return filled.select(
         *DAY, "txn_id", "quantity", "price_per_share", "commission", "filled",
         (F.col("quantity") * F.col("price_per_share") - F.col("commission")).alias("proceeds"),
@@ -170,7 +186,8 @@ def day_ledger(txns: DataFrame) -> DataFrame:
     """Day states with the gain, proceeds and warnings of each day."""
     states = day_states(txns)
     available = F.col("q_open") + F.col("in_qty")
-    short_days = states.filter(F.col("out_qty") > available).select(*DAY, available.alias("available"), *SALE_IDS)
+    # Days that sold more than was held: the shares alone tell, without the cost.
+    short_days = share_walk(txns).filter(F.col("out_qty") > available).select(*DAY, available.alias("available"), *SALE_IDS)
     sales = (
         txns.filter(F.col("txn_type") == "sell")
         .select(*DAY, "txn_id", _n("quantity").alias("quantity"), _n("price_per_share").alias("price_per_share"))
@@ -214,9 +231,9 @@ def positions(txns: DataFrame, quotes: DataFrame | None, as_of, ledger: DataFram
     traded = F.when(F.col("trades") > 0, F.col("trade_date"))
     recent = F.when(F.col("trade_date") >= F.date_sub(as_of, TRAILING_DAYS), F.col("dividend_gross")).otherwise(F.lit(0.0))
     net_dividend = F.col("dividend_gross") - F.col("dividend_tax")
-    last = F.max_by(F.struct("q", "c"), "trade_date")
     summed = days.groupBy(*POSITION).agg(
-        last.alias("_last"),
+        F.max_by("q", "trade_date").alias("quantity"),
+        F.max_by("c", "trade_date").alias("cost_basis"),
         F.sum("realised").alias("realised_gain"),
         F.sum("dividend_gross").alias("dividends_gross"),
         F.sum(net_dividend).alias("dividends_net"),
@@ -227,10 +244,7 @@ def positions(txns: DataFrame, quotes: DataFrame | None, as_of, ledger: DataFram
         F.max(traded).alias("last_trade"),
         F.sum("warnings").alias("warnings"),
     )
-    base = summed.select(
-        *POSITION, F.col("_last.q").alias("quantity"), F.col("_last.c").alias("cost_basis"),
-        *[c for c in summed.columns if c not in POSITION + ["_last"]],
-    )
+    base = summed
     if quotes is None:
         base = base.withColumn("close", F.lit(None).cast("double"))
     else:

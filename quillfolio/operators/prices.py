@@ -24,9 +24,8 @@ def series(*order) -> "W":
 def latest_quotes(prices: DataFrame) -> DataFrame:
     """Newest row per symbol."""
     rest = [c for c in prices.columns if c not in ("symbol", "trade_date")]
-    return prices.groupBy("symbol").agg(
-        F.max("trade_date").alias("trade_date"), F.max_by(F.struct(*rest), "trade_date").alias("_r")
-    ).select("symbol", "trade_date", *[F.col(f"_r.{c}").alias(c) for c in rest])
+    # Column by column: fixed-width buffers keep this a hash aggregation.
+    return prices.groupBy("symbol").agg(F.max("trade_date").alias("trade_date"), *[F.max_by(c, "trade_date").alias(c) for c in rest])
 
 
 def closes_on_or_before(prices: DataFrame, date) -> DataFrame:

@@ -98,9 +98,11 @@ class TestTables:
     # -- prices ---------------------------------------------------------------
 
     def _prices(self, rows: DataFrame) -> DataFrame:
-        at = F.struct("_id", "l_suppkey")
+        # One number that orders a day's rows: fixed width, so that the aggregation can hash.
+        at = "_at"
+        order = _row_id().cast("decimal(20,0)") * F.lit(1000000000).cast("decimal(10,0)") + F.col("l_suppkey")
         return (
-            rows.withColumn("_id", _row_id()).withColumn("_p", round_half_up(_price()))
+            rows.withColumn("_at", order).withColumn("_p", round_half_up(_price()))
             .groupBy("symbol", F.to_date("l_shipdate").alias("trade_date"))
             .agg(
                 F.min_by("_p", at).alias("open"),

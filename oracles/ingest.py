@@ -48,3 +48,6 @@ oracle("x01_x02_numbers_read", "SELECT symbol, trade_date, close AS plain, -clos
 oracle("x05_wrapped_text", "SELECT page_id, 'Cheque REF' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '77 paid in' AS text, CASE WHEN page_id % 2 = 0 THEN 'SQP' || page_id || 'A' END AS code FROM pages")
 oracle("x06_cell_text", "SELECT symbol, trade_date, 'A & B ' || symbol || ' ''s <' || CAST(floor(close) AS BIGINT) || '> end' AS text FROM px", "px")
 oracle("d06q_price_row_recheck", "SELECT * FROM (SELECT CASE WHEN dayofyear(trade_date) % 9 = 1 THEN lower(symbol) ELSE symbol END AS symbol, trade_date, CASE dayofyear(trade_date) % 9 WHEN 1 THEN 'symbol' WHEN 2 THEN 'close' WHEN 3 THEN 'negative price' WHEN 4 THEN 'negative volume' END AS reason FROM px) WHERE reason IS NOT NULL", "px")
+oracle("q_account_snapshots", f"SELECT * FROM snap JOIN {ACC} USING (account_id)", "snap")
+oracle("q_cash_movements", f"SELECT * FROM moves JOIN {ACC} USING (account_id)", "moves")
+oracle("q_ledger_imports", "SELECT * FROM imports", "imports")

@@ -224,3 +224,18 @@ def _(t):
         "low": F.when(n == 3, F.lit(-1.0)).otherwise(F.col("low")), "volume": F.when(n == 4, F.lit(-5.0)).otherwise(F.col("volume")),
     })
     return PT.clean_rows(rows).filter("reason is not null")
+
+
+@query("q_account_snapshots", "account_id broker as_of:d market_value:2 cash_balance:2 deposit:2 withdraw:2 cash_dividend:2")
+def _(t):
+    return t.snapshots().join(_accounts(t), "account_id").orderBy("as_of", "account_id")
+
+
+@query("q_cash_movements", "account_id broker movement_id:i move_date:d kind amount:2")
+def _(t):
+    return t.cash_movements().join(_accounts(t), "account_id").orderBy("move_date", "movement_id")
+
+
+@query("q_ledger_imports", "account_id period_from:d period_to:d opening_balance:2")
+def _(t):
+    return t.ledger_imports().orderBy("period_from", "account_id")

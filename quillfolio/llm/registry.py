@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bottomk, mixing
+from . import bottomk, mixing, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,9 @@ def bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
         bottomk.containment(F.col("sketch"), F.col("edited_sketch"), k).alias("kept_share"),
         bottomk.distinct_count(F.col("sketch"), k).alias("n_shingles"),
     )
+
+
+@query("op3_repeated_windows")
+def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = windows.remove_repeated_windows(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("intervals").alias("n_intervals"))

@@ -134,3 +134,14 @@ def unpack(data: bytes) -> np.ndarray:
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view(np.uint64).ravel()
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a plain schema string."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    out = []
+    for field in ddl.replace("array<struct<start: long, end: long>>", "spans").split(", "):
+        name, kind = field.split(" ")
+        out.append(pa.field(name, span if kind == "spans" else kinds[kind]))
+    return pa.schema(out)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bottomk, mixing, windows
+from . import bottomk, fmindex, mixing, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,12 @@ def bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = windows.remove_repeated_windows(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("intervals").alias("n_intervals"))
+
+
+@query("op4_benchmark_windows")
+def benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fmindex.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return r.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        fmindex.contaminated().alias("contaminated"),
+    )

@@ -138,7 +138,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow form of a plain schema string."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = []
     for field in ddl.replace("array<struct<start: long, end: long>>", "spans").split(", "):

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bottomk, fmindex, mixing, windows
+from . import bottomk, fmindex, mixing, simhash, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,9 @@ def benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         fmindex.contaminated().alias("contaminated"),
     )
+
+
+@query("op5_simhash_components")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

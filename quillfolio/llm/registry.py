@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bottomk, cuckoo, fmindex, mixing, simhash, windows
+from . import bottomk, cuckoo, fmindex, mixing, quality, simhash, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,28 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+#: The labels' categories in the order of the chain: a text can be junk, abusive, or abusive junk.
+CATEGORIES = {
+    "junk": "1 - cast(quality as int)",
+    "abusive": "cast(toxic as int)",
+    "abusive_junk": "(1 - cast(quality as int)) * cast(toxic as int)",
+}
+
+
+@query("op7_toxicity_chain")
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, names = table(spark, sf_dir, "documents"), list(CATEGORIES)
+    models = toxicity.fit(quality.labelled(docs, table(spark, sf_dir, "labels"), CATEGORIES), names)
+    r = toxicity.score(docs, models, names)
+    toxic = F.greatest("p_abusive", "p_abusive_junk")
+    return r.select("doc_id", toxic.alias("score"), (toxic >= 0.5).cast("int").alias("toxic"), *[f"p_{c}" for c in names])
+
+
+@query("op9_quality_nbsvm")
+def quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(quality.training_rows(docs, table(spark, sf_dir, "labels")))
+    r = quality.score(docs, model)
+    return r.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

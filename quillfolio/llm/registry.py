@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bottomk, cuckoo, fmindex, mixing, quality, simhash, toxicity, windows
+from . import bottomk, cuckoo, fmindex, mixing, personal, quality, simhash, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,10 @@ def quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(quality.training_rows(docs, table(spark, sf_dir, "labels")))
     r = quality.score(docs, model)
     return r.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = personal.find(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    counts = [personal.count_of(F.col("base"), name).alias(f"n_{name}") for name in personal.KINDS]
+    return r.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bottomk, cuckoo, fmindex, mixing, personal, quality, simhash, toxicity, windows
+from . import bottomk, cuckoo, fmindex, katz, mixing, personal, quality, simhash, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,9 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = personal.find(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
     counts = [personal.count_of(F.col("base"), name).alias(f"n_{name}") for name in personal.KINDS]
     return r.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
+
+
+@query("op2_katz_scores")
+def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    return katz.KatzModel.of(table(spark, sf_dir, "documents"), held_out).scores()

@@ -1,13 +1,14 @@
 """Line dedup that can take documents back: sharded cuckoo filters in front of exact reference tables."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import scratch
 from .tokens import arrow_schema, mix
@@ -15,7 +16,6 @@ from .tokens import arrow_schema, mix
 _U = np.uint64
 _BLANKS = b" \t\n\x0b\x0c\r"
 _KEYS = "hi long, lo long, doc long, twin long"
-_RESULT = "doc_id long, n_lines long, n_dropped long, kept string"
 #: Stands for a missing doc_id: after all others.
 _LAST = 2**63 - 1
 
@@ -126,10 +126,10 @@ class CuckooFilter:
                     break
 
 
-def _documents(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.col("text").alias("text"), *carry).alias("row"),
     ).withColumn("twin", F.xxhash64("text"))
 
 
@@ -264,8 +264,8 @@ class LineIndex:
         each = self.live().groupBy("shard", "hi", "lo", "doc").agg(F.count(F.lit(1)).alias("n"), F.min("twin").alias("t"))
         return each.groupBy("shard", "hi", "lo").agg(F.sum("n").alias("n_docs"), F.min("doc").alias("first"), F.min_by("t", "doc").alias("first_twin"))
 
-    def deduplicated(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept: each row of docs without the lines that an earlier document of the index keeps.
+    def deduplicated(self, docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept, text and the columns to carry: each row of docs, and its text without the lines that an earlier document of the index keeps.
 
         Every line of a key that two documents hold goes, but for those in the document
         with the smallest doc_id; other lines stay, joined by newlines.
@@ -275,15 +275,24 @@ class LineIndex:
         lists = drop.groupBy("doc", "twin").agg(F.collect_list(F.struct("hi", "lo")).alias("drop"))
         least = self.least
 
+        joined = _documents(docs, carry).join(lists, ["doc", "twin"], "left").select("doc_id", "row", "drop")
+        result = T.StructType([
+            T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()),
+            joined.schema["row"],
+        ])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
-                out = []
-                for i, text, drop in zip(rows.column("doc_id"), rows.column("text"), rows.column("drop"), strict=True):
-                    lines = text.as_py().encode().split(b"\n")
+                held, out = rows.column("row"), []
+                for text, drop in zip(pc.struct_field(held, [0]), rows.column("drop"), strict=True):
+                    lines = (text.as_py() or "").encode().split(b"\n")
                     keys = np.stack([drop.values.field("hi").to_numpy(), drop.values.field("lo").to_numpy()], 1) if drop.is_valid else np.zeros((0, 2), np.int64)
                     gone = {x.tobytes() for x in keys}
                     kept = [x for x in lines if line_key(x, least) not in gone] if gone else lines
-                    out.append({"doc_id": i.as_py(), "n_lines": len(lines), "n_dropped": len(lines) - len(kept), "kept": b"\n".join(kept).decode()})
-                yield pa.RecordBatch.from_pylist(out, arrow_schema(_RESULT))
+                    out.append((len(lines), len(lines) - len(kept), b"\n".join(kept).decode()))
+                n, dropped, kept = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), held], names=["doc_id", "n_lines", "n_dropped", "kept", "row"]
+                )
 
-        return _documents(docs).join(lists, ["doc", "twin"], "left").select("doc_id", "text", "drop").mapInArrow(run, _RESULT)
+        return joined.mapInArrow(run, result).select("doc_id", "n_lines", "n_dropped", "kept", "row.*")

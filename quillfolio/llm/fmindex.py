@@ -1,16 +1,16 @@
 """Benchmark decontamination: an FM-index per shard of documents, searched backward for the benchmark's word windows."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .tokens import ALPHANUMERIC, Words, arrow_schema, byte_values, pieces
 
 _U = np.uint64
-_ROW = "doc_id long, twin long, n_words long, intervals array<struct<start: long, end: long>>, items array<string>"
+_FOUND = "n_words long, intervals array<struct<start: long, end: long>>, items array<string>"
 
 
 class Bits:
@@ -173,17 +173,18 @@ def _shard(rows: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
                 items[pair // len(phrases.lengths)].update(phrases.items[pair % len(phrases.lengths)])
     cover = np.cumsum(gone[:-1]) > 0
     out = []
-    for k, (i, twin) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("twin").to_pylist(), strict=True)):
+    for k in range(docs):
         a = words.first[k] + k
         turn = np.flatnonzero(np.diff(np.concatenate([[0], cover[a : a + words.count[k]].view(np.int8), [0]])))
         out.append({
-            "doc_id": i, "twin": twin, "n_words": int(words.count[k]),
+            "n_words": int(words.count[k]),
             "intervals": [{"start": s, "end": e} for s, e in turn.reshape(-1, 2).tolist()], "items": sorted(items[k]),
         })
-    return pa.RecordBatch.from_pylist(out, arrow_schema(_ROW))
+    found = pa.RecordBatch.from_pylist(out, arrow_schema(_FOUND))
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), *found.columns], names=["doc_id", "row", *found.schema.names])
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 3 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 3 << 20, block_bytes: int = 32 << 20, carry: Sequence[str] = ()) -> DataFrame:
     """Find the benchmark items' word windows in the documents.
 
     Words are runs of ASCII letters and digits and of all other characters beyond ASCII, A-Z
@@ -197,11 +198,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shar
     of text, one pass over the documents a block.
 
     Returns doc_id, n_words, intervals (of word numbers, end exclusive, merged), n_hit,
-    items (ids of the items with an occurring window, as sorted strings).  A null text has no
+    items (ids of the items with an occurring window, as sorted strings), text and the columns to carry.  A null text has no
     words; every row is judged alone, so repeated rows get equal results; items without
     words never occur, items that repeat an id count as one, a null item_id reads as ''.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("twin", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.col("text").alias("text"), *carry).alias("row"))
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("intervals", spans), T.StructField("items", T.ArrayType(T.StringType()))])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
     found = None
@@ -212,7 +215,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shar
             for rows in pieces(batches, shard_bytes):
                 yield _shard(rows, phrases)
 
-        part = docs.mapInArrow(shards, _ROW)
+        part = docs.mapInArrow(shards, schema)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         # A row for each block: join the blocks' intervals and items; copies of a row stay as many as they were.
@@ -226,11 +229,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shar
                 ),
             ).otherwise(F.concat(done, F.array(x))),
         )
-        found = found.groupBy("doc_id", "twin", "n_words").agg(
+        found = found.groupBy("doc_id", "row", "n_words").agg(
             merged.alias("intervals"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies")
         ).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     hit = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select("doc_id", "n_words", "intervals", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), "items")
+    return found.select("doc_id", "n_words", "intervals", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), "items", "row.*")
 
 
 def contaminated(share: int = 20) -> Column:

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import linear
 from .common import join_small
@@ -51,6 +51,19 @@ def score(docs: DataFrame, model: linear.LinearModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, _SCORES)
 
 
+def judged(docs: DataFrame, model: linear.LinearModel) -> DataFrame:
+    """The rows of docs with all their columns, and their score."""
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    schema = T.StructType([T.StructField("score", T.DoubleType()), rows.schema["row"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, 2 << 20):
+            p = model.probabilities(*linear.indicators(part.column("text")), np.zeros((part.num_rows, 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(p), part.column("row")], names=["score", "row"])
+
+    return rows.mapInArrow(run, schema).select("row.*", "score")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents outside the held-out third (crc32 of the doc_id as text, modulo 3, is 1)."""
     rows = labelled(docs, labels, {"label": "cast(quality as int)"})

@@ -50,7 +50,7 @@ def r2(x: str) -> str:
 
 
 TXN = """
-SELECT {account} AS account_id, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol,
+SELECT {account} AS account_id, 'S' || lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0') AS symbol,
   CAST(l_shipdate AS DATE) AS trade_date, txn_type,
   CASE WHEN txn_type <> 'dividend' THEN l_quantity END AS quantity,
   CASE WHEN txn_type IN ('buy','sell','rights') THEN floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 END AS price_per_share,
@@ -77,8 +77,8 @@ FROM (SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS trade_date, floor(l
       FROM lineitem {join})
 GROUP BY symbol, trade_date
 """
-cte("stock_px", PRICES.format(symbol="'S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0')", join=""))
-cte("px", PRICES.format(symbol="'N' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0')", join="JOIN supplier ON l_suppkey = s_suppkey"))
+cte("stock_px", PRICES.format(symbol="'S' || lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0')", join=""))
+cte("px", PRICES.format(symbol="'N' || lpad(CAST(s_nationkey AS VARCHAR), CAST(greatest(2, length(CAST(s_nationkey AS VARCHAR))) AS INTEGER), '0')", join="JOIN supplier ON l_suppkey = s_suppkey"))
 cte("stock_quote", "SELECT symbol, max(trade_date) AS trade_date, arg_max(close, trade_date) AS close FROM stock_px GROUP BY symbol", "stock_px")
 cte("quote", """
 SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS ycp,
@@ -144,14 +144,14 @@ SELECT symbol, CASE WHEN count(*) = 1 THEN 1 ELSE count(*) FILTER (quantity > 0
 FROM pos GROUP BY symbol"""), "pos")
 
 cte("company", """
-SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS symbol, 'Nation ' || n_nationkey AS short_name, 'Nation ' || n_nationkey || ' Mills Limited' AS name,
+SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), CAST(greatest(2, length(CAST(n_nationkey AS VARCHAR))) AS INTEGER), '0') AS symbol, 'Nation ' || n_nationkey AS short_name, 'Nation ' || n_nationkey || ' Mills Limited' AS name,
   CASE WHEN n_nationkey % 8 <> 7 THEN list_aggregate(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') END AS sector,
   CASE n_nationkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 6 ELSE 12 END AS fye_month, CASE n_nationkey % 3 WHEN 1 THEN 30 ELSE 31 END AS fye_day,
   n_nationkey % 6 <> 5 AS is_tracked, n_nationkey % 9 <> 8 AS is_active, 10e0 AS face_value, n_nationkey AS k
 FROM nation JOIN region ON n_regionkey = r_regionkey
 """)
 cte("listing", """
-SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS symbol, c.symbol AS company, s_name AS name, c.sector
+SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS symbol, c.symbol AS company, s_name AS name, c.sector
 FROM supplier JOIN company c ON c.k = s_nationkey
 """, "company")
 cte("sold", """
@@ -188,7 +188,7 @@ cte("base_facts", "SELECT *, value_reported * (CASE scale WHEN 'million' THEN 1e
 cte("wide", "SELECT symbol, fiscal_year, " + ", ".join(f"max(value_base) FILTER (tag = '{t}') AS {t}" for t in TAGS) + " FROM base_facts GROUP BY symbol, fiscal_year", "base_facts")
 
 cte("act_all", """
-SELECT 'N' || lpad(CAST(p_partkey % 25 AS VARCHAR), 2, '0') AS symbol,
+SELECT 'N' || lpad(CAST(p_partkey % 25 AS VARCHAR), CAST(greatest(2, length(CAST(p_partkey % 25 AS VARCHAR))) AS INTEGER), '0') AS symbol,
   ['cash_dividend','stock_dividend','rights_issue','split','reverse_split'][p_size % 5 + 1] AS action_type,
   CASE WHEN p_partkey % 20 <> 7 THEN DATE '1995-06-01' + CAST((p_partkey * 37) % 2400 AS INTEGER) END AS ex_date,
   CASE WHEN p_size % 5 = 0 THEN (p_partkey % 9) * 5e0 END AS cash_pct, CASE WHEN p_size % 5 = 1 THEN (p_partkey % 4) * 1e0 END AS stock_pct,
@@ -235,7 +235,7 @@ FROM (SELECT c_mktsegment AS account_id, CAST(o_orderdate AS DATE) AS move_date,
 cte("target", """
 SELECT s_suppkey AS target_id, symbol, CASE WHEN s_suppkey % 2 = 1 THEN ['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'][s_suppkey % 5 + 1] END AS account_id,
  CASE WHEN s_suppkey % 7 <> 0 THEN lo + (hi - lo) * 0.3e0 END AS buy_below, CASE WHEN s_suppkey % 11 <> 0 THEN lo + (hi - lo) * 0.7e0 END AS sell_above
-FROM supplier JOIN (SELECT symbol, min(close) AS lo, max(close) AS hi FROM stock_px GROUP BY symbol) ON symbol = 'S' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0')
+FROM supplier JOIN (SELECT symbol, min(close) AS lo, max(close) AS hi FROM stock_px GROUP BY symbol) ON symbol = 'S' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0')
 """, "stock_px")
 cte("imports", """
 SELECT account_id, period_from, CAST(period_from + INTERVAL 3 MONTH AS DATE) - 1 AS period_to, CASE WHEN n = 1 AND account_id <> 'FURNITURE' THEN 0e0 ELSE 100e0 * n END AS opening_balance

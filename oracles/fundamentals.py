@@ -51,18 +51,19 @@ oracle("p06_scaled_values", """SELECT *, value_base / (CASE natural_unit WHEN 'c
 oracle("p07_scale_by_unit", "SELECT *, scale AS applied_scale FROM base_facts", "base_facts")
 cte("typed", """SELECT symbol, fiscal_year, tag, CASE n WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN -abs(w) WHEN 3 THEN w ELSE floor((w + 1) * 100 + 0.5) / 100 END AS typed, n, CASE WHEN n = 3 THEN w ELSE v END AS stored
  FROM (SELECT symbol, fiscal_year, tag, (CAST(symbol[2:] AS INTEGER) + fiscal_year + length(tag)) % 6 AS n, value_reported AS v, floor(value_reported * 100) / 100 AS w FROM base_facts)""", "base_facts")
-cte("verdict", """SELECT symbol, fiscal_year, CASE WHEN n = 5 THEN tag || '_note' ELSE tag END AS tag, CASE WHEN n <> 5 THEN stored END AS stored, typed,
+cte("verdict", """SELECT symbol, fiscal_year, tag, CASE WHEN n <> 5 THEN stored END AS stored, typed,
  CASE WHEN n = 0 THEN 'skipped' WHEN n = 1 THEN 'error' WHEN n = 5 THEN 'added' WHEN abs(stored - typed) / greatest(abs(stored), abs(typed), 1) < 1e-9 THEN 'confirmed' ELSE 'corrected' END AS outcome FROM typed""", "typed")
 oracle("v1_a31_verification", "SELECT * FROM verdict", "verdict")
 oracle("a31_verdict_summary", "SELECT symbol, fiscal_year, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("confirmed", "corrected", "added", "skipped", "error")) + " FROM verdict GROUP BY ALL", "verdict")
 oracle("k06_revisions_after_verification", """
-SELECT f.symbol, f.fiscal_year, f.tag, f.revision, f.is_current AND coalesce(v.outcome, '') <> 'corrected' AS is_current, CASE WHEN f.is_current AND v.outcome = 'confirmed' THEN 'verified' ELSE f.verification END AS verification
- FROM facts f LEFT JOIN verdict v USING (symbol, fiscal_year, tag)
-UNION ALL SELECT f.symbol, f.fiscal_year, f.tag, f.revision + 1, true, 'verified' FROM facts f JOIN verdict v USING (symbol, fiscal_year, tag) WHERE f.is_current AND v.outcome = 'corrected'
-UNION ALL SELECT symbol, fiscal_year, tag, 1, true, 'verified' FROM verdict WHERE outcome = 'added'""", "facts", "verdict")
+SELECT symbol, fiscal_year, tag, revision, is_current, value_reported, scale, value_reported * CASE scale WHEN 'million' THEN 1e6 ELSE 1 END AS value_base, verification FROM (
+SELECT f.symbol, f.fiscal_year, f.tag, f.revision, f.is_current AND coalesce(v.outcome, '') <> 'corrected' AS is_current, f.value_reported, f.scale, CASE WHEN f.is_current AND v.outcome = 'confirmed' THEN 'verified' ELSE f.verification END AS verification
+ FROM facts f LEFT JOIN verdict v USING (symbol, fiscal_year, tag) WHERE coalesce(v.outcome, '') <> 'added'
+UNION ALL SELECT f.symbol, f.fiscal_year, f.tag, f.revision + 1, true, v.typed, f.scale, 'verified' FROM facts f JOIN verdict v USING (symbol, fiscal_year, tag) WHERE f.is_current AND v.outcome = 'corrected'
+UNION ALL SELECT symbol, fiscal_year, tag, 1, true, typed, CASE WHEN tag IN ('eps_basic', 'navps', 'nocfps', 'dividend_per_share') THEN 'unit' ELSE 'million' END, 'verified' FROM verdict WHERE outcome = 'added')""", "facts", "verdict")
 oracle("d04q_import_checks", """
 SELECT symbol, fiscal_year, severity, reason FROM (SELECT symbol, fiscal_year, unnest(['hard','hard','hard','hard','hard','soft']) AS severity,
- unnest(['balance sheet does not balance','free cash flow differs from source','gross profit exceeds revenue','operating profit exceeds gross profit','return on equity differs from source','share counts differ']) AS reason,
+ unnest(['balance sheet does not balance','free cash flow is not as published','gross profit exceeds revenue','operating profit exceeds gross profit','return on equity is not as published','share counts differ']) AS reason,
  unnest([abs(total_equity + total_liabilities - total_assets) > 2e6, fiscal_year % 6 = 1 AND capex IS NOT NULL, gross_profit > revenue, operating_profit > gross_profit,
   fiscal_year % 5 = 2 AND lag(total_equity) OVER (PARTITION BY symbol ORDER BY fiscal_year) IS NOT NULL, abs(net_profit / eps_basic - total_equity / navps) / (total_equity / navps) > 0.005]) AS bad FROM wide) WHERE bad""", "wide")
 oracle("f_latest_reported_year", """

@@ -13,8 +13,8 @@ oracle("s04_dates_read", "SELECT symbol, trade_date, trade_date AS iso, trade_da
 cte("board_item", """SELECT symbol, trade_date, open, low, volume, trade_count AS trades, turnover, n, CASE WHEN n = 1 THEN low / 2 ELSE high END AS high, CASE WHEN n = 2 THEN 0 WHEN n = 3 THEN high * 1.01 WHEN n = 4 THEN low * 0.9 ELSE close END AS close
  FROM (SELECT *, (CAST(symbol[2:] AS INTEGER) + dayofyear(trade_date)) % 40 AS n FROM px)""", "px")
 cte("member", "SELECT symbol FROM company WHERE is_active AND is_tracked", "company")
-cte("board_all", """SELECT strftime(b.d, '%Y-%m-%d') AS board_id, m.symbol, i.* EXCLUDE (symbol), CASE WHEN i.symbol IS NULL OR n = 6 THEN 'not present in feed' WHEN n = 2 THEN 'no close price' WHEN n = 5 THEN 'unusable updated_at'
- WHEN high < low THEN 'high below low' WHEN close > high * 1.001 THEN 'close above high' WHEN close < low * 0.999 THEN 'close below low' END AS reason
+cte("board_all", """SELECT strftime(b.d, '%Y-%m-%d') AS board_id, m.symbol, i.* EXCLUDE (symbol), CASE WHEN i.symbol IS NULL OR n = 6 THEN 'missing from the board' WHEN n = 2 THEN 'close missing' WHEN n = 5 THEN 'day unreadable'
+ WHEN high < low THEN 'day''s high under its low' WHEN close > high * 1.001 THEN 'close over the day''s high' WHEN close < low * 0.999 THEN 'close under the day''s low' END AS reason
  FROM (SELECT DISTINCT trade_date AS d FROM board_item WHERE n <> 6) b JOIN member m ON true LEFT JOIN board_item i ON i.symbol = m.symbol AND i.trade_date = b.d""", "board_item", "member")
 oracle("s07_d05q_board_quotes", "SELECT * FROM board_all WHERE reason IS NULL", "board_all")
 oracle("s07_board_skips", "SELECT * FROM board_all WHERE reason IS NOT NULL", "board_all")
@@ -22,7 +22,7 @@ oracle("s08_archive_pages", "SELECT symbol || '/' || year(trade_date) AS file, *
 oracle("s09_pasted_dividends", """SELECT symbol AS doc_id, ex_date, amount, ex_date + 30 AS payment_date, CASE WHEN CAST(symbol[2:] AS INTEGER) % 3 = 0 THEN 'Annual' END AS kind, restated AS looks_restated FROM decl WHERE amount > 0""", "decl")
 oracle("s09_unreadable_dividend_rows", """SELECT symbol AS doc_id, count(*) + CASE WHEN CAST(symbol[2:] AS INTEGER) % 3 = 2 THEN 0 ELSE 1 END AS pos, CASE WHEN CAST(symbol[2:] AS INTEGER) % 3 = 1 THEN 'none | -' ELSE 'no figures here' END AS raw FROM decl GROUP BY symbol
  UNION ALL SELECT symbol, n, 'row | ' || strftime(ex_date, '%Y-%m-%d') || ' | - | 0.0000 | ' || strftime(ex_date + 30, '%Y-%m-%d') FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ex_date) - 1 AS n FROM decl) WHERE amount = 0 AND CAST(symbol[2:] AS INTEGER) % 3 = 2""", "decl")
-cte("win", """SELECT symbol, greatest(s, e - i * 301 - 300) AS from_date, e - i * 301 AS to_date FROM (SELECT symbol, min(trade_date) - 700 AS s, max(trade_date) + 20 AS e FROM stock_px GROUP BY symbol) JOIN (SELECT CAST(unnest(range(20)) AS INTEGER) AS i) ON e - i * 301 >= s""", "stock_px")
+cte("win", """SELECT symbol, greatest(s, e - i * 301 - 300) AS from_date, e - i * 301 AS to_date FROM (SELECT symbol, min(trade_date) - 700 AS s, max(trade_date) + 20 AS e FROM stock_px GROUP BY symbol) JOIN (SELECT CAST(unnest(range(200)) AS INTEGER) AS i) ON e - i * 301 >= s""", "stock_px")
 oracle("s10_backfill_windows", "SELECT * FROM win", "win")
 oracle("s11_backfill_coverage", """SELECT symbol, from_date, to_date, rows, CASE WHEN rows > 0 THEN 'filled' WHEN to_date < (SELECT min(trade_date) FROM stock_px p WHERE p.symbol = w.symbol AND year(trade_date) <> 1998) THEN 'before archive' ELSE 'gap' END AS status
  FROM (SELECT *, (SELECT count(*) FROM stock_px p WHERE p.symbol = win.symbol AND year(trade_date) <> 1998 AND trade_date BETWEEN from_date AND to_date) AS rows FROM win) w""", "win", "stock_px")
@@ -45,7 +45,7 @@ oracle("j14_w19_duplicate_documents", """SELECT doc_id, keep_id FROM (SELECT doc
 oracle("j14_unreferenced_documents", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 oracle("x04_names_from_files", f"SELECT DISTINCT {FILE} AS file, symbol AS company FROM px", "px")
 oracle("x01_x02_numbers_read", "SELECT symbol, trade_date, close AS plain, -close AS negative, close * 1000 AS thousands, close * 1000000 AS millions, NULL AS missing FROM px", "px")
-oracle("x05_wrapped_text", "SELECT page_id, 'Cheque REF' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '77 paid in' AS text, CASE WHEN page_id % 2 = 0 THEN 'SQP' || page_id || 'A' END AS code FROM pages")
+oracle("x05_wrapped_text", "SELECT page_id, 'Cheque REF' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(9, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') || '77 paid in' AS text, CASE WHEN page_id % 2 = 0 THEN 'SQP' || page_id || 'A' END AS code FROM pages")
 oracle("x06_cell_text", "SELECT symbol, trade_date, 'A & B ' || symbol || ' ''s <' || CAST(floor(close) AS BIGINT) || '> end' AS text FROM px", "px")
 oracle("d06q_price_row_recheck", "SELECT * FROM (SELECT CASE WHEN dayofyear(trade_date) % 9 = 1 THEN lower(symbol) ELSE symbol END AS symbol, trade_date, CASE dayofyear(trade_date) % 9 WHEN 1 THEN 'symbol' WHEN 2 THEN 'close' WHEN 3 THEN 'negative price' WHEN 4 THEN 'negative volume' END AS reason FROM px) WHERE reason IS NOT NULL", "px")
 oracle("q_account_snapshots", f"SELECT * FROM snap JOIN {ACC} USING (account_id)", "snap")

@@ -38,8 +38,8 @@ oracle("p08_break_even_prices", "SELECT account_id, symbol, average_cost, averag
 cte("status", """
 SELECT *, CASE WHEN buy_below IS NOT NULL THEN price <= buy_below END AS buy_reached, CASE WHEN buy_below IS NOT NULL THEN price > buy_below AND abs((buy_below - price) / price) <= 0.02 END AS buy_near, CASE WHEN price <= buy_below THEN 0 ELSE (buy_below - price) / price END AS buy_to_go,
  CASE WHEN sell_above IS NOT NULL THEN price >= sell_above END AS sell_reached, CASE WHEN sell_above IS NOT NULL THEN price < sell_above AND abs((sell_above - price) / price) <= 0.02 END AS sell_near, CASE WHEN price >= sell_above THEN 0 ELSE (sell_above - price) / price END AS sell_to_go,
- concat_ws('; ', CASE WHEN sell_above IS NOT NULL AND quantity IS NULL AND account_id IS NOT NULL THEN 'nothing held in this account to sell' END, CASE WHEN sell_above IS NOT NULL AND quantity IS NULL AND account_id IS NULL THEN 'nothing held to sell' END,
-  CASE WHEN sell_above < break_even THEN 'selling there loses money after commission' END) AS warning_text
+ concat_ws('; ', CASE WHEN sell_above IS NOT NULL AND quantity IS NULL AND account_id IS NOT NULL THEN 'account has no shares to sell' END, CASE WHEN sell_above IS NOT NULL AND quantity IS NULL AND account_id IS NULL THEN 'no shares to sell' END,
+  CASE WHEN sell_above < break_even THEN 'sale level is under break-even' END) AS warning_text
 FROM (SELECT t.*, k.close AS price, h.quantity, h.average_cost / (1 - r.rate) AS break_even FROM target t JOIN stock_quote k USING (symbol)
  LEFT JOIN (SELECT account_id, symbol, quantity, average_cost FROM pos UNION ALL SELECT NULL, symbol, quantity, average_cost FROM held) h ON h.symbol = t.symbol AND h.account_id IS NOT DISTINCT FROM t.account_id AND h.quantity > 0
  LEFT JOIN acc_rate r ON r.account_id IS NOT DISTINCT FROM t.account_id)""", "target", "stock_quote", "pos", "held", "acc_rate")

@@ -36,12 +36,12 @@ def match_sql(names: str) -> str:
 
 
 cte("asked", """SELECT CASE k % 5 WHEN 0 THEN 'The Supplier-' || key || ' LTD.' WHEN 1 THEN 'supplier ' || key || ' International' WHEN 2 THEN 'Supplier Co. of ' || key WHEN 3 THEN p_name ELSE 'Supplier ' || key END AS company_name
- FROM (SELECT p_name, p_partkey AS k, lpad(CAST(p_partkey % 1201 AS VARCHAR), 9, '0') AS key FROM part)""")
+ FROM (SELECT p_name, p_partkey AS k, lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(9, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS key FROM part)""")
 oracle("j10_x03_name_matches", match_sql("asked"), "asked", "listing")
 
 P = "trade_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"
 cte("traded", f"""SELECT account_id, symbol, CAST(symbol[2:] AS BIGINT) AS k, coalesce(sum(quantity) FILTER (txn_type = 'buy'), 0) AS l_buy, coalesce(sum(quantity) FILTER (txn_type = 'sell'), 0) AS l_sale, sum(gain) AS l_profit FROM steps WHERE {P} AND txn_type IN ('buy','sell') GROUP BY ALL""", "steps")
-cte("pnl", """SELECT account_id, CASE WHEN k % 7 = 0 THEN 'Unlisted ' || symbol ELSE 'Supplier ' || lpad(CAST(k AS VARCHAR), 9, '0') || ' Limited' END AS company_name, l_buy + CASE WHEN k % 8 = 3 THEN 1 ELSE 0 END AS buy_qty, l_sale AS sale_qty, k * 10e0 AS profit FROM traded WHERE k % 10 <> 9""", "traded")
+cte("pnl", """SELECT account_id, CASE WHEN k % 7 = 0 THEN 'Unlisted ' || symbol ELSE 'Supplier ' || lpad(CAST(k AS VARCHAR), CAST(greatest(9, length(CAST(k AS VARCHAR))) AS INTEGER), '0') || ' Limited' END AS company_name, l_buy + CASE WHEN k % 8 = 3 THEN 1 ELSE 0 END AS buy_qty, l_sale AS sale_qty, k * 10e0 AS profit FROM traded WHERE k % 10 <> 9""", "traded")
 cte("pnl_named", f"""SELECT p.*, m.symbol, EXISTS (SELECT 1 FROM traded t WHERE t.account_id = p.account_id AND t.symbol = m.symbol) AS hit FROM pnl p LEFT JOIN ({match_sql('pnl')}) m USING (company_name)""", "pnl", "listing", "traded")
 cte("pnl_free", "SELECT * FROM traded t WHERE NOT EXISTS (SELECT 1 FROM pnl_named p WHERE p.hit AND p.account_id = t.account_id AND p.symbol = t.symbol)", "traded", "pnl_named")
 cte("pnl_matched", """SELECT p.account_id, company_name, buy_qty, sale_qty, profit, CASE WHEN hit THEN symbol
@@ -63,7 +63,7 @@ cte("effects", f"""SELECT *, amount / quantity AS exact_price, {r2("CASE WHEN ki
  SELECT *, CASE WHEN abs({r2('balance - previous')} - {r2('credit - debit')}) <= 0.011 THEN {r2('balance - previous')} ELSE {r2('credit - debit')} END AS effect FROM line_p)""", "line_p")
 oracle("w16_a27_cash_effects", "SELECT * FROM effects", "effects")
 oracle("a26_import_summary", "SELECT import_id, count(*) FILTER (kind = 'buy') AS buys, count(*) FILTER (kind = 'sell') AS sells, sum(exact_commission) AS commission, 0 AS deposits, 0 AS withdrawals, 0 AS fees, 0 AS dividends FROM effects GROUP BY import_id", "effects")
-oracle("d07q_ledger_line_rules", """SELECT import_id, line_no, rule FROM (SELECT import_id, line_no, unnest(['amount is not quantity times rate','debit is not amount plus commission']) AS rule,
+oracle("d07q_ledger_line_rules", """SELECT import_id, line_no, rule FROM (SELECT import_id, line_no, unnest(['amount differs from shares at the rate','debit is not amount plus commission']) AS rule,
  unnest([abs(quantity * rate - amount) > quantity * 0.005 + 0.011, kind = 'buy' AND abs(amount + commission - debit) > 0.011]) AS bad FROM line) WHERE bad""", "line")
 
 BROKER = f"""SELECT account_id, symbol, least(CAST(trade_date + CAST(CASE WHEN source = 'manual' THEN txn_id % 5 ELSE 0 END AS INTEGER) AS DATE), DATE '1998-12-31') AS trade_date, txn_type, quantity, price_per_share, gross_amount, commission, tax_withheld, source, record_date, txn_id + 1 AS txn_id, rnk
@@ -96,7 +96,7 @@ oracle("k05_replace_period", f"""SELECT account_id, symbol, trade_date, txn_id,
  UNION ALL SELECT account_id, symbol, trade_date, txn_id, txn_type, quantity FROM broker WHERE account_id IN ('BUILDING','MACHINERY')""", "txn", "broker")
 oracle("k07_snapshot_upsert", """SELECT account_id, as_of, CASE WHEN month(as_of) % 2 = 0 THEN deposit + 10 ELSE deposit END AS deposit, CASE WHEN month(as_of) % 2 = 0 THEN 2 ELSE 1 END AS imported FROM snap UNION ALL SELECT account_id, as_of + 3, deposit, 3 FROM snap WHERE month(as_of) = 6""", "snap")
 oracle("d12q_changed_since_preview", "SELECT *, CASE WHEN txn_id % 11 <> 0 THEN 'vanished' ELSE 'appeared' END AS change FROM txn WHERE (txn_id % 11 <> 0) <> (txn_id % 13 <> 0)", "txn")
-cte("report", f"""SELECT account_id, account_id || '/' || symbol || '/' || record_date AS line_id, 'Supplier#' || lpad(CAST(k AS VARCHAR), 9, '0') || CASE WHEN k % 3 = 0 THEN ' Ltd.' ELSE '' END AS company_name, CASE WHEN k % 5 = 0 THEN 'elsewhere' ELSE 'broker' END AS paid_via, symbol,
+cte("report", f"""SELECT account_id, account_id || '/' || symbol || '/' || record_date AS line_id, 'Supplier#' || lpad(CAST(k AS VARCHAR), CAST(greatest(9, length(CAST(k AS VARCHAR))) AS INTEGER), '0') || CASE WHEN k % 3 = 0 THEN ' Ltd.' ELSE '' END AS company_name, CASE WHEN k % 5 = 0 THEN 'elsewhere' ELSE 'broker' END AS paid_via, symbol,
  CASE WHEN k % 4 = 0 THEN CAST(record_date + 200 AS DATE) ELSE record_date END AS record_date, gross + (CASE WHEN k % 6 = 0 THEN 1e0 ELSE 0e0 END) AS gross, CASE WHEN k % 7 <> 0 THEN {r2('gross * 0.1e0')} END AS tax
  FROM (SELECT account_id, symbol, CAST(symbol[2:] AS BIGINT) AS k, record_date, sum(CAST(floor(gross_amount * 100 + 0.5) AS BIGINT)) / 100 AS gross FROM txn WHERE record_date IS NOT NULL GROUP BY ALL)""", "txn")
 oracle("a28_dividend_import_plan", f"""
@@ -119,7 +119,7 @@ oracle("d03q_unique_actions_null_dates_distinct", "SELECT symbol, action_type, e
 oracle("d03q_unique_targets_null_accounts_equal", "SELECT symbol, account_id, 2 AS rows FROM target WHERE target_id % 3 = 0", "target")
 cte("hold_line", """SELECT account_id, symbol, k, quantity, floor(cost_basis * 100 + 0.5) / 100 AS cost_amount, floor(cost_basis / quantity * 100 + 0.5) / 100 + CASE WHEN k % 8 = 0 THEN 1 ELSE 0 END AS cost_price, close, quantity * close + CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END AS market_value
  FROM (SELECT p.*, CAST(p.symbol[2:] AS BIGINT) AS k, q.close FROM pos p JOIN stock_quote q USING (symbol) WHERE quantity > 0)""", "pos", "stock_quote")
-oracle("d08q_holding_rules", """SELECT account_id, symbol, rule FROM (SELECT account_id, symbol, unnest(['parts do not add up','cost is not quantity times price','value is not quantity times price','unrealised is not value less cost']) AS rule,
+oracle("d08q_holding_rules", """SELECT account_id, symbol, rule FROM (SELECT account_id, symbol, unnest(['parts do not add up','cost is not quantity times price','value is not quantity times price','open gain differs from value minus cost']) AS rule,
  unnest([k % 10 = 0, abs(quantity * cost_price - cost_amount) > quantity * 0.005 + 0.02, k % 6 = 0, k % 9 = 0]) AS bad FROM hold_line) WHERE bad""", "hold_line")
 oracle("d08q_holding_totals", """SELECT account_id, sum_cost, rule FROM (SELECT account_id, sum(cost_amount) AS sum_cost, unnest(['holdings cost does not sum to the total','holdings value does not sum to the total']) AS rule,
  unnest([account_id = 'BUILDING' AND 100 > 0.05 * count(*), account_id < 'C' AND 50 > 0.05 * count(*)]) AS bad FROM hold_line GROUP BY account_id) WHERE bad""", "hold_line")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import dates as D
-from ..functions.numeric import cagr, growth, mean_of_known, near, ratio, same_number, to_base
+from ..functions.numeric import cagr, growth, mean_of_known, near, ratio, same_number, scale_factor, to_base
 
 # Figures a bonus, rights issue or split makes incomparable.
 PER_SHARE_TAGS = ["eps_basic", "eps_diluted", "navps", "nocfps", "dividend_per_share"]
@@ -241,11 +241,17 @@ def sort_rows(rows: DataFrame, field: str, descending: bool = False) -> DataFram
 
 
 def verify_figures(stored: DataFrame, typed: DataFrame) -> DataFrame:
-    """Verdict per figure: ``stored`` value, ``typed`` text, both in the period's scale."""
+    """Verdict per figure: ``stored`` value, ``typed`` text.
+
+    Both are in the period's scale, unless ``stored`` has a column stored_scale and
+    ``typed`` one typed_scale: then the stored figure is brought to the typed one's.
+    """
     from ..functions.numeric import reported_number
 
     keys = ["symbol", "fiscal_year", "tag"]
     j = typed.join(stored, keys, "left")
+    if "stored_scale" in stored.columns and "typed_scale" in typed.columns:
+        j = j.withColumn("stored", F.col("stored") * scale_factor(F.col("stored_scale")) / scale_factor(F.col("typed_scale")))
     text = F.trim(F.coalesce(F.col("typed_text"), F.lit("")))
     number = reported_number(text)
     outcome = (
@@ -261,8 +267,11 @@ def verdict_summary(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def append_revisions(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Facts with corrections applied: the old revision kept, a new one current."""
+def append_revisions(facts: DataFrame, verdicts: DataFrame, items: DataFrame) -> DataFrame:
+    """Facts with corrections applied: the old revision kept, a new one current.
+
+    A figure that was missing takes the scale that its item's unit is typed in (`items`: tag, unit).
+    """
     keys = ["symbol", "fiscal_year", "tag"]
     fixes = verdicts.filter(F.col("outcome").isin("confirmed", "corrected", "added")).select(*keys, "typed", "outcome")
     marked = facts.join(fixes, keys, "left")
@@ -275,9 +284,10 @@ def append_revisions(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
         *keys, (F.col("revision") + 1).alias("revision"), F.lit(True).alias("is_current"),
         F.col("typed").alias("value_reported"), "scale", F.lit("verified").alias("verification"),
     )
-    added = fixes.filter("outcome = 'added'").select(
+    typed_in = items.select("tag", F.when(F.col("unit").isin("currency", "count"), "million").otherwise("unit").alias("scale"))
+    added = fixes.filter("outcome = 'added'").join(typed_in, "tag", "left").select(
         *keys, F.lit(1).alias("revision"), F.lit(True).alias("is_current"), F.col("typed").alias("value_reported"),
-        F.lit("unit").alias("scale"), F.lit("verified").alias("verification"),
+        F.coalesce("scale", F.lit("unit")).alias("scale"), F.lit("verified").alias("verification"),
     )
     return kept.unionByName(corrected).unionByName(added)
 
@@ -295,10 +305,10 @@ def import_checks(wide: DataFrame, published: DataFrame) -> DataFrame:
     # Tolerances, in base units of the figures (two millions).
     rules = [
         (F.abs(c("total_equity") + c("total_liabilities") - c("total_assets")) > 2e6, "hard", "balance sheet does not balance"),
-        (F.abs(c("net_operating_cash_flow") + c("capex") - c("published_fcf")) > 2e6, "hard", "free cash flow differs from source"),
+        (F.abs(c("net_operating_cash_flow") + c("capex") - c("published_fcf")) > 2e6, "hard", "free cash flow is not as published"),
         (c("gross_profit") > c("revenue"), "hard", "gross profit exceeds revenue"),
         (c("operating_profit") > c("gross_profit"), "hard", "operating profit exceeds gross profit"),
-        (F.abs(roe - c("published_roe_pct")) > 0.05, "hard", "return on equity differs from source"),
+        (F.abs(roe - c("published_roe_pct")) > 0.05, "hard", "return on equity is not as published"),
         (ratio(F.abs(by_eps - by_nav), by_nav) > 0.005, "soft", "share counts differ"),
     ]
     found = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(s).alias("severity"), F.lit(r).alias("reason"))) for bad, s, r in rules]))

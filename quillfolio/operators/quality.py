@@ -68,8 +68,8 @@ def ledger_line_rules() -> dict[str, Column]:
     q, a, fee = F.col("quantity"), F.col("amount"), F.col("commission")
     off = lambda x, y, t: F.abs(x - y) > t
     return {
-        "quantity is not a whole number of shares": ~F.coalesce((q > 0) & (q == F.floor(q)), F.lit(False)),
-        "amount is not quantity times rate": off(q * F.col("rate"), a, q * 0.005 + 0.011),
+        "shares are not a positive whole number": ~F.coalesce((q > 0) & (q == F.floor(q)), F.lit(False)),
+        "amount differs from shares at the rate": off(q * F.col("rate"), a, q * 0.005 + 0.011),
         "debit is not amount plus commission": (F.col("kind") == "buy") & off(a + fee, F.col("debit"), 0.011),
         "credit is not amount less commission": (F.col("kind") == "sell") & off(a - fee, F.col("credit"), 0.011),
     }
@@ -83,9 +83,9 @@ def holding_rules() -> dict[str, Column]:
         "parts do not add up": F.col("saleable_qty") + F.col("lock_qty") + F.col("lien_qty") != q,
         "cost is not quantity times price": off(q * F.col("cost_price"), cost, q * 0.005 + 0.02),
         "value is not quantity times price": off(q * F.col("market_price"), value, 0.05),
-        "unrealised is not value less cost": off(value - cost, F.col("unrealised"), 0.05),
-        "quantity is not positive": q <= 0,
-        "quantity is not whole": q != F.floor(q),
+        "open gain differs from value minus cost": off(value - cost, F.col("unrealised"), 0.05),
+        "no positive quantity": q <= 0,
+        "fraction of a share": q != F.floor(q),
     }
 
 

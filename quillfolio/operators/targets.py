@@ -50,10 +50,10 @@ def evaluate(targets: DataFrame, quotes: DataFrame, positions: DataFrame, rates:
     b, s = side(buy, price <= buy), side(sell, price >= sell)
     nothing = sell.isNotNull() & F.col("quantity").isNull()
     warnings = F.array_compact(F.array(
-        F.when(nothing & F.col("account_id").isNotNull(), F.lit("nothing held in this account to sell")),
-        F.when(nothing & F.col("account_id").isNull(), F.lit("nothing held to sell")),
-        F.when(sell < even, F.lit("selling there loses money after commission")),
-        F.when(price.isNull(), F.lit("no price yet")),
+        F.when(nothing & F.col("account_id").isNotNull(), F.lit("account has no shares to sell")),
+        F.when(nothing & F.col("account_id").isNull(), F.lit("no shares to sell")),
+        F.when(sell < even, F.lit("sale level is under break-even")),
+        F.when(price.isNull(), F.lit("price unknown")),
     ))
     return j.withColumn("break_even", even).select(
         "target_id", "symbol", "account_id", "price", "price_date", "buy_below", "sell_above", "quantity", "break_even",

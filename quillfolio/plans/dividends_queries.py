@@ -8,6 +8,7 @@ from ..operators import fundamentals as Fu
 from ..operators import ledger as L
 from .fundamentals_queries import restated
 from .ledger_queries import positions, stock_quotes
+from ..sources.testtables import key_of
 from .registry import query
 
 
@@ -51,7 +52,7 @@ def _(t):
 @query("j07_j19_recorded_receivables", "account_id as_of:d symbol record_date:d gross:2 recorded:b")
 def _(t):
     lines = t.receivables().withColumn("line_id", F.concat_ws("/", "account_id", "symbol", "record_date")).withColumnRenamed("entitlement", "gross")
-    half = F.substring("symbol", 2, 6).cast("long") % 2 == 0
+    half = key_of("symbol") % 2 == 0
     return Dv.mark_recorded(lines, t.transactions().filter(~half).withColumn("record_date", F.when(F.col("txn_id") % 3 != 0, F.col("record_date"))))
 
 

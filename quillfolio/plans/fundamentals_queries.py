@@ -8,7 +8,7 @@ from ..functions import numeric as N
 from ..operators import fundamentals as Fu
 from ..operators import prices as P
 from ..sources import stored
-from ..sources.testtables import TAGS
+from ..sources.testtables import TAGS, key_of
 from .registry import query
 
 WIDE_SPEC = "symbol fiscal_year:i " + " ".join(f"{t}:{2 if i < 14 else 6}" for i, t in enumerate(TAGS))
@@ -118,15 +118,15 @@ def _(t):
 
 def _verdicts(t):
     facts = t.facts().filter("is_current")
-    n = (F.substring("symbol", 2, 2).cast("int") + F.col("fiscal_year") + F.length("tag")) % 6
+    n = (key_of("symbol").cast("int") + F.col("fiscal_year") + F.length("tag")) % 6
     v = F.col("value_reported")
     whole = F.floor(v * 100) / 100
     text = (
         F.when(n == 0, "").when(n == 1, "n.m.").when(n == 2, F.concat(F.lit("("), F.format_number(F.abs(whole), 2), F.lit(")")))
         .when(n == 3, F.format_number(whole, 2)).otherwise(F.format_number(whole + 1, 2))
     )
-    typed = facts.select("symbol", "fiscal_year", F.when(n == 5, F.concat("tag", F.lit("_note"))).otherwise(F.col("tag")).alias("tag"), text.alias("typed_text"))
-    have = facts.select("symbol", "fiscal_year", "tag", F.when(n == 3, whole).otherwise(v).alias("stored"))
+    typed = facts.select("symbol", "fiscal_year", "tag", text.alias("typed_text"))
+    have = facts.filter(n != 5).select("symbol", "fiscal_year", "tag", F.when(n == 3, whole).otherwise(v).alias("stored"))
     return Fu.verify_figures(have, typed)
 
 
@@ -135,9 +135,11 @@ def _(t):
     return Fu.verdict_summary(_verdicts(t))
 
 
-@query("k06_revisions_after_verification", "symbol fiscal_year:i tag revision:i is_current:b verification")
+@query("k06_revisions_after_verification", "symbol fiscal_year:i tag revision:i is_current:b value_reported:6 scale value_base:4 verification")
 def _(t):
-    return Fu.append_revisions(t.facts(), _verdicts(t))
+    held = t.facts().filter((key_of("symbol").cast("int") + F.col("fiscal_year") + F.length("tag")) % 6 != 5)
+    rows = Fu.append_revisions(held, _verdicts(t), stored.line_items(t.spark))
+    return rows.withColumn("value_base", N.to_base(F.col("value_reported"), F.col("scale")))
 
 
 @query("d04q_import_checks", "symbol fiscal_year:i severity reason")

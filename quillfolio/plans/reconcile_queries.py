@@ -10,6 +10,7 @@ from ..operators import reconcile as R
 from ..operators import returns as Re
 from ..operators.names import match_companies
 from .ledger_queries import positions, stock_quotes
+from ..sources.testtables import key_of, padded
 from .registry import query
 
 CHECK_DATE = "2001-03-31"
@@ -43,7 +44,7 @@ def _(t):
 
 def _names(t):
     k = F.col("p_partkey")
-    key = F.lpad((k % 1201).cast("string"), 9, "0")
+    key = padded(k, 9)
     return t.raw("part").select(
         F.when(k % 5 == 0, F.concat(F.lit("The Supplier-"), key, F.lit(" LTD."))).when(k % 5 == 1, F.concat(F.lit("supplier "), key, F.lit(" International")))
         .when(k % 5 == 2, F.concat(F.lit("Supplier Co. of "), key)).when(k % 5 == 3, F.col("p_name")).otherwise(F.concat(F.lit("Supplier "), key)).alias("company_name")
@@ -57,11 +58,11 @@ def _(t):
 
 def _pnl_lines(t):
     x = t.transactions().filter(F.col("trade_date").between(F.lit(START).cast("date"), F.lit(END).cast("date")) & F.col("txn_type").isin("buy", "sell"))
-    k = F.substring("symbol", 2, 6).cast("long")
+    k = key_of("symbol")
     lines = x.groupBy("account_id", "symbol").agg(
         F.sum(F.when(F.col("txn_type") == "buy", F.col("quantity")).otherwise(0.0)).alias("buy_qty"), F.sum(F.when(F.col("txn_type") == "sell", F.col("quantity")).otherwise(0.0)).alias("sale_qty"),
     ).filter(k % 10 != 9)
-    name = F.when(k % 7 == 0, F.concat(F.lit("Unlisted "), "symbol")).otherwise(F.concat(F.lit("Supplier "), F.lpad(k.cast("string"), 9, "0"), F.lit(" Limited")))
+    name = F.when(k % 7 == 0, F.concat(F.lit("Unlisted "), "symbol")).otherwise(F.concat(F.lit("Supplier "), padded(k, 9), F.lit(" Limited")))
     return lines.select("account_id", name.alias("company_name"), (F.col("buy_qty") + F.when(k % 8 == 3, 1.0).otherwise(0.0)).alias("buy_qty"), "sale_qty", (k * 10.0).alias("profit"))
 
 
@@ -224,7 +225,7 @@ def _(t):
 
 def _holding_lines(t):
     pos = positions(t).filter("quantity > 0").join(stock_quotes(t), "symbol")
-    k = F.substring("symbol", 2, 6).cast("long")
+    k = key_of("symbol")
     cost = F.floor(F.col("cost_basis") * 100 + F.lit(0.5)) / 100
     lock = F.when(k % 5 == 0, 2.0).otherwise(0.0)
     rows = pos.select(
@@ -258,7 +259,7 @@ def _(t):
 
 @query("d09q_dividend_line_rules", "line_id rule")
 def _(t):
-    k = F.substring("symbol", 2, 6).cast("long")
+    k = key_of("symbol")
     rows = t.receivables().select(
         F.concat_ws("/", "account_id", "symbol", "record_date").alias("line_id"), "holding", F.col("entitlement").alias("gross"),
         (F.col("rate") * 10 + F.when(k % 4 == 0, 0.5).otherwise(0.0)).alias("percent"), (F.col("entitlement") * 0.1).alias("tax"),

@@ -9,7 +9,6 @@ FIELDS = ["open", "high", "low", "close", "ycp", "trades", "volume", "value", "y
 
 # Fixed values.
 WINDOW_DAYS = 300
-MAX_WINDOWS = 20
 SLACK = 0.001
 
 
@@ -35,17 +34,18 @@ def read_board(boards: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFra
     )
     hi, lo, close = F.col("high"), F.col("low"), F.col("close")
     reason = (
-        F.when(~F.col("_present"), "not present in feed").when(close.isNull(), "no close price").when(F.col("trade_date").isNull(), "unusable updated_at")
-        .when(hi < lo, "high below low").when(close > hi * (1 + SLACK), "close above high").when(close < lo * (1 - SLACK), "close below low")
+        F.when(~F.col("_present"), "missing from the board").when(close.isNull(), "close missing").when(F.col("trade_date").isNull(), "day unreadable")
+        .when(hi < lo, "day's high under its low").when(close > hi * (1 + SLACK), "close over the day's high").when(close < lo * (1 - SLACK), "close under the day's low")
     )
     rows = rows.withColumn("reason", reason).drop("_present")
     return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null").select("board_id", "symbol", "reason")
 
 
-def backfill_windows(ranges: DataFrame) -> DataFrame:
-    """Fetch windows per symbol, counted back from the newest day: (symbol, start, end)."""
+def backfill_windows(ranges: DataFrame, newest: int | None = None) -> DataFrame:
+    """Fetch windows per symbol, counted back from the newest day: (symbol, start, end); all of them, or the `newest` ones."""
     step = WINDOW_DAYS + 1
-    n = F.least(F.floor(F.datediff("end", "start") / step) + 1, F.lit(MAX_WINDOWS)).cast("int")
+    n = F.floor(F.datediff("end", "start") / step) + 1
+    n = (n if newest is None else F.least(n, F.lit(newest))).cast("int")
     at = ranges.filter("start <= end").select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
     to = F.date_sub("end", (F.col("_i") * step).cast("int"))
     return at.select("symbol", F.greatest("start", F.date_sub(to, WINDOW_DAYS)).alias("from_date"), to.alias("to_date")).orderBy("symbol", "from_date")
@@ -54,10 +54,14 @@ def backfill_windows(ranges: DataFrame) -> DataFrame:
 def window_coverage(windows: DataFrame, fetched: DataFrame) -> DataFrame:
     """Rows each window brought; empty ones are before the archive starts, or gaps."""
     days = fetched.select("symbol", "trade_date").distinct()
-    w, d = windows.alias("w"), days.alias("d")
-    # A symbol has at most a few windows and one row per day, so the range is checked after the symbol join.
-    counted = w.join(d, (F.col("w.symbol") == F.col("d.symbol")) & F.col("d.trade_date").between(F.col("w.from_date"), F.col("w.to_date")), "left")
-    per = counted.groupBy(F.col("w.symbol").alias("symbol"), "w.from_date", "w.to_date").agg(F.count("d.trade_date").alias("rows"))
+    # Windows lie on a grid counted back from a symbol's newest one, so a day knows the number of its window.
+    newest = windows.groupBy("symbol").agg(F.max("to_date").alias("_newest"))
+    nth = lambda day: F.floor(F.datediff("_newest", day) / (WINDOW_DAYS + 1))
+    brought = days.join(newest, "symbol").filter(F.col("trade_date") <= F.col("_newest")).withColumn("_nth", nth("trade_date"))
+    held = windows.join(newest, "symbol").withColumn("_nth", nth("to_date"))
+    oldest = held.groupBy("symbol").agg(F.min("from_date").alias("_oldest"))
+    counts = brought.join(oldest, "symbol").filter(F.col("trade_date") >= F.col("_oldest")).groupBy("symbol", "_nth").agg(F.count(F.lit(1)).alias("rows"))
+    per = held.join(counts, ["symbol", "_nth"], "left").select("symbol", "from_date", "to_date", F.coalesce("rows", F.lit(0)).alias("rows"))
     first = days.groupBy("symbol").agg(F.min("trade_date").alias("earliest"))
     j = per.join(first, "symbol", "left")
     status = F.when(F.col("rows") > 0, "filled").when(F.col("to_date") < F.col("earliest"), "before archive").otherwise("gap")

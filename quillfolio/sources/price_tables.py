@@ -133,8 +133,8 @@ def read_price_rows(heads: DataFrame, body: DataFrame, fallback_symbol: str | No
     rows = once(picked, ["file", "line_no", "raw", "symbol"], {
         "trade_date": read_date(at("date"), F.coalesce("month_first", F.lit(False)), cleaned=True),
         **{f: cell_number(at(f), cleaned=True) for f in ("close", "open", "high", "low")}, "volume": F.floor(cell_number(at("volume"), cleaned=True) + 0.5),
-        "_file_issue": F.when(F.col("at_date").isNull(), "no date column").when(F.col("at_close").isNull(), "no closing price column")
-        .when(F.col("conflict"), "dates written both ways round"),
+        "_file_issue": F.when(F.col("at_date").isNull(), "date column missing").when(F.col("at_close").isNull(), "close column missing")
+        .when(F.col("conflict"), "day and month order is unclear"),
     })
     reason = (
         F.when(F.col("_file_issue").isNotNull(), F.col("_file_issue")).when(F.col("trade_date").isNull(), "unreadable date")

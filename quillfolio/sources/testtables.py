@@ -24,8 +24,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def padded(key: Column, width: int) -> Column:
+    """A number with zeros in front up to a width; longer ones stay whole."""
+    return F.lpad(key.cast("string"), F.greatest(F.lit(width), F.length(key.cast("string"))), F.lit("0"))
+
+
+def key_of(symbol: str) -> Column:
+    """The number behind a symbol's letter."""
+    return F.expr(f"substring({symbol}, 2)").cast("long")
+
+
 def _code(prefix: str, key: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(key.cast("string"), width, "0"))
+    return F.concat(F.lit(prefix), padded(key, width))
 
 
 def supplier_code(key: Column) -> Column:
@@ -161,7 +171,7 @@ class TestTables:
     def figures(self) -> DataFrame:
         """Reported figures, one wide row per (company, fiscal year)."""
         company = self.companies().select("symbol", "fye_month", "fye_day")
-        k = F.substring("symbol", 2, 2).cast("int")
+        k = key_of("symbol").cast("int")
         sold = (
             self.raw("lineitem")
             .join(self.raw("supplier").select("s_suppkey", nation_code(F.col("s_nationkey")).alias("symbol")), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -346,7 +356,7 @@ class TestTables:
 
         upto = self.transactions().filter(F.col("trade_date") <= F.lit(as_of).cast("date"))
         held = day_states(upto).groupBy("account_id", "symbol").agg(F.max_by(F.struct("q", "c"), "trade_date").alias("s")).select("account_id", "symbol", "s.*")
-        k = F.substring("symbol", 2, 6).cast("long")
+        k = key_of("symbol")
         return held.filter(((F.col("q") > 0) | (k % 13 == 0)) & (k % 11 != 0)).select(
             "account_id", "symbol",
             (F.col("q") + F.when(k % 9 == 0, 10.0).when(k % 9 == 1, -1.0).otherwise(0.0)).alias("quantity"),
@@ -355,13 +365,13 @@ class TestTables:
 
     def report_lines(self) -> DataFrame:
         """Dividend report lines: one per (account, symbol, record date) of the ledger's dividends."""
-        k = F.substring("symbol", 2, 6).cast("long")
+        k = key_of("symbol")
         rows = self.transactions().filter("record_date is not null and txn_type = 'dividend'").groupBy("account_id", "symbol", "record_date").agg(
             (F.sum(_cents(F.col("gross_amount"))) / 100).alias("gross"), F.min("txn_id").alias("line_id")
         )
         return rows.select(
             F.col("account_id").alias("report_id"), F.concat_ws("/", "account_id", "symbol", "record_date").alias("line_id"), "account_id",
-            F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0"), F.when(k % 3 == 0, " Ltd.").otherwise("")).alias("company_name"),
+            F.concat(F.lit("Supplier#"), padded(k, 9), F.when(k % 3 == 0, " Ltd.").otherwise("")).alias("company_name"),
             F.when(k % 5 == 0, "elsewhere").otherwise("broker").alias("paid_via"),
             F.when(k % 4 == 0, F.date_add("record_date", 200)).otherwise(F.col("record_date")).alias("record_date"),
             F.lit(100.0).alias("holding"), (F.col("gross") + F.when(k % 6 == 0, 1.0).otherwise(0.0)).alias("gross"),
@@ -373,7 +383,7 @@ class TestTables:
     def price_file_lines(self) -> DataFrame:
         """Price files, one per company, written four ways, with repeats, junk and padding."""
         p = self.daily_prices()
-        k, day, doy = F.substring("symbol", 2, 2).cast("int"), F.datediff("trade_date", F.lit("1990-01-01").cast("date")), F.dayofyear("trade_date")
+        k, day, doy = key_of("symbol").cast("int"), F.datediff("trade_date", F.lit("1990-01-01").cast("date")), F.dayofyear("trade_date")
         style = k % 4
 
         def money(c: Column) -> Column:
@@ -423,7 +433,7 @@ class TestTables:
     def pasted_dividends(self) -> DataFrame:
         """Pasted dividend tables, one document per company, in three shapes."""
         d = self.declared()
-        k = F.substring("symbol", 2, 2).cast("int") % 3
+        k = key_of("symbol").cast("int") % 3
         ex, pay = F.col("ex_date"), F.date_add("ex_date", 30)
         amount = F.format_string("%.4f", "amount")
         td = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
@@ -445,7 +455,7 @@ class TestTables:
     def boards(self) -> DataFrame:
         """One JSON board per trading day, keyed by code, with a few unusable items."""
         p = self.daily_prices()
-        k, day = F.substring("symbol", 2, 2).cast("int"), F.dayofyear("trade_date")
+        k, day = key_of("symbol").cast("int"), F.dayofyear("trade_date")
         n = (k + day) % 40
         item = F.struct(
             F.col("open").alias("open"), F.when(n == 1, F.col("low") / 2).otherwise(F.col("high")).alias("high"), F.col("low").alias("low"),

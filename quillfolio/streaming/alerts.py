@@ -2,7 +2,8 @@
 
 The state says whether an alert is outstanding.  A day that reaches the level
 and may alert sends one and sets it; a day that does not reach clears it.  Over
-a full history this equals ``operators.targets.alerts``.
+a full history this equals ``operators.targets.alerts``.  A day older than one
+already judged leaves the state alone and comes out as a ``late`` row.
 """
 from __future__ import annotations
 
@@ -21,8 +22,10 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     outstanding, seen = state.get if state.exists else (False, None)
     out = []
     for day in days.itertuples(index=False):
-        # A day already judged (a replayed file) changes nothing.
+        # The last day again (a replayed file) changes nothing; an older one came late or was corrected: it is reported, to be judged anew from that day.
         if seen is not None and day.trade_date <= seen:
+            if day.trade_date < seen:
+                out.append((*key, day.trade_date, day.close, day.level, "late"))
             continue
         seen = day.trade_date
         if day.reached and day.can_send and not outstanding:

@@ -125,4 +125,4 @@ def test_price_files_choose_columns_and_last_line(spark, tmp_path):
     good, bad = PT.read_price_rows(*PT.cells_of_lines(PT.read_price_lines(spark, str(tmp_path))), fallback_symbol="ZZZ")
     (g,) = good.collect()
     assert (g.symbol, g.trade_date, g.close, g.volume) == ("ABC", dt.date(2026, 9, 22), 1020.0, 2000)
-    assert sorted(r.reason for r in bad.collect()) == ["close not positive", "dates written both ways round", "dates written both ways round"]
+    assert sorted(r.reason for r in bad.collect()) == ["close not positive", "day and month order is unclear", "day and month order is unclear"]

@@ -30,7 +30,34 @@ WEIGHTS = (3.0, 1.0, 2.0)
 @query("op1_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "whole_copies", "sampled")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "whole_copies")
+
+
+ORACLES["op1_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || md5('1:' || doc_id)[1:12])::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3::DOUBLE, 1::DOUBLE, 2::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sized GROUP BY source
+), levels AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - 2::DOUBLE * coalesce(sum(source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, source_size / weight AS fill
+  FROM sources WINDOW f AS (ORDER BY source_size / weight, source NULLS LAST)
+), cut AS (
+  SELECT arg_min(level, fill) AS level, min(fill) AS fill FROM levels WHERE level * weight <= source_size * 2::DOUBLE
+), targets AS (
+  SELECT source, source_size, CASE WHEN l.fill >= cut.fill THEN cut.level * weight ELSE source_size * 2::DOUBLE END AS target FROM levels l, cut
+), parts AS (
+  SELECT *, floor(target / source_size)::BIGINT AS whole_copies, target / source_size - floor(target / source_size) AS part FROM targets
+), ranked AS (
+  SELECT s.*, p.source_size, p.target, p.whole_copies, p.target - p.whole_copies * p.source_size AS wanted,
+    CASE WHEN part > 0 THEN u / (1 - u) / (part / (1 - part) * (1000::DOUBLE / (1000::DOUBLE + size))) END AS rank
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, source, whole_copies,
+  size * (whole_copies + CASE WHEN rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 <= wanted THEN 1 ELSE 0 END) AS taken
+FROM ranked
+"""
 
 
 @query("op10_bottom_k")

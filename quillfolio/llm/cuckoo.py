@@ -10,14 +10,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import scratch
+from .common import scratch, stored
 from .tokens import arrow_schema, mix
 
 _U = np.uint64
 _BLANKS = b" \t\n\x0b\x0c\r"
 _KEYS = "hi long, lo long, doc long, twin long"
+_KEY = ["shard", "hi", "lo"]
 #: Stands for a missing doc_id: after all others.
 _LAST = 2**63 - 1
+#: A key with more than 1/_HOT of all references is frequent; so at most _HOT keys are.
+_HOT = 4096
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -156,8 +159,13 @@ class LineIndex:
     least: int = 10
 
     @classmethod
-    def new(cls, spark: SparkSession, path: str | None = None, shards: int = 64, least: int = 10) -> LineIndex:
-        """An empty index in `path` (a fresh folder below the checkpoint folder by default); about one shard for a million distinct lines."""
+    def new(cls, spark: SparkSession, path: str | None = None, shards: int | None = None, least: int = 10) -> LineIndex:
+        """An empty index in `path` (a fresh folder below the checkpoint folder by default).
+
+        A shard's keys and filter are one task's; there are as many shards as shuffle
+        partitions, 64 at least, unless their number is given: about one for a million distinct lines.
+        """
+        shards = shards or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
         return cls(spark, path or scratch(spark), 0, shards, least)
 
     def _refs(self) -> DataFrame:
@@ -244,7 +252,7 @@ class LineIndex:
             if not self.version:
                 return sure.drop("maybe")
             # What the filter takes for known is looked up: a wrong guess is new as well.
-            return sure.drop("maybe").unionByName(probed.filter("maybe").drop("maybe").join(held, ["shard", "hi", "lo"], "left_anti"))
+            return sure.drop("maybe").unionByName(probed.filter("maybe").drop("maybe").join(held.select(*_KEY).distinct(), _KEY, "left_anti"))
 
         return self._write(came, 1, new, True)
 
@@ -254,8 +262,8 @@ class LineIndex:
         held = self.live()
 
         def gone(refs: DataFrame) -> DataFrame:
-            left = held.join(ids, "doc", "left_anti")
-            return refs.select("shard", "hi", "lo").distinct().join(left, ["shard", "hi", "lo"], "left_anti")
+            left = held.join(ids, "doc", "left_anti").select(*_KEY).distinct()
+            return refs.select(*_KEY).distinct().join(left, _KEY, "left_anti")
 
         return self._write(held.join(ids, "doc", "left_semi"), -1, gone, False)
 
@@ -270,8 +278,12 @@ class LineIndex:
         Every line of a key that two documents hold goes, but for those in the document
         with the smallest doc_id; other lines stay, joined by newlines.
         """
-        many = self.counts().filter("n_docs > 1").drop("n_docs")
-        drop = self.live().join(many, ["shard", "hi", "lo"]).filter("doc <> first or twin <> first_twin")
+        refs, many = self.live(), stored(self.counts().filter("n_docs > 1"))
+        # The references of a frequent key stay where they are: their keys, at most _HOT, are broadcast.
+        frequent = F.col("n_docs") * _HOT > refs.count()
+        hot = F.broadcast(many.filter(frequent).drop("n_docs"))
+        rare = refs.join(hot, _KEY, "left_anti").join(many.filter(~frequent).drop("n_docs"), _KEY)
+        drop = refs.join(hot, _KEY).unionByName(rare).filter("doc <> first or twin <> first_twin")
         lists = drop.groupBy("doc", "twin").agg(F.collect_list(F.struct("hi", "lo")).alias("drop"))
         least = self.least
 

@@ -188,6 +188,13 @@ def test_lines_go_and_come_back(spark, docs, empty, texts):
     assert cuckoo.LineIndex.new(spark).insert(empty).deduplicated(docs).count() == docs.count()
 
 
+def test_lines_of_rare_and_frequent_keys_meet(spark, docs, texts, monkeypatch):
+    some, plain = docs.filter("doc_id is not null"), plain_lines(texts)
+    for most in (4, 20):  # some keys, or few, count as frequent
+        monkeypatch.setattr(cuckoo, "_HOT", most)
+        assert {r.doc_id: r.kept for r in cuckoo.LineIndex.new(spark).insert(some).deduplicated(some).collect()} == plain
+
+
 def test_cuckoo_filter_has_no_false_negatives():
     rng = np.random.default_rng(2)
     hi, lo = rng.integers(-(2**63), 2**63, (2, 20_000))

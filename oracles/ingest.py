@@ -17,7 +17,7 @@ cte("board_all", """SELECT strftime(b.d, '%Y-%m-%d') AS board_id, m.symbol, i.*
  WHEN high < low THEN 'day''s high under its low' WHEN close > high * 1.001 THEN 'close over the day''s high' WHEN close < low * 0.999 THEN 'close under the day''s low' END AS reason
  FROM (SELECT DISTINCT trade_date AS d FROM board_item WHERE n <> 6) b JOIN member m ON true LEFT JOIN board_item i ON i.symbol = m.symbol AND i.trade_date = b.d""", "board_item", "member")
 oracle("s07_d05q_board_quotes", "SELECT * FROM board_all WHERE reason IS NULL", "board_all")
-oracle("s07_board_skips", "SELECT * FROM board_all WHERE reason IS NOT NULL", "board_all")
+oracle("s07_board_skips", "SELECT * FROM board_all WHERE reason IS NOT NULL AND (reason <> 'missing from the board' OR board_id = (SELECT max(board_id) FROM board_all))", "board_all")
 oracle("s08_archive_pages", "SELECT symbol || '/' || year(trade_date) AS file, * FROM px", "px")
 oracle("s09_pasted_dividends", """SELECT symbol AS doc_id, ex_date, amount, ex_date + 30 AS payment_date, CASE WHEN CAST(symbol[2:] AS INTEGER) % 3 = 0 THEN 'Annual' END AS kind, restated AS looks_restated FROM decl WHERE amount > 0""", "decl")
 oracle("s09_unreadable_dividend_rows", """SELECT symbol AS doc_id, count(*) + CASE WHEN CAST(symbol[2:] AS INTEGER) % 3 = 2 THEN 0 ELSE 1 END AS pos, CASE WHEN CAST(symbol[2:] AS INTEGER) % 3 = 1 THEN 'none | -' ELSE 'no figures here' END AS raw FROM decl GROUP BY symbol
@@ -39,7 +39,7 @@ ACC = "(SELECT DISTINCT c_mktsegment AS account_id, 'Broker ' || c_mktsegment[1]
 oracle("j01_ledger_listing", f"SELECT * FROM txn JOIN listing USING (symbol) JOIN {ACC} USING (account_id)", "txn", "listing")
 oracle("q_accounts", f"SELECT * FROM {ACC}")
 oracle("q_targets_listing", f"SELECT t.target_id, t.symbol, l.name, t.account_id, a.broker FROM target t JOIN listing l USING (symbol) LEFT JOIN {ACC} a ON a.account_id = t.account_id", "target", "listing")
-oracle("p04_quoted_members", "SELECT * FROM company c WHERE is_active AND (is_tracked OR EXISTS (SELECT 1 FROM px WHERE px.symbol = c.symbol AND volume > 200))", "company", "px")
+oracle("p04_quoted_members", "SELECT * FROM company c WHERE is_active AND (is_tracked OR EXISTS (SELECT 1 FROM px WHERE px.symbol = c.symbol))", "company", "px")
 oracle("j02_alt_symbols", "SELECT symbol, sector, CASE WHEN k % 2 = 0 THEN 'A' || k ELSE '' END AS alt_symbols FROM company", "company")
 oracle("j14_w19_duplicate_documents", """SELECT doc_id, keep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY CASE WHEN lang <> 'en' THEN lang END, md5(text)) AS keep_id FROM documents) WHERE doc_id > keep_id""")
 oracle("j14_unreferenced_documents", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

@@ -42,10 +42,10 @@ oracle("a30_price_coverage", """SELECT *, days >= 200 AS has_year, days >= 250 A
 oracle("f06_change_on_previous_close", "SELECT *, CASE WHEN ycp > 0 THEN close / ycp - 1 END AS change_pct FROM quote", "quote")
 STORED = "SELECT * FROM px WHERE dayofyear(trade_date) % 3 <> 0"
 INC = """SELECT symbol, trade_date, CASE WHEN dayofyear(trade_date) % 4 = 0 THEN open + 1 END AS open, high, CAST(NULL AS DOUBLE) AS low, close + 1 AS close,
- CASE WHEN dayofyear(trade_date) % 5 <> 0 THEN volume END AS volume FROM px WHERE dayofyear(trade_date) % 2 = 0"""
+ CASE WHEN dayofyear(trade_date) % 5 <> 0 THEN volume END AS volume FROM px WHERE dayofyear(trade_date) % 2 = 0 OR dayofyear(trade_date) % 3 = 0"""
 oracle("k01_upsert_replace", f"SELECT symbol, trade_date, open, high, low, close, volume FROM ({INC}) UNION ALL SELECT symbol, trade_date, open, high, low, close, volume FROM ({STORED}) WHERE dayofyear(trade_date) % 2 <> 0", "px")
 oracle("k02_upsert_coalesce", f"SELECT symbol, trade_date, coalesce(i.open, s.open) AS open, coalesce(i.high, s.high) AS high, coalesce(i.low, s.low) AS low, coalesce(i.close, s.close) AS close, coalesce(i.volume, s.volume) AS volume FROM ({INC}) i FULL JOIN ({STORED}) s USING (symbol, trade_date)", "px")
 oracle("k03_merge_preview", """SELECT symbol, count(*) FILTER (i) AS rows, min(trade_date) FILTER (i) AS from_date, max(trade_date) FILTER (i) AS to_date, count(*) FILTER (i AND s) AS replaces, count(*) FILTER (s) AS stored
- FROM (SELECT symbol, trade_date, dayofyear(trade_date) % 2 = 0 AS i, dayofyear(trade_date) % 3 <> 0 AS s FROM px) GROUP BY symbol HAVING count(*) FILTER (i) > 0""", "px")
+ FROM (SELECT symbol, trade_date, (dayofyear(trade_date) % 2 = 0 OR dayofyear(trade_date) % 3 = 0) AS i, dayofyear(trade_date) % 3 <> 0 AS s FROM px) GROUP BY symbol HAVING count(*) FILTER (i) > 0""", "px")
 oracle("z3_daily_bars_from_ticks", """SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks
  FROM events GROUP BY ALL""")

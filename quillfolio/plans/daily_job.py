@@ -13,13 +13,12 @@ PRICE_COLUMNS = ["symbol", "trade_date", "open", "high", "low", "close", "volume
 def ingest_day(boards: DataFrame, wanted: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
     """Quotes of the boards merged over the stored days, the skips, and a summary per board.
 
-    A board without a single usable quote has failed.
+    A wanted symbol is written or skipped; a board without a single usable quote has failed.
     """
     quotes, skips = read_board(boards, wanted)
-    counts = (
-        boards.select("board_id").join(quotes.groupBy("board_id").agg(F.count(F.lit(1)).alias("written")), "board_id", "left")
-        .join(skips.groupBy("board_id").agg(F.count(F.lit(1)).alias("skipped")), "board_id", "left").na.fill(0, ["written", "skipped"])
-    )
+    names = wanted.agg(F.count_distinct(F.upper("symbol"))).scalar()
+    written = quotes.groupBy("board_id").agg(F.count(F.lit(1)).alias("written"))
+    counts = boards.select("board_id").join(written, "board_id", "left").na.fill(0, ["written"]).withColumn("skipped", names - F.col("written"))
     newest = quotes.groupBy("symbol", "trade_date").agg(F.max_by(F.struct(*PRICE_COLUMNS[2:]), "board_id").alias("_r")).select("symbol", "trade_date", "_r.*")
     return {
         "prices": P.replace_prices(stored.select(*PRICE_COLUMNS), newest),

@@ -161,8 +161,7 @@ def _(t):
 
 @query("p04_quoted_members", "symbol is_tracked:b")
 def _(t):
-    traded = t.daily_prices().filter("volume > 200").select("symbol")
-    return stored.quoted_members(t.companies(), traded)
+    return stored.quoted_members(t.companies(), t.daily_prices())
 
 
 @query("j02_alt_symbols", "symbol alt_symbols sector")

@@ -13,32 +13,36 @@ SLACK = 0.001
 
 
 def read_board(boards: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable quotes, and a reason for every wanted symbol without one.
+    """Usable quotes, and a reason for every wanted symbol that a board lists without one.
 
     ``boards`` hold (board_id, payload); codes match whatever their case.  Money
-    comes in millions, and a zero price means there was no trade.
+    comes in millions, and a zero price means there was no trade.  Symbols that
+    a board does not list are named for the run's own board only, the one with
+    the largest board_id; an archive would give boards times symbols.
     """
     item = "struct<" + ", ".join(f"{f}: string" for f in FIELDS + ["updated_at"]) + ">"
     parsed = boards.select("board_id", F.from_json("payload", f"map<string, {item}>").alias("_m"))
     quoted = parsed.select("board_id", F.posexplode("_m").alias("_i", "_k", "_v")).groupBy("board_id", F.upper("_k").alias("symbol")).agg(F.max_by("_v", "_i").alias("_v"))
-    symbols = wanted.agg(F.collect_set(F.upper("symbol"))).scalar()
-    asked = parsed.filter("_m is not null").select("board_id", F.explode(symbols).alias("symbol"))
-    j = asked.join(quoted, ["board_id", "symbol"], "left")
+    names = wanted.select(F.upper("symbol").alias("symbol")).distinct()
+    listed = quoted.filter("_v is not null").join(names, "symbol", "left_semi")
     number = {f: F.col(f"_v.{f}").try_cast("double") for f in FIELDS}
     priced = {f: positive(number[f]) for f in ("open", "high", "low", "close", "ycp", "yearly_high", "yearly_low")}
     stamp = F.regexp_extract(F.col("_v.updated_at"), r"^(\d{4}-\d{2}-\d{2})", 1)
-    rows = j.select(
-        "board_id", "symbol", F.col("_v").isNotNull().alias("_present"), F.try_to_date(F.nullif(stamp, F.lit("")), "yyyy-MM-dd").alias("trade_date"),
+    rows = listed.select(
+        "board_id", "symbol", F.try_to_date(F.nullif(stamp, F.lit("")), "yyyy-MM-dd").alias("trade_date"),
         *[c.alias(f) for f, c in priced.items()], number["volume"].alias("volume"), number["trades"].alias("trades"),
         (F.floor(number["value"] * 1e6 * 100 + 0.5) / 100).alias("turnover"),
     )
     hi, lo, close = F.col("high"), F.col("low"), F.col("close")
     reason = (
-        F.when(~F.col("_present"), "missing from the board").when(close.isNull(), "close missing").when(F.col("trade_date").isNull(), "day unreadable")
+        F.when(close.isNull(), "close missing").when(F.col("trade_date").isNull(), "day unreadable")
         .when(hi < lo, "day's high under its low").when(close > hi * (1 + SLACK), "close over the day's high").when(close < lo * (1 - SLACK), "close under the day's low")
     )
-    rows = rows.withColumn("reason", reason).drop("_present")
-    return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null").select("board_id", "symbol", "reason")
+    rows = rows.withColumn("reason", reason)
+    newest = parsed.filter("_m is not null").agg(F.max("board_id").alias("board_id"))
+    absent = names.join(listed.filter(F.col("board_id") == newest.scalar()).select("symbol"), "symbol", "left_anti")
+    missing = absent.select(newest.scalar().alias("board_id"), "symbol", F.lit("missing from the board").alias("reason")).filter("board_id is not null")
+    return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null").select("board_id", "symbol", "reason").unionByName(missing)
 
 
 def backfill_windows(ranges: DataFrame, newest: int | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from quillfolio.operators import names as Nm
 from quillfolio.operators import prices as P
 from quillfolio.operators import reconcile as R
 from quillfolio.operators import returns as Re
+from quillfolio.plans import daily_job
 from quillfolio.sources import price_tables as PT
 
 
@@ -126,3 +127,20 @@ def test_price_files_choose_columns_and_last_line(spark, tmp_path):
     (g,) = good.collect()
     assert (g.symbol, g.trade_date, g.close, g.volume) == ("ABC", dt.date(2026, 9, 22), 1020.0, 2000)
     assert sorted(r.reason for r in bad.collect()) == ["close not positive", "day and month order is unclear", "day and month order is unclear"]
+
+
+def test_board_names_absent_symbols_on_its_own_day_only(spark):
+    quote = '{"close": "10", "high": "11", "low": "9", "volume": "5", "updated_at": "%s 14:00"}'
+    boards = spark.createDataFrame([
+        ("2025-01-01", '{"aa": %s, "BB": {"close": "0"}, "ZZ": {"close": "1"}}' % quote % "2025-01-01"),
+        ("2025-01-02", '{"AA": %s, "CC": null}' % quote % "2025-01-02"),
+    ], "board_id string, payload string")
+    wanted = spark.createDataFrame([("aa",), ("AA",), ("BB",), ("CC",)], "symbol string")
+    stored = spark.createDataFrame([], "symbol string, trade_date date, open double, high double, low double, close double, volume double, turnover double")
+    day = daily_job.ingest_day(boards, wanted, stored)
+    assert sorted((r.symbol, str(r.trade_date), r.close) for r in day["prices"].collect()) == [("AA", "2025-01-01", 10.0), ("AA", "2025-01-02", 10.0)]
+    assert sorted(tuple(r) for r in day["skips"].collect()) == [
+        ("2025-01-01", "BB", "close missing"), ("2025-01-02", "BB", "missing from the board"), ("2025-01-02", "CC", "missing from the board"),
+    ]
+    assert sorted((r.board_id, r.written, r.skipped, r.ok) for r in day["summary"].collect()) == [("2025-01-01", 1, 2, True), ("2025-01-02", 1, 2, True)]
+    assert daily_job.ingest_day(boards.limit(0), wanted, stored)["skips"].count() == 0

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.prices import merge_prices, replace_prices
@@ -16,25 +16,42 @@ KEY = ["symbol", "trade_date"]
 FIELDS = ["close", "open", "high", "low", "volume"]
 
 
-def _paths(store: str, version: int) -> str:
-    return f"{store}/version={version}"
+STORED = "symbol string, trade_date date, close double, open double, high double, low double, volume double, batch long, month int"
+
+
+def _month(day: Column) -> Column:
+    """yyyymm; 0 for a missing day."""
+    return F.coalesce(F.year(day) * 100 + F.month(day), F.lit(0))
+
+
+def stored_days(spark: SparkSession, store: str, before: int | None = None, months: list[int] | None = None) -> DataFrame:
+    """The stored days: each month as the newest batch left it (the newest one before batch `before`); all months, or some (as yyyymm)."""
+    rows = spark.read.schema(STORED).parquet(store)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    if months is not None:
+        rows = rows.filter(F.col("month").isin(months))
+    newest = rows.groupBy("month").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["month", "batch"]).select(*KEY, *FIELDS)
 
 
 def merge_into_store(spark: SparkSession, store: str, keep_missing: bool = True) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink keeping the merged days under ``store``.
+    """A ``foreachBatch`` sink keeping the merged days under ``store``, read by ``stored_days``.
 
-    Batch n reads version n - 1 and writes version n, so a batch replayed after
-    a failure writes the same version again and no version is changed in place.
+    Batch n reads the months that it touches, as earlier batches left them, and writes these
+    months whole below batch=n.  Other months are neither read nor written.  A batch
+    replayed after a failure reads the same and writes batch=n again; nothing older is changed in place.
     """
     def sink(batch: DataFrame, epoch: int) -> None:
         # A repeated key within a batch: the row that arrived last wins.
         newest = batch.groupBy(*KEY).agg(F.max_by(F.struct(*FIELDS), "arrived").alias("_r")).select(*KEY, "_r.*")
-        if epoch == 0:
-            merged = newest
-        else:
-            stored = spark.read.parquet(_paths(store, epoch - 1)).select(*KEY, *FIELDS)
+        merged = newest
+        if epoch > 0:
+            # Twelve numbers a year of the calendar, however many rows came.
+            months = [r.month for r in batch.select(_month(F.col("trade_date")).alias("month")).distinct().collect()]
+            stored = stored_days(spark, store, epoch, months)
             merged = merge_prices(stored, newest) if keep_missing else replace_prices(stored, newest)
-        merged.withColumn("year", F.year("trade_date")).write.mode("overwrite").partitionBy("year").parquet(_paths(store, epoch))
+        merged.withColumn("month", _month(F.col("trade_date"))).write.mode("overwrite").partitionBy("month").parquet(f"{store}/batch={epoch}")
 
     return sink
 

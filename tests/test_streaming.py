@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillfolio.operators import targets as Tg
 from quillfolio.streaming.alerts import stream_alerts
 from quillfolio.streaming.bars import daily_bars
-from quillfolio.streaming.prices import start_price_stream
+from quillfolio.streaming.prices import merge_into_store, start_price_stream, stored_days
 
 
 def test_price_stream_upserts_late_and_corrected_days(spark, tmp_path):
@@ -22,8 +22,18 @@ def test_price_stream_upserts_late_and_corrected_days(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema(schema).parquet(str(src))
         start_price_stream(stream, str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
-    rows = {r.trade_date: (r.close, r.open, r.volume) for r in spark.read.parquet(str(tmp_path / "store" / "version=1")).collect()}
-    assert rows == {d(2025, 1, 2): (10.5, 9.0, 100.0), d(2025, 1, 3): (12.0, 9.0, 100.0), d(2024, 12, 31): (8.0, None, 6.0)}
+    store = str(tmp_path / "store")
+    held = lambda: {r.trade_date: (r.close, r.open, r.volume) for r in stored_days(spark, store).collect()}
+    want = {d(2025, 1, 2): (10.5, 9.0, 100.0), d(2025, 1, 3): (12.0, 9.0, 100.0), d(2024, 12, 31): (8.0, None, 6.0)}
+    assert held() == want
+    sink = merge_into_store(spark, store)
+    sink(spark.createDataFrame(batches[1], schema), 1)  # replayed
+    assert held() == want
+    sink(spark.createDataFrame([("X", d(2025, 3, 3), 5.0, None, None, None, None, 9)], schema), 2)
+    assert held() == want | {d(2025, 3, 3): (5.0, None, None)}
+    assert [p.name for p in (tmp_path / "store" / "batch=2").glob("month=*")] == ["month=202503"]
+    sink(spark.createDataFrame([], schema), 3)
+    assert held() == want | {d(2025, 3, 3): (5.0, None, None)}
 
 
 def test_alert_stream_equals_batch(spark, tmp_path):

@@ -22,6 +22,8 @@ _MESSAGE = "bucket int, g int, pairs boolean, a binary, b binary, c binary, d bi
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _UNIGRAM = "bucket int, id long, hash long, n long"
 _BIGRAM = "bucket int, history long, id long, n long"
+_SUMS = ["tokens", "types", *[f"count_{r}" for r in range(1, LOW + 2)]]
+_STATS = ", ".join(f"{c} long" for c in _SUMS)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -71,6 +73,20 @@ def _stats(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[counts.sum(), (counts > 0).sum()], [(counts == r).sum() for r in range(1, LOW + 2)]]).astype(np.int64)
 
 
+def _summed(parts: DataFrame, of) -> Column:
+    """The sums of of(rows) (as _stats gives them) over all buckets of some messages, as one array."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table([pa.array([x]) for x in of(rows).tolist()], schema=arrow_schema(_STATS))
+
+    total = parts.groupBy("bucket").applyInArrow(run, _STATS).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return total.select(F.array(*[F.coalesce(c, F.lit(0).cast("long")) for c in _SUMS])).scalar()
+
+
+def _attached(rows: pa.Table, name: str) -> np.ndarray:
+    """The sums that a column repeats on each row."""
+    return np.array(rows.column(name)[0].as_py(), np.int64)
+
+
 def _column(rows: pa.Table, name: str) -> pa.Array:
     column = rows.column(name)
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
@@ -93,17 +109,15 @@ class _Group:
         self.trained = ~self.held[self.doc]
         self.counts = np.bincount(self.word[self.trained], minlength=len(self.hashes))
 
-    def learn(self, answers: pa.Table, buckets: int) -> None:
-        """Take in numbers and counts of the words from the buckets' answers."""
+    def learn(self, answers: pa.Table, stats: np.ndarray, buckets: int) -> None:
+        """Take in numbers and counts of the words from the buckets' answers, and the sums over all words."""
         self.number, self.known = np.zeros(len(self.hashes), np.int64), np.zeros(len(self.hashes), np.int64)
         at = (self.hashes % _U(buckets)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(buckets + 1))
-        stats = np.zeros(2 + LOW + 1, np.int64)
-        for b, ids, counts, s in zip(*[answers.column(c).to_pylist() for c in ("bucket", "a", "b", "c")], strict=True):
+        for b, ids, counts in zip(*[answers.column(c).to_pylist() for c in ("bucket", "a", "b")], strict=True):
             mine = order[cuts[b] : cuts[b + 1]]
             self.number[mine], self.known[mine] = unpack(ids).astype(np.int64), unpack(counts).astype(np.int64)
-            stats += np.frombuffer(s, np.int64)
         self.stats, self.unigrams = stats, Unigrams(stats)
         begin = np.concatenate([[0], self.ends[:-1] + 1])
         history = np.empty(len(self.word), np.int64)
@@ -156,7 +170,8 @@ class KatzModel:
     tables are cut into `buckets` by hash: words by word, pairs by history; a history with more than a bucket's
     share of all tokens is dealt over as many buckets as shares, by the second word.  Texts
     are dealt into groups; a group sends each distinct word or pair once, with its count, so a frequent one
-    reaches its bucket once a group.
+    reaches its bucket once a group.  A group writes only to buckets that hold a word or pair of it, and only they
+    answer it; sums over all buckets are one row, aggregated on its own.
 
     A null text is empty (its end is its one token), a null doc_id is kept; repeated rows
     count and score each.  Without training rows each token is unknown, with probability 1.
@@ -184,7 +199,7 @@ class KatzModel:
             order = np.argsort(at, kind="stable")
             cuts = np.searchsorted(at[order], np.arange(buckets + 1))
             out = []
-            for b in range(buckets):  # every bucket answers every group, with its sums
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = order[cuts[b] : cuts[b + 1]]
                 out.append(_message(bucket=b, g=key[0].as_py(), pairs=False, a=group.hashes[mine].tobytes(), b=pack(group.counts[mine])))
             return pa.Table.from_pylist(out, arrow_schema(_MESSAGE))
@@ -199,15 +214,18 @@ class KatzModel:
         np.add.at(counts, at, np.concatenate([unpack(x) for x in rows.column("b").to_pylist()]).astype(np.int64))
         return np.split(at, np.cumsum([len(x) for x in sent])[:-1]), words, counts
 
+    @staticmethod
+    def _with_word_sums(grouped: DataFrame, words: DataFrame) -> DataFrame:
+        return grouped.withColumn("of_words", _summed(words, lambda rows: _stats(KatzModel._counted(rows)[2])))
+
     def _word_answers(self, words: DataFrame) -> DataFrame:
-        """To each group: the numbers and total counts of the words it sent (0 for untrained ones), and the bucket's sums."""
+        """To each group: the numbers and total counts of the words it sent (0 for untrained ones)."""
         buckets = self.buckets
 
         def run(key: tuple, rows: pa.Table) -> pa.Table:
             at, _, counts = KatzModel._counted(rows)
             numbers = np.where(counts > 0, (np.cumsum(counts > 0) - 1) * buckets + key[0].as_py() + BEGIN + 1, UNKNOWN)
-            stats = _stats(counts).tobytes()
-            out = [_message(bucket=key[0].as_py(), g=g, pairs=False, a=pack(numbers[x]), b=pack(counts[x]), c=stats) for g, x in zip(rows.column("g").to_pylist(), at, strict=True)]
+            out = [_message(bucket=key[0].as_py(), g=g, pairs=False, a=pack(numbers[x]), b=pack(counts[x])) for g, x in zip(rows.column("g").to_pylist(), at, strict=True)]
             return pa.Table.from_pylist(out, arrow_schema(_MESSAGE))
 
         return words.groupBy("bucket").applyInArrow(run, _MESSAGE)
@@ -220,12 +238,12 @@ class KatzModel:
             if not rows.num_rows:
                 return pa.Table.from_pylist([], arrow_schema(_MESSAGE))
             group = _Group(rows)
-            group.learn(answers, buckets)
+            group.learn(answers, _attached(rows, "of_words"), buckets)
             to, which = group.asks(buckets)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
             out = []
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(group.pair_cuts) + np.diff(cuts)).tolist():
                 mine = group.pair_order[group.pair_cuts[b] : group.pair_cuts[b + 1]]
                 v, n = np.unique((group.pairs[mine] >> _U(32)).astype(np.int64), return_counts=True)
                 out.append(_message(
@@ -262,12 +280,12 @@ class KatzModel:
             kind = np.minimum(totals[seen], LOW + 1)
             types = [np.append(np.bincount(nth[kind == r], minlength=len(v)), 0) for r in range(1, LOW + 2)]
             shares = np.append(np.bincount(nth, weights=own[seen], minlength=len(v)), 0.0)
-            stats, out = _stats(totals).tobytes(), []
+            out = []
             for g, x, e in zip(rows.column("g").to_pylist(), at, rows.column("e").to_pylist(), strict=True):
                 asked = np.cumsum(unpack(e).astype(np.int64))
                 place = np.searchsorted(v, asked)
                 place = np.where(np.append(v, -1)[place] == asked, place, len(v))
-                out.append(_message(bucket=key[0].as_py(), g=g, pairs=True, a=pack(totals[x]), b=pack(np.concatenate([t[place] for t in types])), c=stats, d=shares[place].tobytes()))
+                out.append(_message(bucket=key[0].as_py(), g=g, pairs=True, a=pack(totals[x]), b=pack(np.concatenate([t[place] for t in types])), d=shares[place].tobytes()))
             return pa.Table.from_pylist(out, arrow_schema(_MESSAGE))
 
         return pairs.groupBy("bucket").applyInArrow(run, _MESSAGE)
@@ -283,28 +301,31 @@ class KatzModel:
         """
         buckets = self.buckets
         grouped = self._grouped()
-        answers = self._word_answers(self._words(grouped))
-        both = answers.unionByName(self._pair_answers(self._pairs(grouped, answers)))
+        words = self._words(grouped)
+        answers = self._word_answers(words)
+        summed = self._with_word_sums(grouped, words)
+        pairs = self._pairs(summed, answers)
+        both = answers.unionByName(self._pair_answers(pairs))
+        summed = summed.withColumn("of_pairs", _summed(pairs, lambda rows: _stats(KatzModel._pair_counts(rows)[3])))
 
         def run(key: tuple, rows: pa.Table, sent: pa.Table) -> pa.Table:
             group = _Group(rows)
             of_pairs = sent.column("pairs").to_numpy(zero_copy_only=False).astype(bool)
-            group.learn(sent.filter(pa.array(~of_pairs)), buckets)
+            group.learn(sent.filter(pa.array(~of_pairs)), _attached(rows, "of_words"), buckets)
             uni = group.unigrams
             own = uni.shares(group.known)
-            totals, stats = np.zeros(len(group.pairs), np.int64), np.zeros(2 + LOW + 1, np.int64)
+            totals = np.zeros(len(group.pairs), np.int64)
             to, which = group.asks(buckets)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
             types, shares = np.zeros((len(group.asked), LOW + 1)), np.zeros(len(group.asked))
             back = sent.filter(pa.array(of_pairs))
-            for b, a, t, s, x in zip(*[back.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d")], strict=True):
+            for b, a, t, x in zip(*[back.column(c).to_pylist() for c in ("bucket", "a", "b", "d")], strict=True):
                 totals[group.pair_order[group.pair_cuts[b] : group.pair_cuts[b + 1]]] = unpack(a).astype(np.int64)
                 mine = which[order[cuts[b] : cuts[b + 1]]]
                 np.add.at(types, mine, unpack(t).astype(float).reshape(LOW + 1, -1).T)
                 np.add.at(shares, mine, np.frombuffer(x))
-                stats += np.frombuffer(s, np.int64)
-            d = discounts(stats[2:])
+            d = discounts(_attached(rows, "of_pairs")[2:])
             word = own[group.word]
             p = np.log10(word)  # after an unknown history
             known = (group.history != UNKNOWN) & (group.of_history > 0)
@@ -323,7 +344,7 @@ class KatzModel:
                  pa.array(np.full(group.docs, uni.tokens)), pa.array(of(base)), pa.array(of(p))], schema=arrow_schema(_SCORE),
             )
 
-        return grouped.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(run, _SCORE)
+        return summed.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(run, _SCORE)
 
     def tables(self) -> tuple[DataFrame, DataFrame]:
         """The model's tables: words (bucket, id, hash, n) and pairs (bucket, history, id, n); history 1 is a text's beginning."""
@@ -344,7 +365,7 @@ class KatzModel:
                 [pa.array(np.full(len(n), b, np.int32)), pa.array((pairs >> _U(32)).astype(np.int64)), pa.array((pairs & _U(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], schema=arrow_schema(_BIGRAM)
             )
 
-        return words.groupBy("bucket").applyInArrow(unigrams, _UNIGRAM), self._pairs(grouped, self._word_answers(words)).groupBy("bucket").applyInArrow(bigrams, _BIGRAM)
+        return words.groupBy("bucket").applyInArrow(unigrams, _UNIGRAM), self._pairs(self._with_word_sums(grouped, words), self._word_answers(words)).groupBy("bucket").applyInArrow(bigrams, _BIGRAM)
 
     def store(self, path: str) -> None:
         """Write the model's tables to path/unigrams and path/bigrams, partitioned by bucket."""

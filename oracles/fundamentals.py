@@ -29,6 +29,13 @@ oracle("f03_action_factors", "SELECT *, f AS factor FROM factor", "factor")
 oracle("j06_cumulative_factors", "SELECT * FROM adj_factor", "adj_factor")
 oracle("a05_verification_counts", """SELECT symbol, fiscal_year, count(*) AS total, count(*) FILTER (verification = 'unverified') AS unverified, count(*) FILTER (verification = 'verified') AS verified,
  count(*) FILTER (verification = 'disputed') AS disputed FROM base_facts GROUP BY ALL""", "base_facts")
+oracle("q_period_summaries", """SELECT p.*, coalesce(n, 0) AS facts, coalesce(u, 0) AS unverified, coalesce(v, 0) AS verified, coalesce(d, 0) AS disputed FROM (
+ SELECT symbol, fiscal_year, unnest(CASE WHEN (k + fiscal_year) % 4 = 0 THEN ['consolidated', 'standalone'] ELSE ['consolidated'] END) AS basis, (k + fiscal_year) % 3 <> 0 AS is_complete,
+  make_date(fiscal_year - 1, fye_month, 1) + INTERVAL 1 MONTH AS first, CAST(first AS DATE) AS period_start, last_day(make_date(fiscal_year, fye_month, 1)) AS period_end FROM sold) p
+LEFT JOIN (SELECT symbol, fiscal_year, 'consolidated' AS basis, count(*) AS n, count(*) FILTER (verification = 'unverified') AS u, count(*) FILTER (verification = 'verified') AS v,
+  count(*) FILTER (verification = 'disputed') AS d FROM base_facts GROUP BY ALL) c USING (symbol, fiscal_year, basis)""", "sold", "base_facts")
+oracle("q_fact_history", """SELECT * FROM wide JOIN (SELECT symbol, count(*) AS facts, count(*) FILTER (verification = 'unverified') AS unverified, count(*) FILTER (verification = 'disputed') AS disputed
+ FROM base_facts GROUP BY symbol) USING (symbol)""", "wide", "base_facts")
 cte("dps", "SELECT symbol, arg_max(dividend_per_share, fiscal_year) AS dividend_per_share, max(fiscal_year) AS fiscal_year FROM adj WHERE dividend_per_share IS NOT NULL GROUP BY symbol", "adj")
 oracle("a15_latest_dps", "SELECT * FROM dps", "dps")
 cte("screen", """

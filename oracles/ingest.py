@@ -37,6 +37,8 @@ oracle("q_actions_by_symbol", "SELECT * FROM act", "act")
 oracle("q_announced_dividends", "SELECT *, action_id % 3 = 0 AS restated FROM act WHERE action_type = 'cash_dividend' AND ex_date IS NOT NULL", "act")
 ACC = "(SELECT DISTINCT c_mktsegment AS account_id, 'Broker ' || c_mktsegment[1] AS broker, c_mktsegment <> 'FURNITURE' AS is_active FROM customer)"
 oracle("j01_ledger_listing", f"SELECT * FROM txn JOIN listing USING (symbol) JOIN {ACC} USING (account_id)", "txn", "listing")
+oracle("q_company_names", "SELECT symbol, name, short_name FROM company", "company")
+oracle("q_source_documents", "SELECT doc_id, 'N' || lpad(CAST(doc_id % 25 AS VARCHAR), 2, '0') AS symbol, 1992 + doc_id % 8 AS fiscal_year, source, md5(text) AS title FROM documents")
 oracle("q_accounts", f"SELECT * FROM {ACC}")
 oracle("q_targets_listing", f"SELECT t.target_id, t.symbol, l.name, t.account_id, a.broker FROM target t JOIN listing l USING (symbol) LEFT JOIN {ACC} a ON a.account_id = t.account_id", "target", "listing")
 oracle("p04_quoted_members", "SELECT * FROM company c WHERE is_active AND (is_tracked OR EXISTS (SELECT 1 FROM px WHERE px.symbol = c.symbol))", "company", "px")
@@ -45,8 +47,14 @@ oracle("j14_w19_duplicate_documents", """SELECT doc_id, keep_id FROM (SELECT doc
 oracle("j14_unreferenced_documents", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 oracle("x04_names_from_files", f"SELECT DISTINCT {FILE} AS file, symbol AS company FROM px", "px")
 oracle("x01_x02_numbers_read", "SELECT symbol, trade_date, close AS plain, -close AS negative, close * 1000 AS thousands, close * 1000000 AS millions, NULL AS missing FROM px", "px")
-oracle("x05_wrapped_text", "SELECT page_id, 'Cheque REF' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(9, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') || '77 paid in' AS text, CASE WHEN page_id % 2 = 0 THEN 'SQP' || page_id || 'A' END AS code FROM pages")
-oracle("x06_cell_text", "SELECT symbol, trade_date, 'A & B ' || symbol || ' ''s <' || CAST(floor(close) AS BIGINT) || '> end' AS text FROM px", "px")
+oracle("x05_wrapped_text", r"""SELECT page_id, coalesce(list_aggregate(list_transform(l, lambda x, i: x || CASE WHEN i = len(l) OR (i >= 2 AND length(x) >= 9 AND NOT contains(x, ' ')) THEN '' ELSE ' ' END), 'string_agg', ''), '') AS text,
+ CASE WHEN regexp_full_match(j, '[A-Z0-9][A-Z0-9&.-]{1,19}') THEN j END AS code
+ FROM (SELECT page_id, l, translate(coalesce(l[1], '') || coalesce(l[2], ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS j FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1) AS l FROM pages))""")
+oracle("x06_cell_text", r"""SELECT page_id, place, regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(bare, '&') THEN
+  replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(bare, '&amp;', chr(1)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''),
+  '(?i)&([a-z]+|#x?[0-9a-f]+);', ' ', 'g'), chr(1), '&') ELSE bare END, '\s+', ' ', 'g'), '^ *["'']? *', ''), ' *["'']? *$', '') AS text
+ FROM (SELECT page_id, i - 1 AS place, regexp_replace(cells[i], '<[^>]*>', ' ', 'g') AS bare FROM (SELECT page_id, cells, unnest(range(1, len(cells) + 1)) AS i
+  FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:p|h1|title|footer)\b[^>]*>(.*?)</(?:p|h1|title|footer)>', 1) AS cells FROM pages)))""")
 oracle("d06q_price_row_recheck", "SELECT * FROM (SELECT CASE WHEN dayofyear(trade_date) % 9 = 1 THEN lower(symbol) ELSE symbol END AS symbol, trade_date, CASE dayofyear(trade_date) % 9 WHEN 1 THEN 'symbol' WHEN 2 THEN 'close' WHEN 3 THEN 'negative price' WHEN 4 THEN 'negative volume' END AS reason FROM px) WHERE reason IS NOT NULL", "px")
 oracle("q_account_snapshots", f"SELECT * FROM snap JOIN {ACC} USING (account_id)", "snap")
 oracle("q_cash_movements", f"SELECT * FROM moves JOIN {ACC} USING (account_id)", "moves")

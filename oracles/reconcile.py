@@ -106,7 +106,7 @@ SELECT r.line_id, r.company_name, r.paid_via, r.symbol, r.record_date, r.gross,
  EXISTS (SELECT 1 FROM txn x WHERE x.txn_type = 'dividend' AND x.account_id = r.account_id AND x.symbol = r.symbol AND CASE WHEN x.record_date IS NOT NULL THEN x.record_date = r.record_date
   ELSE abs(x.gross_amount - r.gross) < 0.01 AND x.trade_date BETWEEN r.record_date AND r.record_date + 120 END) AS recorded
 FROM report r JOIN (SELECT account_id, sum(tax) / sum(gross) AS rate FROM report WHERE tax IS NOT NULL AND gross > 0 GROUP BY 1) USING (account_id))""", "report", "steps", "txn")
-oracle("r1_nested_receivables", "SELECT account_id, as_of, company_name, entitlement, record_date, count(*) OVER (PARTITION BY account_id, as_of, symbol[1:6], record_date) AS lines FROM receivable", "receivable")
+oracle("r1_nested_receivables", f"SELECT account_id, as_of, company_name, entitlement, record_date, count(*) OVER (PARTITION BY account_id, as_of) AS lines FROM ({CTES['receivable'][1].replace('FROM txn', 'FROM ctxn')})", "ctxn")
 oracle("d01q_transaction_rules", """
 SELECT txn_id, symbol, trade_date, rule FROM (SELECT txn_id, symbol, trade_date, unnest(['unknown type','quantity must be positive','quantity must be whole','dividend needs an amount','negative commission or tax','tax above dividend','record date on a trade']) AS rule,
  unnest([n = 5, n = 1 AND txn_type <> 'dividend', n = 2 AND txn_type <> 'dividend', false, n = 3, n = 4 AND txn_type = 'dividend', n = 5 AND record_date IS NOT NULL]) AS bad FROM (SELECT *, txn_id % 50 AS n FROM txn)) WHERE bad""", "txn")

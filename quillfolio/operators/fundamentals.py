@@ -36,6 +36,27 @@ def verification_counts(facts: DataFrame) -> DataFrame:
     )
 
 
+def period_summaries(periods: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every period with its counts of current figures by state; a period without figures counts 0.
+
+    Both hold symbol, fiscal_year and basis.
+    """
+    key, state = ["symbol", "fiscal_year", "basis"], F.col("verification")
+    counts = facts.filter("is_current").groupBy(*key).agg(
+        F.count(F.lit(1)).alias("facts"), *[F.count_if(state == s).alias(s) for s in ("unverified", "verified", "disputed")]
+    )
+    return periods.join(counts, key, "left").na.fill(0, ["facts", "unverified", "verified", "disputed"]).orderBy("symbol", "fiscal_year", "basis")
+
+
+def fact_history(facts: DataFrame, tags: list[str]) -> DataFrame:
+    """Figures in base units by year, with the company's number of figures and how many are unverified or disputed."""
+    current, state = current_facts(facts), F.col("verification")
+    counts = current.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("facts"), F.count_if(state == "unverified").alias("unverified"), F.count_if(state == "disputed").alias("disputed")
+    )
+    return pivot_facts(current, tags).join(counts, "symbol").orderBy("symbol", "fiscal_year")
+
+
 # -- corporate actions ----------------------------------------------------------
 
 

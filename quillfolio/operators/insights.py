@@ -65,7 +65,8 @@ def compare_with_peers(rows: DataFrame, metrics: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     long = rows.select("symbol", F.inline(pairs)).filter((F.col("value") > 0) & (F.col("value") < float("inf")))
     counts = long.groupBy("metric", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    counts = counts.withColumn("bucket", F.floor(F.ln("value") * 8))
+    # A bucket spans a tenth of a per cent: crowded ratios spread over many, and all positive doubles have 1.5 million at most.
+    counts = counts.withColumn("bucket", F.floor(F.ln("value") * 1024))
     ranked = running_sums(counts, ["metric"], ["bucket"], ["value"], {"upto": "n"}).withColumn("below", F.col("upto") - F.col("n"))
     totals = counts.groupBy("metric").agg(F.sum("n").alias("total"))
     ranked = ranked.join(totals, "metric")

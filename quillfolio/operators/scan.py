@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Rows of one key and day above which the day itself is cut into buckets.
 BUCKET_ROWS = 50_000
+# Buckets are this many times finer than the rows need, so that ids which crowd together do not fill one.
+FINER = 64
 
 
 def id_bucket(row_id: Column, low: Column, high: Column, rows: Column) -> Column:
-    """Order-preserving bucket of a row id inside [low, high], by row count."""
-    buckets = F.ceil(rows / BUCKET_ROWS)
+    """Order-preserving bucket of a row id inside [low, high]; their number follows the rows."""
+    buckets = F.when(rows > BUCKET_ROWS, F.ceil(rows / BUCKET_ROWS) * FINER).otherwise(F.lit(1))
     width = F.greatest(F.ceil((high - low + 1) / F.greatest(buckets, F.lit(1))), F.lit(1))
     return F.floor((row_id - low) / width).cast("long")
 

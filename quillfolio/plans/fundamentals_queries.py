@@ -69,6 +69,16 @@ def _(t):
     return Fu.verification_counts(t.facts())
 
 
+@query("q_period_summaries", "symbol fiscal_year:i basis period_start:d period_end:d is_complete:b facts:i unverified:i verified:i disputed:i")
+def _(t):
+    return Fu.period_summaries(t.periods(), t.facts().withColumn("basis", F.lit("consolidated")))
+
+
+@query("q_fact_history", WIDE_SPEC + " facts:i unverified:i disputed:i")
+def _(t):
+    return Fu.fact_history(t.facts(), TAGS)
+
+
 @query("a15_latest_dps", "symbol dividend_per_share:6 fiscal_year:i")
 def _(t):
     return Fu.latest_dps(restated(t))

@@ -149,6 +149,16 @@ def _(t):
     return stored.ledger_listing(t.transactions(), t.listings(), _accounts(t))
 
 
+@query("q_company_names", "symbol name short_name")
+def _(t):
+    return stored.company_names(t.companies())
+
+
+@query("q_source_documents", "doc_id:i symbol fiscal_year:i source title")
+def _(t):
+    return stored.source_documents(t.source_documents())
+
+
 @query("q_accounts", "account_id broker is_active:b")
 def _(t):
     return stored.accounts_listing(_accounts(t))
@@ -202,17 +212,19 @@ def _(t):
 
 @query("x05_wrapped_text", "page_id:i text code")
 def _(t):
-    parts = F.array(F.lit("Cheque"), F.concat(F.lit("REF"), F.lpad(F.col("page_id").cast("string"), 9, "0")), F.lit("77"), F.lit("paid in"))
-    code = F.array(F.lit("SQ"), F.concat(F.lit("P"), F.col("page_id").cast("string")), F.when(F.col("page_id") % 2 == 0, F.lit("A")).otherwise(F.lit("a b")))
-    return t.raw("pages").select("page_id", join_wrapped(parts).alias("text"), trading_code(code).alias("code"))
+    # The links of a page stand for the lines of a wrapped cell.
+    parts = F.regexp_extract_all("html", F.lit("<a [^>]*>([^<]*)</a>"), 1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    code = F.transform(F.slice("parts", 1, 2), lambda x: F.translate(x, letters, letters.upper()))
+    return t.raw("pages").select("page_id", parts.alias("parts")).select("page_id", join_wrapped(F.col("parts")).alias("text"), trading_code(code).alias("code"))
 
 
-@query("x06_cell_text", "symbol trade_date:d text")
+@query("x06_cell_text", "page_id:i place:i text")
 def _(t):
     from ..functions.text import cell_text
 
-    html = F.concat(F.lit("<b>A &amp; B&nbsp;"), F.col("symbol"), F.lit("</b>&#39;s &lt;"), F.col("close").cast("int").cast("string"), F.lit("&gt;&hellip; <br/> end "))
-    return t.daily_prices().select("symbol", "trade_date", cell_text(html).alias("text"))
+    cells = F.regexp_extract_all("html", F.lit(r"(?s)<(?:p|h1|title|footer)\b[^>]*>(.*?)</(?:p|h1|title|footer)>"), 1)
+    return t.raw("pages").select("page_id", F.posexplode(cells).alias("place", "html")).select("page_id", "place", cell_text(F.col("html")).alias("text"))
 
 
 @query("d06q_price_row_recheck", "symbol trade_date:d reason")

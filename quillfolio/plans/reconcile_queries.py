@@ -148,10 +148,10 @@ def _(t):
 
 @query("r1_nested_receivables", "account_id as_of:d company_name entitlement:2 record_date:d lines:i")
 def _(t):
-    r = t.receivables()
+    r = t.receivables("c_custkey")
     item = F.struct("company_name", "entitlement", F.date_format("record_date", "yyyy-MM-dd").alias("record_date"))
-    # One statement lists one record day's dividends of one stock group.
-    nested = r.groupBy("account_id", "as_of", F.substring("symbol", 1, 6).alias("g"), "record_date").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("receivables")).drop("record_date")
+    # A statement of one customer and month end; a customer's dividends of a month are few.
+    nested = r.groupBy("account_id", "as_of").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("receivables"))
     parsed = F.from_json("receivables", "array<struct<company_name: string, entitlement: double, record_date: string>>")
     rows = nested.withColumn("_a", F.coalesce(parsed, F.array().cast("array<struct<company_name: string, entitlement: double, record_date: string>>")))
     return rows.select("account_id", "as_of", F.size("_a").alias("lines"), F.explode_outer("_a").alias("e")).select("account_id", "as_of", "lines", "e.*")

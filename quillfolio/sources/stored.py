@@ -43,6 +43,16 @@ def company_by_symbol(companies: DataFrame, symbol: str) -> DataFrame:
     return companies.filter(F.col("symbol") == symbol.upper()).limit(1)
 
 
+def company_names(companies: DataFrame) -> DataFrame:
+    """What names on statements are matched against."""
+    return companies.select("symbol", "name", "short_name")
+
+
+def source_documents(documents: DataFrame) -> DataFrame:
+    """Papers of every company, oldest fiscal year first."""
+    return documents.orderBy("symbol", "fiscal_year", "doc_id")
+
+
 def core_line_items(items: DataFrame) -> DataFrame:
     return items.filter("is_core").orderBy("display_order")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.dates import fiscal_year_of
+from ..functions.dates import fiscal_year_end, fiscal_year_of, fiscal_year_start
 from ..functions.numeric import round_half_up
 
 CURRENCY_TAGS = [
@@ -168,19 +168,37 @@ class TestTables:
             )
         )
 
-    def figures(self) -> DataFrame:
-        """Reported figures, one wide row per (company, fiscal year)."""
+    def _sold(self) -> DataFrame:
+        """Sales of each company by fiscal year."""
         company = self.companies().select("symbol", "fye_month", "fye_day")
-        k = key_of("symbol").cast("int")
-        sold = (
+        return (
             self.raw("lineitem")
             .join(self.raw("supplier").select("s_suppkey", nation_code(F.col("s_nationkey")).alias("symbol")), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(company, "symbol")
             .groupBy("symbol", fiscal_year_of(F.col("fye_month"), F.col("fye_day"), F.to_date("l_shipdate")).alias("fiscal_year"))
             .agg(F.sum(_cents(F.col("l_extendedprice"))).alias("cents"))
-            .withColumn("k", k)
-            .filter((F.col("k") * 3 + F.col("fiscal_year")) % 17 != 0)
+            .withColumn("k", key_of("symbol").cast("int"))
+        )
+
+    def periods(self) -> DataFrame:
+        """Annual periods: consolidated ones of every fiscal year with sales, standalone ones (without figures) of some."""
+        fy, k = F.col("fiscal_year"), F.col("k")
+        bases = F.when((k + fy) % 4 == 0, F.array(F.lit("consolidated"), F.lit("standalone"))).otherwise(F.array(F.lit("consolidated")))
+        return self._sold().join(self.companies().select("symbol", "fye_month", "fye_day"), "symbol").select(
+            "symbol", "fiscal_year", F.explode(bases).alias("basis"), fiscal_year_start(F.col("fye_month"), F.col("fye_day"), fy).alias("period_start"),
+            fiscal_year_end(F.col("fye_month"), F.col("fye_day"), fy).alias("period_end"), ((k + fy) % 3 != 0).alias("is_complete"),
         )
+
+    def source_documents(self) -> DataFrame:
+        """Papers of each company by the fiscal year that they report on."""
+        d = F.col("doc_id")
+        return self.raw("documents").select(
+            "doc_id", nation_code(d % 25).alias("symbol"), (F.lit(1992) + d % 8).cast("int").alias("fiscal_year"), "source", F.md5("text").alias("title"),
+        )
+
+    def figures(self) -> DataFrame:
+        """Reported figures, one wide row per (company, fiscal year)."""
+        sold = self._sold().filter((F.col("k") * 3 + F.col("fiscal_year")) % 17 != 0)
         fy, kk, rev, profit = F.col("fiscal_year"), F.col("k"), F.col("revenue"), F.col("net_profit")
         shares = (kk + 1) * 10000
         return (
@@ -322,9 +340,9 @@ class TestTables:
 
     # -- dividends and statements ---------------------------------------------
 
-    def receivables(self) -> DataFrame:
+    def receivables(self, account: str = "c_mktsegment") -> DataFrame:
         """Declared, unpaid dividends on month-end statements: from record date until paid."""
-        x = self.transactions().filter("record_date is not null and txn_type = 'dividend'")
+        x = self.transactions(account).filter("record_date is not null and txn_type = 'dividend'")
         lines = x.groupBy("account_id", "symbol", "record_date", F.last_day("record_date").alias("as_of")).agg(
             (F.sum(_cents(F.col("gross_amount"))) / 100).alias("entitlement"), F.count(F.lit(1)).alias("n"), F.max("trade_date").alias("_paid")
         ).filter("as_of < _paid")

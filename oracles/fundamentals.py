@@ -68,6 +68,17 @@ SELECT f.symbol, f.fiscal_year, f.tag, f.revision, f.is_current AND coalesce(v.o
  FROM facts f LEFT JOIN verdict v USING (symbol, fiscal_year, tag) WHERE coalesce(v.outcome, '') <> 'added'
 UNION ALL SELECT f.symbol, f.fiscal_year, f.tag, f.revision + 1, true, v.typed, f.scale, 'verified' FROM facts f JOIN verdict v USING (symbol, fiscal_year, tag) WHERE f.is_current AND v.outcome = 'corrected'
 UNION ALL SELECT symbol, fiscal_year, tag, 1, true, typed, CASE WHEN tag IN ('eps_basic', 'navps', 'nocfps', 'dividend_per_share') THEN 'unit' ELSE 'million' END, 'verified' FROM verdict WHERE outcome = 'added')""", "facts", "verdict")
+UNIT_TAGS = ("eps_basic", "navps", "nocfps", "dividend_per_share")
+cte("mixed_verdict", f"""SELECT symbol, fiscal_year, tag, stored / per AS stored, typed / per AS typed, typed_scale, CASE WHEN outcome NOT IN ('confirmed', 'corrected') THEN outcome
+  WHEN abs(stored - typed) / greatest(abs(stored), abs(typed), per) < 1e-9 THEN 'confirmed' ELSE 'corrected' END AS outcome
+ FROM (SELECT *, CASE WHEN tag IN {UNIT_TAGS} THEN 'unit' WHEN fiscal_year % 2 = 0 THEN 'crore' ELSE 'million' END AS typed_scale, CASE typed_scale WHEN 'crore' THEN 10e0 ELSE 1e0 END AS per FROM verdict)""", "verdict")
+oracle("v1_verification_across_scales", "SELECT * FROM mixed_verdict", "mixed_verdict")
+oracle("k06_revisions_across_scales", """
+SELECT *, value_reported * CASE scale WHEN 'million' THEN 1e6 WHEN 'crore' THEN 1e7 ELSE 1 END AS value_base FROM (
+SELECT f.symbol, f.fiscal_year, f.tag, f.revision, f.is_current AND coalesce(v.outcome, '') <> 'corrected' AS is_current, f.value_reported, f.scale, CASE WHEN f.is_current AND v.outcome = 'confirmed' THEN 'verified' ELSE f.verification END AS verification
+ FROM facts f LEFT JOIN mixed_verdict v USING (symbol, fiscal_year, tag) WHERE coalesce(v.outcome, '') <> 'added'
+UNION ALL SELECT f.symbol, f.fiscal_year, f.tag, f.revision + 1, true, v.typed, v.typed_scale, 'verified' FROM facts f JOIN mixed_verdict v USING (symbol, fiscal_year, tag) WHERE f.is_current AND v.outcome = 'corrected'
+UNION ALL SELECT symbol, fiscal_year, tag, 1, true, typed, typed_scale, 'verified' FROM mixed_verdict WHERE outcome = 'added')""", "facts", "mixed_verdict")
 oracle("d04q_import_checks", """
 SELECT symbol, fiscal_year, severity, reason FROM (SELECT symbol, fiscal_year, unnest(['hard','hard','hard','hard','hard','soft']) AS severity,
  unnest(['balance sheet does not balance','free cash flow is not as published','gross profit exceeds revenue','operating profit exceeds gross profit','return on equity is not as published','share counts differ']) AS reason,

@@ -279,7 +279,8 @@ def verify_figures(stored: DataFrame, typed: DataFrame) -> DataFrame:
         F.when(text == "", "skipped").when(number.isNull(), "error").when(F.col("stored").isNull(), "added")
         .when(same_number(F.col("stored"), number), "confirmed").otherwise("corrected")
     )
-    return j.select(*keys, "stored", F.when(text != "", number).alias("typed"), outcome.alias("outcome"))
+    scale = ["typed_scale"] if "typed_scale" in typed.columns else []
+    return j.select(*keys, "stored", F.when(text != "", number).alias("typed"), outcome.alias("outcome"), *scale)
 
 
 def verdict_summary(verdicts: DataFrame) -> DataFrame:
@@ -291,10 +292,12 @@ def verdict_summary(verdicts: DataFrame) -> DataFrame:
 def append_revisions(facts: DataFrame, verdicts: DataFrame, items: DataFrame) -> DataFrame:
     """Facts with corrections applied: the old revision kept, a new one current.
 
-    A figure that was missing takes the scale that its item's unit is typed in (`items`: tag, unit).
+    New revisions are in the verdicts' typed_scale; without one a correction keeps the figure's scale, and a
+    figure that was missing takes the one that its item's unit is typed in (`items`: tag, unit).
     """
     keys = ["symbol", "fiscal_year", "tag"]
-    fixes = verdicts.filter(F.col("outcome").isin("confirmed", "corrected", "added")).select(*keys, "typed", "outcome")
+    scale = F.col("typed_scale") if "typed_scale" in verdicts.columns else F.lit(None).cast("string")
+    fixes = verdicts.filter(F.col("outcome").isin("confirmed", "corrected", "added")).select(*keys, "typed", "outcome", scale.alias("_scale"))
     marked = facts.join(fixes, keys, "left")
     touched = F.col("is_current") & F.col("outcome").isNotNull()
     kept = marked.select(
@@ -303,12 +306,12 @@ def append_revisions(facts: DataFrame, verdicts: DataFrame, items: DataFrame) ->
     )
     corrected = marked.filter(touched & (F.col("outcome") == "corrected")).select(
         *keys, (F.col("revision") + 1).alias("revision"), F.lit(True).alias("is_current"),
-        F.col("typed").alias("value_reported"), "scale", F.lit("verified").alias("verification"),
+        F.col("typed").alias("value_reported"), F.coalesce("_scale", "scale").alias("scale"), F.lit("verified").alias("verification"),
     )
     typed_in = items.select("tag", F.when(F.col("unit").isin("currency", "count"), "million").otherwise("unit").alias("scale"))
     added = fixes.filter("outcome = 'added'").join(typed_in, "tag", "left").select(
         *keys, F.lit(1).alias("revision"), F.lit(True).alias("is_current"), F.col("typed").alias("value_reported"),
-        F.coalesce("scale", F.lit("unit")).alias("scale"), F.lit("verified").alias("verification"),
+        F.coalesce("_scale", "scale", F.lit("unit")).alias("scale"), F.lit("verified").alias("verification"),
     )
     return kept.unionByName(corrected).unionByName(added)
 

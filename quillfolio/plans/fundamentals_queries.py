@@ -126,17 +126,33 @@ def _(t):
     return _verdicts(t)
 
 
-def _verdicts(t):
+@query("v1_verification_across_scales", "symbol fiscal_year:i tag stored:6 typed:6 outcome typed_scale")
+def _(t):
+    return _verdicts(t, mixed=True)
+
+
+@query("k06_revisions_across_scales", "symbol fiscal_year:i tag revision:i is_current:b value_reported:6 scale value_base:4 verification")
+def _(t):
+    held = t.facts().filter((key_of("symbol").cast("int") + F.col("fiscal_year") + F.length("tag")) % 6 != 5)
+    rows = Fu.append_revisions(held, _verdicts(t, mixed=True), stored.line_items(t.spark))
+    return rows.withColumn("value_base", N.to_base(F.col("value_reported"), F.col("scale")))
+
+
+def _verdicts(t, mixed: bool = False):
+    """Typed figures against stored ones; mixed: money of even fiscal years is typed in crore."""
     facts = t.facts().filter("is_current")
     n = (key_of("symbol").cast("int") + F.col("fiscal_year") + F.length("tag")) % 6
     v = F.col("value_reported")
     whole = F.floor(v * 100) / 100
+    crore = (F.col("scale") == "million") & (F.col("fiscal_year") % 2 == 0) & F.lit(mixed)
+    printed = lambda x: F.when(crore, F.format_number(x / 10, 3)).otherwise(F.format_number(x, 2))
     text = (
-        F.when(n == 0, "").when(n == 1, "n.m.").when(n == 2, F.concat(F.lit("("), F.format_number(F.abs(whole), 2), F.lit(")")))
-        .when(n == 3, F.format_number(whole, 2)).otherwise(F.format_number(whole + 1, 2))
+        F.when(n == 0, "").when(n == 1, "n.m.").when(n == 2, F.concat(F.lit("("), printed(F.abs(whole)), F.lit(")")))
+        .when(n == 3, printed(whole)).otherwise(printed(whole + 1))
     )
-    typed = facts.select("symbol", "fiscal_year", "tag", text.alias("typed_text"))
-    have = facts.filter(n != 5).select("symbol", "fiscal_year", "tag", F.when(n == 3, whole).otherwise(v).alias("stored"))
+    scales = [[F.when(crore, "crore").otherwise(F.col("scale")).alias("typed_scale")], [F.col("scale").alias("stored_scale")]] if mixed else [[], []]
+    typed = facts.select("symbol", "fiscal_year", "tag", text.alias("typed_text"), *scales[0])
+    have = facts.filter(n != 5).select("symbol", "fiscal_year", "tag", F.when(n == 3, whole).otherwise(v).alias("stored"), *scales[1])
     return Fu.verify_figures(have, typed)
 
 

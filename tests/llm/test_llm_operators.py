@@ -95,6 +95,9 @@ def test_katz_equals_a_plain_model_and_sums_to_one(spark, docs, empty, texts, tm
         assert sum(p(v, w) for w in uni) + p(v, "unknown") == pytest.approx(1)
     want = sorted(round(sum(math.log10(p(v, w)) for v, w in zip(["<s>", *t], t)), 5) for _, t in every)
     assert sorted(round(r.score, 5) for r in rows) == pytest.approx(want, abs=1e-4)
+    # More buckets than a group has words for: some get no message.
+    many = katz.KatzModel.of(docs, held, buckets=400).scores().collect()
+    assert sorted(round(r.score, 5) for r in many) == pytest.approx(want, abs=1e-4)
     model.store(str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/unigrams").agg(F.sum("n")).first()[0] == n
     assert spark.read.parquet(f"{tmp_path}/bigrams").count() == len(pairs)

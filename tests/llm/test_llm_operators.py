@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillfolio.llm import bottomk, cuckoo, fmindex, katz, linear, mixing, personal, quality, simhash, toxicity, windows
+from quillfolio.llm import bottomk, cuckoo, fmindex, katz, linear, mixing, nearsets, personal, quality, simhash, toxicity, windows
 from quillfolio.llm.registry import CATEGORIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, g int, row string, score double"
@@ -277,3 +277,54 @@ def test_pipeline_runs_on_odd_rows(spark, docs, tmp_path, texts):
     rows = corpus_pipeline.run(spark, d)
     kept = {r.doc_id for r in rows.collect()}
     assert 9 not in kept and 60 not in kept and 8 in kept
+
+
+def test_near_sets_equal_all_pairs(spark, texts):
+    rng = random.Random(8)
+    planted = dict(texts)
+    for k in range(6):  # copies of copies, and texts that share half
+        base = [f"n{k}x{i}" for i in range(200)]
+        for j in range(25):
+            copy = list(base)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(len(copy))] = f"e{rng.random()}"
+            planted[1000 + 100 * k + j] = " ".join(copy)
+            planted[2000 + 100 * k + j] = " ".join(base[:100] + [f"o{k}x{j}x{i}" for i in range(100)])
+    planted |= {3000: "a b c", 3001: "A  b\nc", 3002: "a b", 3003: " ".join(f"q{i}" for i in range(9)), 3004: " ".join(f"q{i}" for i in range(8))}
+
+    def shingles(t):
+        w = words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    ids, sets = list(planted), [shingles(t) for t in planted.values()]
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = defaultdict(set)
+    for i, x in enumerate(ids):
+        want[find(i)].add(x)
+    assert max(map(len, want.values())) > 10
+    frame = spark.createDataFrame(list(planted.items()), "row long, text string").repartition(5)
+    for tile in (700, nearsets.TILE):
+        got = defaultdict(set)
+        for r in nearsets.near_sets(frame, tile=tile).collect():
+            got[r.near].add(r.row)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert nearsets.near_sets(frame.limit(0)).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark, tmp_path):
+    rng = random.Random(9)
+    text = [f"v{rng.randrange(5000)}" for _ in range(300)]
+    edited = lambda places: " ".join(f"new{i}" if i in places else w for i, w in enumerate(text))
+    rows = [(1, edited(())), (2, edited((20, 150, 280))), (3, edited((5, 99, 250))), (4, edited(range(0, 300, 10))), (5, " ".join(text[:150]) + " " + " ".join(f"z{i}" for i in range(150)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near(spark, docs, str(tmp_path)).collect()) == [1, 4, 5]

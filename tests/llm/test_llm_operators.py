@@ -328,3 +328,10 @@ def test_pipeline_drops_edited_copies(spark, tmp_path):
     rows = [(1, edited(())), (2, edited((20, 150, 280))), (3, edited((5, 99, 250))), (4, edited(range(0, 300, 10))), (5, " ".join(text[:150]) + " " + " ".join(f"z{i}" for i in range(150)))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near(spark, docs, str(tmp_path)).collect()) == [1, 4, 5]
+
+
+def test_quality_stage_takes_documents_with_a_score(spark, docs, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 50)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    kept = corpus_pipeline.keep_quality(spark, docs, d)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == docs.count()

@@ -13,6 +13,8 @@ from .tokens import Words, arrow_schema, byte_values, mix, pieces
 _U = np.uint64
 #: Features are hashed to this many numbers.
 SPACE = 1 << 18
+#: Labelled rows are dealt to this many folds by a hash of doc_id and text.
+FOLDS = 4
 #: A text's words are taken in pieces of about this many bytes of a batch.
 _PIECE = 2 << 20
 
@@ -67,33 +69,38 @@ def indicators(column: pa.Array, space: int = SPACE, chars: int = 0) -> tuple[np
     return np.searchsorted(held, np.arange(len(words.count) + 1) * space), held % space
 
 
+def _order() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def class_counts(rows: DataFrame, classes: list[str], space: int = SPACE, chars: int = 0) -> np.ndarray:
-    """How many texts of each class hold each n-gram: an array (2 per class, space), 0 before 1.
+    """How many texts of each class and fold hold each n-gram: an array (2 per class, folds, space), 0 before 1.
 
-    rows: text and 0/1 columns.  A task sums its rows; the sums meet by feature, and one
-    row a feature (at most `space`) comes to the driver.
+    rows: doc_id, text and 0/1 columns.  A task sums its rows; the sums meet by fold and feature, and one
+    row for each (at most `space` a fold) comes to the driver.
     """
     names = [f"c{k}" for k in range(2 * len(classes))]
     ddl = ", ".join(["feature int", *[f"{c} long" for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), space), np.int64)
+        sums = np.zeros((len(names), FOLDS * space), np.int64)
         for part in pieces(batches, _PIECE):
             limits, held = indicators(part.column("text"), space, chars)
+            held = held + np.repeat(part.column("fold").to_numpy() * space, np.diff(limits))
             for k, c in enumerate(classes):
                 y = np.repeat(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(limits))
                 for v in (0, 1):
-                    sums[2 * k + v] += np.bincount(held[y == v], minlength=space)
+                    sums[2 * k + v] += np.bincount(held[y == v], minlength=FOLDS * space)
         on = np.flatnonzero(sums.any(0))
         for at in range(0, len(on), 1 << 16):
             some = on[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(s[some]) for s in sums]], schema=arrow_schema(ddl))
 
-    got = rows.select("text", *classes).mapInArrow(run, ddl).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    out = np.zeros((len(names), space), np.int64)
+    got = rows.select("text", F.pmod(_order(), F.lit(FOLDS)).alias("fold"), *classes).mapInArrow(run, ddl).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((len(names), FOLDS * space), np.int64)
     for k, c in enumerate(names):
         out[k, got.column("feature").to_numpy()] = got.column(c).to_numpy()
-    return out
+    return out.reshape(len(names), FOLDS, space)
 
 
 def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
@@ -102,8 +109,8 @@ def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
 
 
-def collected(rows: DataFrame, classes: list[str], space: int = SPACE, chars: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
-    """The n-gram numbers and labels of a bounded sample, in an order that does not depend on partitions."""
+def collected(rows: DataFrame, classes: list[str], space: int = SPACE, chars: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The n-gram numbers, labels and folds of a bounded sample, in an order that does not depend on partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, _PIECE):
@@ -112,8 +119,9 @@ def collected(rows: DataFrame, classes: list[str], space: int = SPACE, chars: in
             yield pa.RecordBatch.from_arrays([part.column("order"), pa.array(blobs, pa.binary()), *[part.column(c) for c in classes]], schema=arrow_schema(ddl))
 
     ddl = ", ".join(["order long", "held binary", *[f"{c} int" for c in classes]])
-    got = rows.select(F.xxhash64("doc_id", "text").alias("order"), "text", *[F.col(c).cast("int").alias(c) for c in classes]).mapInArrow(run, ddl).toArrow().sort_by("order")
-    return [np.frombuffer(x, np.int32) for x in got.column("held").to_pylist()], np.stack([got.column(c).to_numpy() for c in classes], 1) if got.num_rows else np.zeros((0, len(classes)), int)
+    got = rows.select(_order().alias("order"), "text", *[F.col(c).cast("int").alias(c) for c in classes]).mapInArrow(run, ddl).toArrow().sort_by("order")
+    labels = np.stack([got.column(c).to_numpy() for c in classes], 1) if got.num_rows else np.zeros((0, len(classes)), int)
+    return [np.frombuffer(x, np.int32) for x in got.column("held").to_pylist()], labels, got.column("order").to_numpy() % FOLDS
 
 
 def log_ratios(counts: np.ndarray, least: int = 3) -> np.ndarray:
@@ -194,16 +202,20 @@ def flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return limits, np.concatenate(texts) if texts else np.zeros(0, np.int32)
 
 
-def fit_folds(texts: list[np.ndarray], extra: np.ndarray, y: np.ndarray, ratios: np.ndarray, folds: int = 4) -> tuple[LinearModel, np.ndarray]:
-    """A calibrated model of all rows, and each row's probability by a model that has not seen it (rows are dealt to folds by place)."""
+def fit_folds(texts: list[np.ndarray], extra: np.ndarray, y: np.ndarray, fold: np.ndarray, counts: np.ndarray) -> tuple[LinearModel, np.ndarray]:
+    """A calibrated model of all rows, and each row's probability by a model that has not seen it, in its ratios neither.
+
+    counts: of class 0 and 1, by fold, as class_counts gives them.
+    """
+    total = counts.sum(1)
     if len(set(y.tolist())) < 2:
-        constant = LinearModel(np.zeros(len(ratios)), np.zeros(extra.shape[1]), 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+        constant = LinearModel(np.zeros(total.shape[1]), np.zeros(extra.shape[1]), 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
         return constant, constant.probabilities(*flat(texts), extra)
-    fold, margins = np.arange(len(texts)) % folds, np.zeros(len(texts))
-    for k in range(folds):
+    margins = np.zeros(len(texts))
+    for k in range(FOLDS):
         here = np.flatnonzero(fold == k)
         rest = np.flatnonzero(fold != k)
-        part = descend([texts[i] for i in rest], extra[rest], y[rest], ratios)
+        part = descend([texts[i] for i in rest], extra[rest], y[rest], log_ratios(total - counts[:, k]))
         margins[here] = part.margins(*flat([texts[i] for i in here]), extra[here])
-    model = calibrate(descend(texts, extra, y, ratios), margins, y)
+    model = calibrate(descend(texts, extra, y, log_ratios(total)), margins, y)
     return model, 1 / (1 + np.exp(-np.clip(model.slope * margins + model.shift, -35, 35)))

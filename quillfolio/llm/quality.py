@@ -35,8 +35,8 @@ def fit(rows: DataFrame, most: int = 8000) -> linear.LinearModel:
     holds).  Without rows of both classes every score is the share of label 1.
     """
     counts = linear.class_counts(rows, ["label"])
-    texts, y = linear.collected(linear.sampled(rows, F.col("doc_id"), most), ["label"])
-    model, _ = linear.fit_folds(texts, np.zeros((len(texts), 0)), y[:, 0], linear.log_ratios(counts))
+    texts, y, fold = linear.collected(linear.sampled(rows, F.col("doc_id"), most), ["label"])
+    model, _ = linear.fit_folds(texts, np.zeros((len(texts), 0)), y[:, 0], fold, counts)
     return model
 
 

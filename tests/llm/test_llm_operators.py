@@ -335,3 +335,18 @@ def test_quality_stage_takes_documents_with_a_score(spark, docs, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(1, 50)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     kept = corpus_pipeline.keep_quality(spark, docs, d)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == docs.count()
+
+
+def test_held_out_labels_leave_a_fold_alone(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"r{rng.randrange(300)}" for _ in range(12)), int(rng.random() < 0.4)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    mine = F.pmod(F.xxhash64("doc_id", "text"), F.lit(linear.FOLDS)) == 0
+
+    def order(frame):
+        texts, y, fold = linear.collected(frame, ["label"])
+        _, unseen = linear.fit_folds(texts, np.zeros((len(texts), 0)), y[:, 0], fold, linear.class_counts(frame, ["label"]))
+        assert (fold == 0).sum() > 20
+        return np.argsort(unseen[fold == 0]).tolist()
+
+    assert order(frame) == order(frame.withColumn("label", F.when(mine, 1 - F.col("label")).otherwise(F.col("label"))))

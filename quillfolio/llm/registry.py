@@ -1,11 +1,13 @@
 """Queries over the test tables that apply this folder's operators, and SQL for their rows where there is some."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bottomk, cuckoo, fmindex, katz, mixing, personal, quality, simhash, toxicity, windows
+from . import balltree, bottomk, cuckoo, fmindex, gridcodes, katz, mixing, personal, quality, simhash, termscan, toxicity, windows
+from .common import join_small, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +159,88 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
     return katz.KatzModel.of(table(spark, sf_dir, "documents"), held_out).scores()
+
+
+@query("op11_term_scan")
+def term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termscan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_term_scan"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sums AS (
+  SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM d
+), tf AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, n, term
+), q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), w AS (
+  SELECT term, floor(1000::DOUBLE * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, sums WHERE term IN (SELECT term FROM q) GROUP BY term, docs
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM tf JOIN w USING (term) JOIN q USING (term), sums GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op12_grid_codes")
+def grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = gridcodes.fit(vectors)
+    coded = stored(gridcodes.encode(vectors, books, ("label",)).withColumn("of", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit(""))))
+    sums = coded.groupBy("of").agg(F.sum("error").alias("label_error"))
+    digest = hashlib.sha256(",".join(str(v) for v in books.ravel().tolist()).encode()).hexdigest()
+    return join_small(coded, sums, "of", F.col("vec_id")).select(
+        "vec_id", F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code"), "error", "label_error",
+        F.lit(digest).alias("codebooks_sha256"),
+    )
+
+
+def _grid_sql(rounds: int = 6) -> str:
+    assign = """SELECT vec_id, label, p.part, x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 16 + entry) AS found
+  FROM p JOIN b{k} b ON p.part = b.part GROUP BY vec_id, label, p.part, x"""
+    ctes = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT vec_id, label, part, list_slice(e, part * (len(e) // 8) + 1, (part + 1) * (len(e) // 8)) AS x FROM v, range(8) r(part))",
+        "b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))",
+    ]
+    for k in range(rounds):
+        ctes += [
+            f"a{k} AS MATERIALIZED ({assign.format(k=k)})",
+            f"t{k} AS (SELECT part, found % 16 AS entry, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{k}, range(1, 1 + (SELECT max(len(x)) FROM p)) r(i) GROUP BY part, found % 16, i)",
+            f"m{k} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM t{k} GROUP BY part, entry)",
+            f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (part, entry))",
+        ]
+    return f"""WITH {", ".join(ctes)}, last AS MATERIALIZED ({assign.format(k=rounds)}),
+digest AS (SELECT sha256(string_agg(c[i]::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM b{rounds}, range(1, 1 + (SELECT max(len(x)) FROM p)) r(i)),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', found % 16), '' ORDER BY part) AS code, sum(found // 16)::BIGINT AS error FROM last GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, digest"""
+
+
+ORACLES["op12_grid_codes"] = _grid_sql()
+
+
+@query("op13_ball_tree")
+def ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_ball_tree"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""

@@ -5,6 +5,8 @@ symbol is bounded by the calendar.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import ratio
@@ -211,9 +213,8 @@ def replace_prices(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.join(incoming.select(*KEY), KEY, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
-def merge_prices(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Upsert keeping a stored open, high, low or volume where the new one is missing."""
-    fields = ["close", "open", "high", "low", "volume"]
+def merge_prices(stored: DataFrame, incoming: DataFrame, fields: Sequence[str] = ("close", "open", "high", "low", "volume")) -> DataFrame:
+    """Upsert keeping a stored field where the new one is missing."""
     old = stored.select(*KEY, *[F.col(c).alias(f"_o_{c}") for c in fields])
     new = incoming.select(*KEY, *[F.col(c).alias(f"_n_{c}") for c in fields])
     return old.join(new, KEY, "full_outer").select(

@@ -79,16 +79,21 @@ def daily_holdings(states: DataFrame) -> DataFrame:
     return states.select("account_id", "symbol", "trade_date", F.col("q").alias("quantity")).unionByName(merged)
 
 
+def target_sides(targets: DataFrame) -> DataFrame:
+    """target_id, symbol, account_id, side, level: one row for each level that a target has."""
+    return targets.select(
+        "target_id", "symbol", "account_id",
+        F.inline(F.array(F.struct(F.lit("buy").alias("side"), F.col("buy_below").alias("level")), F.struct(F.lit("sell").alias("side"), F.col("sell_above").alias("level")))),
+    ).filter("level is not null")
+
+
 def target_days(targets: DataFrame, prices: DataFrame, holdings: DataFrame) -> DataFrame:
     """Every close against every target side: whether it is reached, and whether an alert may go out.
 
     A side's days are bounded by the calendar.  A sell alert needs shares held
     that day (the ledger's state on or before it).
     """
-    sides = targets.select(
-        "target_id", "symbol", "account_id",
-        F.inline(F.array(F.struct(F.lit("buy").alias("side"), F.col("buy_below").alias("level")), F.struct(F.lit("sell").alias("side"), F.col("sell_above").alias("level")))),
-    ).filter("level is not null")
+    sides = target_sides(targets)
     close, level = F.col("close"), F.col("level")
     days = sides.join(prices.select("symbol", "trade_date", "close"), "symbol").withColumn(
         "reached", F.when(F.col("side") == "buy", close <= level).otherwise(close >= level)
@@ -123,3 +128,45 @@ def alerts(days: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("_sent").over(key.orderBy("trade_date")), F.lit(0)) > 0
     event = F.when((eligible == 1) & (F.col("_sent") == 1), "send").when(~F.col("reached") & before, "rearm")
     return rows.withColumn("event", event).filter("event is not null").select("target_id", "side", "trade_date", "close", "level", "event")
+
+
+# -- one run over stored state ----------------------------------------------------
+
+
+def plan_alerts(targets: DataFrame, state: DataFrame, closes: DataFrame, holdings: DataFrame) -> DataFrame:
+    """What one run sends and re-arms: target_id, side, trade_date, close, level, event.
+
+    ``state`` holds the sides with an alert outstanding (target_id, side, alerted_on), ``closes``
+    one close per symbol (symbol, trade_date, close) and ``holdings`` the shares held now
+    (account_id, null for all accounts; symbol; quantity).  A reached side without an alert
+    outstanding sends, a sell side only with shares to sell; a side that is not reached
+    any more is armed again.  Sides without a close, or with one from before their alert, are left alone.
+    """
+    sides = target_sides(targets).join(closes.select("symbol", "trade_date", "close"), "symbol")
+    held = _scope(holdings).filter("quantity > 1e-9").select("_scope", "symbol", F.lit("sell").alias("side"), F.lit(True).alias("_held"))
+    rows = _scope(sides).join(held, ["_scope", "symbol", "side"], "left").join(state.select("target_id", "side", "alerted_on"), ["target_id", "side"], "left")
+    close, level = F.col("close"), F.col("level")
+    reached = F.when(F.col("side") == "buy", close <= level).otherwise(close >= level)
+    can_send = (F.col("side") == "buy") | F.col("_held").isNotNull()
+    event = F.when(reached & can_send & F.col("alerted_on").isNull(), "send").when(~reached & (F.col("alerted_on") <= F.col("trade_date")), "rearm")
+    return rows.withColumn("event", event).filter("event is not null").select("target_id", "side", "trade_date", "close", "level", "event")
+
+
+def advance_state(targets: DataFrame, state: DataFrame, events: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """The state after a run: sent sides come in, re-armed ones and those of targets or levels that are gone leave.
+
+    With ``delivered`` (target_id, side) an alert only counts as sent if it reached somebody; else the next run sends it again.
+    """
+    key = ["target_id", "side"]
+    sent = events.filter("event = 'send'")
+    if delivered is not None:
+        sent = sent.join(delivered.select(*key), key, "left_semi")
+    armed = events.filter("event = 'rearm'").select(*key)
+    kept = state.select(*key, "alerted_on").join(armed, key, "left_anti").join(target_sides(targets).select(*key), key, "left_semi")
+    return kept.unionByName(sent.select(*key, F.col("trade_date").alias("alerted_on")))
+
+
+def outstanding(history: DataFrame) -> DataFrame:
+    """The state that a history of events (see ``alerts``) leaves."""
+    last = history.groupBy("target_id", "side").agg(F.max_by("event", "trade_date").alias("event"), F.max("trade_date").alias("alerted_on"))
+    return last.filter("event = 'send'").select("target_id", "side", "alerted_on")

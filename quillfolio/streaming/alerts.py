@@ -1,46 +1,71 @@
-"""Target alerts over a stream of closes: the state of each target side is one flag.
+"""Target alerts over a stream of closes that may come late, shuffled or corrected.
 
-The state says whether an alert is outstanding.  A day that reaches the level
-and may alert sends one and sets it; a day that does not reach clears it.  Over
-a full history this equals ``operators.targets.alerts``.  A day older than one
-already judged leaves the state alone and comes out as a ``late`` row.
+The state of each target side is a map from day to what that day looked like and the
+event that it gave.  A batch puts its days into the map and judges again from the first
+day that changed on: what a day no longer gives is taken back, what it gives now is
+added.  Events added less events taken back are ``operators.targets.alerts`` of the final history.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT = "target_id long, side string, trade_date date, close double, level double, event string"
-STATE = "outstanding boolean, seen date"
-
-
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    days = pd.concat(list(batches)).sort_values("trade_date")
-    outstanding, seen = state.get if state.exists else (False, None)
-    out = []
-    for day in days.itertuples(index=False):
-        # The last day again (a replayed file) changes nothing; an older one came late or was corrected: it is reported, to be judged anew from that day.
-        if seen is not None and day.trade_date <= seen:
-            if day.trade_date < seen:
-                out.append((*key, day.trade_date, day.close, day.level, "late"))
-            continue
-        seen = day.trade_date
-        if day.reached and day.can_send and not outstanding:
-            outstanding = True
-            out.append((*key, day.trade_date, day.close, day.level, "send"))
-        elif not day.reached and outstanding:
-            outstanding = False
-            out.append((*key, day.trade_date, day.close, day.level, "rearm"))
-    state.update((outstanding, seen))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+OUTPUT = "target_id long, side string, trade_date date, close double, level double, event string, change int"
+#: The state store that keeps maps; a session that runs these streams must name it under `spark.sql.streaming.stateStore.providerClass`.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AlertDays(StatefulProcessor):
+    """Judges the days of one target side; a side has at most one day of the calendar each."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getMapState("days", "trade_date date", "close double, level double, reached boolean, can_send boolean, event string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows)).sort_values("arrived", kind="stable")
+        seen = {r.trade_date: (r.close, r.level, bool(r.reached), bool(r.can_send)) for r in given.itertuples(index=False)}
+        known = {k[0]: tuple(v) for k, v in self.days.iterator()}
+        changed = {day: row for day, row in seen.items() if day not in known or known[day][:4] != row}
+        out = list(self._judged(key, known, changed)) if changed else []
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    def _judged(self, key: Any, known: dict, changed: dict) -> Iterator[tuple]:
+        first, outstanding = min(changed), False
+        for day in sorted(known.keys() | changed.keys()):
+            old = known.get(day, (None,) * 5)
+            event = old[4]
+            if day >= first:
+                row = changed.get(day, old[:4])
+                _, _, reached, can_send = row
+                event = "send" if reached and can_send and not outstanding else "rearm" if outstanding and not reached else None
+                gave, gives = (*old[:2], old[4]), (*row[:2], event)
+                if gave != gives:
+                    if gave[2]:
+                        yield (*key, day, *gave, -1)
+                    if event:
+                        yield (*key, day, *gives, 1)
+                if day in changed or gave != gives:
+                    self.days.updateValue((day,), (*row, event))
+            outstanding = event == "send" or (outstanding and event is None)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_alerts(days: DataFrame) -> DataFrame:
-    """Alerts from a stream of ``operators.targets.target_days`` rows, in day order.
+    """Events added (change 1) and taken back (change -1) by a stream of ``operators.targets.target_days`` rows.
 
-    A (target, side) sees at most one row per calendar day.
+    Of several rows for a day the one that came last counts: in a later batch, or with the larger ``arrived`` if there is such a column.
     """
-    return days.groupBy("target_id", "side").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = days if "arrived" in days.columns else days.withColumn("arrived", F.lit(0))
+    return rows.groupBy("target_id", "side").transformWithStateInPandas(AlertDays(), OUTPUT, "Append", "None")
+
+
+def net_events(changes: DataFrame) -> DataFrame:
+    """The events that stand: those added and not taken back."""
+    event = ["target_id", "side", "trade_date", "close", "level", "event"]
+    return changes.groupBy(*event).agg(F.sum("change").alias("_n")).filter("_n > 0").select(*event)

@@ -1,7 +1,9 @@
-"""Daily price arrival as a stream: each batch is merged into the stored days by key.
+"""Daily price arrival: each batch is merged into the stored days by key.
 
-Late and corrected days are accepted whenever they come (a key is replaced, not
-dropped), so there is no watermark.
+The store is one Parquet folder partitioned by month.  A batch reads the months that it
+touches, writes them whole to a staging folder, and overwrites just these
+partitions from there (Spark's dynamic partition overwrite).  Late and corrected days are
+accepted whenever they come (a key is replaced, not dropped), so there is no watermark.
 """
 from __future__ import annotations
 
@@ -13,10 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.prices import merge_prices, replace_prices
 
 KEY = ["symbol", "trade_date"]
-FIELDS = ["close", "open", "high", "low", "volume"]
-
-
-STORED = "symbol string, trade_date date, close double, open double, high double, low double, volume double, batch long, month int"
+FIELDS = ["close", "open", "high", "low", "volume", "turnover"]
+STORED = "symbol string, trade_date date, " + ", ".join(f"{c} double" for c in FIELDS) + ", month int"
 
 
 def _month(day: Column) -> Column:
@@ -24,36 +24,53 @@ def _month(day: Column) -> Column:
     return F.coalesce(F.year(day) * 100 + F.month(day), F.lit(0))
 
 
-def stored_days(spark: SparkSession, store: str, before: int | None = None, months: list[int] | None = None) -> DataFrame:
-    """The stored days: each month as the newest batch left it (the newest one before batch `before`); all months, or some (as yyyymm)."""
+def _folder(spark: SparkSession, path: str):
+    """A folder of any file system that Spark can write, and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder, fs = _folder(spark, path)
+    return fs.exists(folder)
+
+
+def stored_days(spark: SparkSession, store: str, months: list[int] | None = None) -> DataFrame:
+    """The stored days: all, or those of some months (as yyyymm), whose folders alone are read."""
     rows = spark.read.schema(STORED).parquet(store)
-    if before is not None:
-        rows = rows.filter(F.col("batch") < before)
-    if months is not None:
-        rows = rows.filter(F.col("month").isin(months))
-    newest = rows.groupBy("month").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["month", "batch"]).select(*KEY, *FIELDS)
+    return (rows if months is None else rows.filter(F.col("month").isin(months))).select(*KEY, *FIELDS)
 
 
-def merge_into_store(spark: SparkSession, store: str, keep_missing: bool = True) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink keeping the merged days under ``store``, read by ``stored_days``.
+def merge_days(spark: SparkSession, store: str, incoming: DataFrame, batch: int | str, keep_missing: bool = True) -> None:
+    """Merge one batch of (symbol, trade_date, prices, arrived) into the store.
 
-    Batch n reads the months that it touches, as earlier batches left them, and writes these
-    months whole below batch=n.  Other months are neither read nor written.  A batch
-    replayed after a failure reads the same and writes batch=n again; nothing older is changed in place.
+    A price column that the batch lacks is missing in all its rows.  Of a key that comes twice the row that
+    arrived last counts.  `batch` names the batch's staging
+    folder beside the store.  It is written whole before any month is overwritten and removed
+    afterwards, so a batch that is replayed after a failure finishes from there and
+    gives the same rows, whichever months had already been overwritten.
     """
-    def sink(batch: DataFrame, epoch: int) -> None:
-        # A repeated key within a batch: the row that arrived last wins.
-        newest = batch.groupBy(*KEY).agg(F.max_by(F.struct(*FIELDS), "arrived").alias("_r")).select(*KEY, "_r.*")
+    stage = f"{store.rstrip('/')}-staged/batch={batch}"
+    if not folder_exists(spark, f"{stage}/_SUCCESS"):
+        priced = incoming.select(*KEY, "arrived", *[(F.col(c) if c in incoming.columns else F.lit(None)).cast("double").alias(c) for c in FIELDS])
+        newest = priced.groupBy(*KEY).agg(*[F.max_by(c, "arrived").alias(c) for c in FIELDS])
         merged = newest
-        if epoch > 0:
+        if folder_exists(spark, store):
             # Twelve numbers a year of the calendar, however many rows came.
-            months = [r.month for r in batch.select(_month(F.col("trade_date")).alias("month")).distinct().collect()]
-            stored = stored_days(spark, store, epoch, months)
-            merged = merge_prices(stored, newest) if keep_missing else replace_prices(stored, newest)
-        merged.withColumn("month", _month(F.col("trade_date"))).write.mode("overwrite").partitionBy("month").parquet(f"{store}/batch={epoch}")
+            months = [r.month for r in incoming.select(_month(F.col("trade_date")).alias("month")).distinct().collect()]
+            held = stored_days(spark, store, months)
+            merged = merge_prices(held, newest, FIELDS) if keep_missing else replace_prices(held, newest)
+        merged.withColumn("month", _month(F.col("trade_date"))).write.mode("overwrite").partitionBy("month").parquet(stage)
+    rows = spark.read.schema(STORED).parquet(stage)
+    # Rows of a month meet, so that it is a few files; Spark splits a month that is too large for one task.
+    rows.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(store)
+    folder, fs = _folder(spark, stage)
+    fs.delete(folder, True)
 
-    return sink
+
+def merge_into_store(spark: SparkSession, store: str, keep_missing: bool = True) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink keeping the merged days under ``store``, read by ``stored_days``."""
+    return lambda batch, epoch: merge_days(spark, store, batch, epoch, keep_missing)
 
 
 def start_price_stream(source: DataFrame, store: str, checkpoint: str, keep_missing: bool = True) -> StreamingQuery:

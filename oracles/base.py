@@ -59,7 +59,7 @@ SELECT {account} AS account_id, 'S' || lpad(CAST(l_suppkey AS VARCHAR), CAST(gre
   CASE WHEN txn_type = 'dividend' THEN floor(floor(l_extendedprice * 0.05e0 * 100 + 0.5) / 100 * l_tax * 100 + 0.5) / 100 ELSE 0e0 END AS tax_withheld,
   CASE l_linenumber % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'ledger' ELSE 'statement' END AS source,
   CASE WHEN txn_type = 'dividend' AND l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) - 30 END AS record_date,
-  (l_orderkey * 8 + l_linenumber) * 2097152 + l_partkey % 2097152 AS txn_id,
+  (l_orderkey::HUGEINT * 8 + l_linenumber) * 1000000000000 + l_partkey AS txn_id,
   CASE txn_type WHEN 'buy' THEN 0 WHEN 'rights' THEN 1 WHEN 'bonus' THEN 2 ELSE 3 END AS rnk
 FROM (SELECT *, CASE WHEN l_returnflag = 'N' THEN 'buy' WHEN l_returnflag = 'R' THEN 'sell' WHEN l_linestatus = 'F' THEN 'dividend'
              WHEN l_linenumber % 2 = 1 THEN 'rights' ELSE 'bonus' END AS txn_type
@@ -73,7 +73,7 @@ SELECT symbol, trade_date, arg_min(p, k) AS open, max(p) AS high, min(p) AS low,
   sum(l_quantity) AS volume, sum(cents) / 100 AS turnover, count(*) AS trade_count
 FROM (SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS trade_date, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS p, l_quantity,
         CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents,
-        row_number() OVER (PARTITION BY {symbol}, l_shipdate ORDER BY (l_orderkey * 8 + l_linenumber) * 2097152 + l_partkey % 2097152, l_suppkey) AS k
+        row_number() OVER (PARTITION BY {symbol}, l_shipdate ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k
       FROM lineitem {join})
 GROUP BY symbol, trade_date
 """

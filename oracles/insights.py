@@ -28,8 +28,8 @@ RATES = "SELECT CASE WHEN count(*) < 3 OR sum(val) <= 0 THEN 0.004e0 ELSE sum(co
 oracle("f09_scenarios", f"""
 SELECT symbol, label, basis, level, level / price - 1 AS move, CASE WHEN quantity > 0 THEN quantity * level END AS value, CASE WHEN quantity > 0 THEN quantity * level - cost_basis END AS gain,
  CASE WHEN quantity > 0 AND cost_basis > 0 THEN (quantity * level - cost_basis) / cost_basis END AS gain_pct FROM (
-SELECT h.symbol, h.quantity, h.cost_basis, k.close AS price, unnest(['52-week low','52-week high','Cheap end of its P/E range','Middle of its P/E range','Dear end of its P/E range','Your break-even','Your buy target','Your sell target']) AS label,
- unnest(['where it has been','where it has been','its earnings','its earnings','its earnings','cost back after commission','you set it','you set it']) AS basis,
+SELECT h.symbol, h.quantity, h.cost_basis, k.close AS price, unnest(['lowest price of the year','highest price of the year','price at the lower quartile of past ratios','price at the median of past ratios','price at the upper quartile of past ratios','sale without gain or loss','level to buy at','level to sell at']) AS label,
+ unnest(['prices','prices','earnings','earnings','earnings','cost and commission','target','target']) AS basis,
  unnest([y.lo, y.hi, b.price_at_low, b.price_at_median, b.price_at_high, CASE WHEN h.quantity > 0 AND h.average_cost <> 0 THEN h.average_cost / (1 - (SELECT rate FROM ({RATES}))) END, t.buy_below, t.sell_above]) AS level
 FROM held h JOIN listing l USING (symbol) JOIN stock_quote k USING (symbol) LEFT JOIN band b ON b.symbol = l.company LEFT JOIN (SELECT symbol, min(close) AS lo, max(close) AS hi FROM stock_px WHERE trade_date >= DATE '2000-11-30' GROUP BY symbol) y USING (symbol) LEFT JOIN target t USING (symbol)) WHERE level > 0""",
        "held", "listing", "stock_quote", "band", "stock_px", "target", "ev")

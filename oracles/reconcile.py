@@ -1,8 +1,8 @@
 from .base import CTES, TXN, cte, r2
 from .registry import oracle
 
-D = "DATE '2001-03-31'"
-cte("early", f"""SELECT account_id, symbol, arg_max(q, rn) AS q, arg_max(c, rn) AS c, sum(gain) AS gain FROM steps WHERE trade_date <= {D} GROUP BY ALL""", "steps")
+cte("stmt_day", """SELECT * FROM snap WHERE NOT (ascii(account_id) % 4 = 1 AND as_of > DATE '2001-05-31') QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY as_of DESC) = 1""", "snap")
+cte("early", """SELECT account_id, symbol, arg_max(q, rn) AS q, arg_max(c, rn) AS c, sum(gain) AS gain FROM steps JOIN stmt_day USING (account_id) WHERE trade_date <= as_of GROUP BY ALL""", "steps", "stmt_day")
 cte("stmt", """SELECT * FROM (SELECT account_id, symbol, q + (CASE WHEN k % 9 = 0 THEN 10e0 WHEN k % 9 = 1 THEN -1e0 ELSE 0e0 END) AS quantity, c + (CASE WHEN k % 7 = 0 THEN 1e0 WHEN k % 9 = 0 THEN c * 0.1e0 ELSE 0e0 END) AS cost_amount
  FROM (SELECT *, CAST(symbol[2:] AS BIGINT) AS k FROM early) WHERE (q > 0 OR k % 13 = 0) AND k % 11 <> 0) WHERE quantity > 0""", "early")
 oracle("j09_reconcile_holdings", """
@@ -12,16 +12,16 @@ SELECT account_id, symbol, kind, sq AS statement_qty, lq AS ledger_qty, sq - lq
 FROM (SELECT account_id, symbol, coalesce(s.quantity, 0) AS sq, coalesce(l.q, 0) AS lq, coalesce(l.c, 0) AS lc, s.cost_amount, abs(s.cost_amount - coalesce(l.c, 0)) <= greatest(1, abs(coalesce(l.c, 0)) * 0.005) AS same,
  CASE WHEN l.q IS NULL THEN 'opening' WHEN s.quantity IS NULL THEN 'exit' WHEN s.quantity = l.q THEN 'match' WHEN s.quantity > l.q THEN 'increase' ELSE 'decrease' END AS kind
  FROM stmt s FULL JOIN (SELECT * FROM early WHERE q > 0) l USING (account_id, symbol))""", "stmt", "early")
-cte("checks", f"""
-SELECT account_id, {D} AS as_of, symbol || ' shares' AS label, coalesce(e.q, 0) AS ours, coalesce(s.quantity, 0) AS broker, CASE WHEN account_id <> 'MACHINERY' THEN coalesce(e.q, 0) = coalesce(s.quantity, 0) END AS ok
- FROM early e FULL JOIN (SELECT * FROM stmt WHERE account_id <> 'MACHINERY') s USING (account_id, symbol) WHERE coalesce(e.q, 0) <> 0 OR s.quantity IS NOT NULL
-UNION ALL SELECT account_id, {D}, symbol || ' cost', e.c, s.cost_amount, abs(e.c - s.cost_amount) <= 0.05 + 1e-9 FROM early e JOIN stmt s USING (account_id, symbol) WHERE account_id <> 'MACHINERY' AND e.q = s.quantity
-UNION ALL SELECT account_id, {D}, label, ours, broker, CASE WHEN reach >= {D} THEN CASE WHEN label = 'Dividends recorded against stocks' THEN ours >= broker - 0.01 ELSE abs(ours - broker) <= tol + 1e-9 END END FROM (
- SELECT s.account_id, r.reach, unnest(['Cash balance','Deposited','Withdrawn','Dividends into the account','Realised gain','Dividends recorded against stocks']) AS label,
+cte("checks", """
+SELECT account_id, as_of, symbol || ' shares' AS label, coalesce(e.q, 0) AS ours, coalesce(s.quantity, 0) AS broker, coalesce(e.q, 0) = coalesce(s.quantity, 0) AS ok
+ FROM early e FULL JOIN stmt s USING (account_id, symbol) JOIN stmt_day USING (account_id) WHERE coalesce(e.q, 0) <> 0 OR s.quantity IS NOT NULL
+UNION ALL SELECT account_id, as_of, symbol || ' cost', e.c, s.cost_amount, abs(e.c - s.cost_amount) <= 0.05 + 1e-9 FROM early e JOIN stmt s USING (account_id, symbol) JOIN stmt_day USING (account_id) WHERE e.q = s.quantity
+UNION ALL SELECT account_id, as_of, label, ours, broker, CASE WHEN reach >= as_of THEN CASE WHEN label = 'Dividends recorded against stocks' THEN ours >= broker - 0.01 ELSE abs(ours - broker) <= tol + 1e-9 END END FROM (
+ SELECT s.account_id, s.as_of, r.reach, unnest(['Cash balance','Deposited','Withdrawn','Dividends into the account','Realised gain','Dividends recorded against stocks']) AS label,
   unnest([m.moved + x.traded, m.dep, abs(m.wd), m.dv, x.gained, x.recorded]) AS ours, unnest([cash_balance, deposit, withdraw, cash_dividend, realised_gain, cash_dividend]) AS broker, unnest([0.015e0, 0.005e0, 0.005e0, 0.005e0, 0.05e0, 0e0]) AS tol
- FROM (SELECT * FROM snap WHERE as_of = {D}) s LEFT JOIN reach r USING (account_id)
-  LEFT JOIN (SELECT account_id, sum(amount) AS moved, coalesce(sum(amount) FILTER (kind = 'deposit'), 0) AS dep, coalesce(sum(amount) FILTER (kind = 'withdrawal'), 0) AS wd, coalesce(sum(amount) FILTER (kind = 'dividend'), 0) AS dv FROM moves WHERE move_date <= {D} GROUP BY 1) m USING (account_id)
-  LEFT JOIN (SELECT account_id, sum(cash) FILTER (txn_type IN ('buy','sell','rights')) AS traded, sum(gain) AS gained, sum(cash) FILTER (txn_type = 'dividend') AS recorded FROM steps WHERE trade_date <= {D} GROUP BY 1) x USING (account_id))""", "early", "stmt", "snap", "moves", "steps", "reach")
+ FROM stmt_day s LEFT JOIN reach r USING (account_id)
+  LEFT JOIN (SELECT account_id, sum(amount) AS moved, coalesce(sum(amount) FILTER (kind = 'deposit'), 0) AS dep, coalesce(sum(amount) FILTER (kind = 'withdrawal'), 0) AS wd, coalesce(sum(amount) FILTER (kind = 'dividend'), 0) AS dv FROM moves JOIN stmt_day USING (account_id) WHERE move_date <= as_of GROUP BY 1) m USING (account_id)
+  LEFT JOIN (SELECT account_id, sum(cash) FILTER (txn_type IN ('buy','sell','rights')) AS traded, sum(gain) AS gained, sum(cash) FILTER (txn_type = 'dividend') AS recorded FROM steps JOIN stmt_day USING (account_id) WHERE trade_date <= as_of GROUP BY 1) x USING (account_id))""", "early", "stmt", "stmt_day", "moves", "steps", "reach")
 oracle("a23_account_checks", "SELECT * FROM checks", "checks")
 oracle("a24_check_summary", "SELECT account_id, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS unchecked FROM checks GROUP BY 1", "checks")
 
@@ -94,6 +94,39 @@ oracle("a27_import_blockers", "SELECT *, over_from AS held FROM a_steps WHERE ov
 oracle("k08_new_symbols", "SELECT DISTINCT symbol FROM broker WHERE symbol NOT IN (SELECT symbol FROM listing WHERE symbol NOT LIKE '%7')", "broker", "listing")
 oracle("k05_replace_period", f"""SELECT account_id, symbol, trade_date, txn_id, txn_type, quantity FROM txn WHERE NOT (account_id IN ('BUILDING','MACHINERY') AND {P} AND txn_type IN ('buy','sell'))
  UNION ALL SELECT account_id, symbol, trade_date, txn_id, txn_type, quantity FROM broker WHERE account_id IN ('BUILDING','MACHINERY')""", "txn", "broker")
+# Imports by customer: the ledger after the import is folded one event at a time.
+cte("k5_now", f"SELECT *, CAST(account_id AS BIGINT) % 6 AS g FROM ctxn WHERE {P} AND txn_type IN ('buy','sell')", "ctxn")
+cte("k5_lots", "SELECT DISTINCT account_id, symbol, DATE '1992-01-01' AS trade_date, 'buy' AS txn_type, 1e6 AS quantity, 'statement' AS source, CAST(0 AS HUGEINT) AS txn_id, 0 AS rnk FROM ctxn WHERE CAST(account_id AS BIGINT) % 6 <> 0", "ctxn")
+cte("k5_old", "SELECT account_id, symbol, trade_date, txn_type, quantity, source, txn_id, rnk FROM ctxn UNION ALL SELECT * FROM k5_lots", "ctxn", "k5_lots")
+cte("k5_gone", """SELECT account_id, symbol, trade_date, txn_id FROM k5_now WHERE source <> 'manual' OR txn_id % 5 = 0
+ UNION ALL SELECT account_id, symbol, trade_date, txn_id FROM ctxn WHERE CAST(account_id AS BIGINT) % 6 = 2 AND txn_type IN ('buy','sell') AND year(trade_date) = 1997""", "k5_now", "ctxn")
+cte("k5_new", "SELECT account_id, symbol, trade_date, txn_type, quantity, 'ledger' AS source, txn_id + 1 AS txn_id, rnk, g FROM k5_now WHERE txn_id % 7 <> 0", "k5_now")
+cte("k5_plan", "SELECT account_id, g, sum(quantity) AS opening, count(*) AS trades FROM k5_new GROUP BY ALL", "k5_new")
+cte("k5_after", "SELECT * FROM k5_old o WHERE NOT EXISTS (SELECT 1 FROM k5_gone x WHERE x.account_id = o.account_id AND x.symbol = o.symbol AND x.trade_date = o.trade_date AND x.txn_id = o.txn_id) UNION ALL SELECT * EXCLUDE (g) FROM k5_new", "k5_old", "k5_gone", "k5_new")
+for side, src in (("b", "k5_old"), ("a", "k5_after")):
+    cte(f"k5_{side}ev", f"SELECT *, row_number() OVER (PARTITION BY account_id, symbol ORDER BY trade_date, rnk, txn_id) AS rn FROM {src} WHERE account_id IN (SELECT account_id FROM k5_plan)", src, "k5_plan")
+    cte(f"k5_{side}", f"""SELECT account_id, symbol, CAST(0 AS BIGINT) AS rn, 0e0 AS q, 0 AS short FROM (SELECT DISTINCT account_id, symbol FROM k5_{side}ev)
+     UNION ALL SELECT e.account_id, e.symbol, e.rn, CASE WHEN e.txn_type = 'sell' THEN greatest(f.q - e.quantity, 0) WHEN e.txn_type = 'dividend' THEN f.q ELSE f.q + e.quantity END, CASE WHEN e.txn_type = 'sell' AND e.quantity > f.q + 1e-9 THEN 1 ELSE f.short END
+      FROM k5_{side} f JOIN k5_{side}ev e ON e.account_id = f.account_id AND e.symbol = f.symbol AND e.rn = f.rn + 1""", f"k5_{side}ev")
+cte("k5_held", """SELECT account_id, symbol, coalesce(b.q, 0) AS before, coalesce(a.q, 0) AS after, coalesce(a.short, 0) AS short FROM (SELECT account_id, symbol, arg_max(q, rn) AS q FROM k5_b GROUP BY ALL) b
+ FULL JOIN (SELECT account_id, symbol, arg_max(q, rn) AS q, max(short) AS short FROM k5_a GROUP BY ALL) a USING (account_id, symbol)""", "k5_a", "k5_b")
+cte("k5_outcome", """SELECT account_id, g, reason IS NULL AS applied, reason, CASE reason WHEN 'trades changed since the preview' THEN s1 WHEN 'removes a trade that the preview did not show' THEN s2 WHEN 'sells shares that were never bought' THEN s3 WHEN 'changes holdings without confirmation' THEN s4 END AS symbol,
+ CASE reason WHEN 'trades changed since the preview' THEN n1 WHEN 'removes a trade that the preview did not show' THEN n2 WHEN 'sells shares that were never bought' THEN n3 WHEN 'changes holdings without confirmation' THEN n4 ELSE 0 END AS rows FROM (
+ SELECT *, CASE WHEN n1 > 0 THEN 'trades changed since the preview' WHEN n2 > 0 THEN 'removes a trade that the preview did not show' WHEN n3 > 0 THEN 'sells shares that were never bought' WHEN n4 > 0 AND g NOT IN (3, 4) THEN 'changes holdings without confirmation' END AS reason
+ FROM (SELECT account_id, g FROM k5_plan) LEFT JOIN (SELECT account_id, count(*) AS n1, min(symbol) AS s1 FROM k5_now WHERE g = 1 AND txn_id % 11 = 0 GROUP BY 1) USING (account_id)
+  LEFT JOIN (SELECT account_id, count(*) AS n2, min(symbol) AS s2 FROM k5_gone WHERE year(trade_date) = 1997 GROUP BY 1) USING (account_id)
+  LEFT JOIN (SELECT account_id, count(*) FILTER (short = 1) AS n3, min(symbol) FILTER (short = 1) AS s3, count(*) FILTER (before <> after) AS n4, min(symbol) FILTER (before <> after) AS s4 FROM k5_held GROUP BY 1) USING (account_id))""", "k5_plan", "k5_now", "k5_gone", "k5_held")
+oracle("k05_import_outcomes", "SELECT * FROM k5_outcome", "k5_outcome")
+DONE = "(SELECT account_id FROM k5_outcome WHERE applied)"
+oracle("k05_import_trades", f"SELECT * FROM k5_after WHERE account_id IN {DONE} UNION ALL SELECT * FROM k5_old WHERE account_id NOT IN {DONE}", "k5_after", "k5_old", "k5_outcome")
+cte("c_moves", f"""SELECT account_id, move_date, kind, movement_id, CASE kind WHEN 'deposit' THEN t WHEN 'withdrawal' THEN -{r2('t * 0.6e0')} WHEN 'fee' THEN -{r2('t * 0.001e0')} WHEN 'dividend' THEN {r2('t * 0.02e0')} ELSE -{r2('t * 0.01e0')} END AS amount
+FROM (SELECT CAST(o_custkey AS VARCHAR) AS account_id, CAST(o_orderdate AS DATE) AS move_date, o_orderkey AS movement_id, o_totalprice AS t,
+ CASE o_orderpriority[1] WHEN '1' THEN 'deposit' WHEN '2' THEN 'withdrawal' WHEN '3' THEN 'fee' WHEN '4' THEN 'dividend' ELSE CASE o_orderstatus WHEN 'F' THEN 'ipo' ELSE 'other' END END AS kind FROM orders)""")
+oracle("k05_import_cash", f"""SELECT * FROM c_moves WHERE NOT (year(move_date) = 1998 AND account_id IN {DONE})
+ UNION ALL SELECT * REPLACE (-movement_id AS movement_id) FROM c_moves WHERE year(move_date) = 1998 AND movement_id % 3 <> 0 AND account_id IN {DONE}""", "c_moves", "k5_outcome")
+oracle("k05_import_periods", f"""SELECT account_id, period_from, period_to, opening_balance, NULL AS closing_balance, NULL AS trades, NULL AS cash_lines FROM imports
+ UNION ALL SELECT account_id, DATE '1998-01-01', DATE '1998-12-31', opening, opening + 1, trades, coalesce(n, 0) FROM k5_plan LEFT JOIN (SELECT account_id, count(*) AS n FROM c_moves WHERE year(move_date) = 1998 AND movement_id % 3 <> 0 GROUP BY 1) USING (account_id) WHERE account_id IN {DONE}""", "imports", "k5_plan", "c_moves", "k5_outcome")
+oracle("k05_import_companies", f"""SELECT symbol, name, NULL AS is_tracked FROM listing WHERE symbol NOT LIKE '%7' UNION ALL SELECT DISTINCT symbol, symbol, false FROM k5_new WHERE account_id IN {DONE} AND symbol NOT IN (SELECT symbol FROM listing WHERE symbol NOT LIKE '%7')""", "listing", "k5_new", "k5_outcome")
 oracle("k07_snapshot_upsert", """SELECT account_id, as_of, CASE WHEN month(as_of) % 2 = 0 THEN deposit + 10 ELSE deposit END AS deposit, CASE WHEN month(as_of) % 2 = 0 THEN 2 ELSE 1 END AS imported FROM snap UNION ALL SELECT account_id, as_of + 3, deposit, 3 FROM snap WHERE month(as_of) = 6""", "snap")
 oracle("d12q_changed_since_preview", "SELECT *, CASE WHEN txn_id % 11 <> 0 THEN 'vanished' ELSE 'appeared' END AS change FROM txn WHERE (txn_id % 11 <> 0) <> (txn_id % 13 <> 0)", "txn")
 cte("report", f"""SELECT account_id, account_id || '/' || symbol || '/' || record_date AS line_id, 'Supplier#' || lpad(CAST(k AS VARCHAR), CAST(greatest(9, length(CAST(k AS VARCHAR))) AS INTEGER), '0') || CASE WHEN k % 3 = 0 THEN ' Ltd.' ELSE '' END AS company_name, CASE WHEN k % 5 = 0 THEN 'elsewhere' ELSE 'broker' END AS paid_via, symbol,

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import round_half_up
+from ..sources.scratch import written
 
 # Fixed values.
 PAYMENT_WINDOW_DAYS = 120
@@ -64,7 +65,7 @@ def detect_paid(receivables: DataFrame, credited: DataFrame) -> DataFrame:
     cash that came in between two statements.
     """
     keys = ["account_id", "as_of"]
-    gone = gone_receivables(receivables, credited.select(*keys).unionByName(credited.select("account_id", F.col("next_as_of").alias("as_of"))).distinct())
+    gone = written(gone_receivables(receivables, credited.select(*keys).unionByName(credited.select("account_id", F.col("next_as_of").alias("as_of"))).distinct()))
     due = gone.groupBy(*keys).agg(F.sum("entitlement").alias("due"))
     share = due.join(credited.select(*keys, F.greatest(F.lit(0.0), F.col("credited")).alias("arrived")), keys)
     share = share.filter("arrived >= 0.005 and due > 0").withColumn("net_share", F.least(F.lit(1.0), F.try_divide(F.col("arrived"), F.col("due"))))

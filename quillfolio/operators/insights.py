@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dates import PUBLICATION_LAG_DAYS
+from ..sources.scratch import written
 from .fundamentals import with_period_end
-from .scan import running_sums
+from .scan import ranges, running_sums
 
 # Fixed value: days a ratio must be known for before a band is shown.
 MIN_BAND_DAYS = 60
@@ -60,13 +61,14 @@ def compare_with_peers(rows: DataFrame, metrics: list[str]) -> DataFrame:
 
     ``rows`` hold (symbol, metrics...).  Instead of pairing companies, equal
     values are counted once, their counts accumulated in value order over
-    buckets, and the company itself is taken out of the totals.
+    buckets, and the company itself is taken out of the totals.  The values and their
+    counts are read several times, so both are written to scratch tables.
     """
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    long = rows.select("symbol", F.inline(pairs)).filter((F.col("value") > 0) & (F.col("value") < float("inf")))
+    long = written(rows.select("symbol", F.inline(pairs)).filter((F.col("value") > 0) & (F.col("value") < float("inf"))))
     counts = long.groupBy("metric", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    # A bucket spans a tenth of a per cent: crowded ratios spread over many, and all positive doubles have 1.5 million at most.
-    counts = counts.withColumn("bucket", F.floor(F.ln("value") * 1024))
+    # Buckets are cut by how many values there are, however they crowd together.
+    counts = ranges(counts, ["metric", "value"], long.count())
     ranked = running_sums(counts, ["metric"], ["bucket"], ["value"], {"upto": "n"}).withColumn("below", F.col("upto") - F.col("n"))
     totals = counts.groupBy("metric").agg(F.sum("n").alias("total"))
     ranked = ranked.join(totals, "metric")
@@ -89,16 +91,16 @@ def compare_with_peers(rows: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
-# Scenario levels, their labels and where each comes from.
+# The levels that a scenario looks at, what each is called, and what it rests on.
 LEVELS = [
-    ("year_low", "52-week low", "where it has been"),
-    ("year_high", "52-week high", "where it has been"),
-    ("price_at_low", "Cheap end of its P/E range", "its earnings"),
-    ("price_at_median", "Middle of its P/E range", "its earnings"),
-    ("price_at_high", "Dear end of its P/E range", "its earnings"),
-    ("break_even", "Your break-even", "cost back after commission"),
-    ("buy_below", "Your buy target", "you set it"),
-    ("sell_above", "Your sell target", "you set it"),
+    ("year_low", "lowest price of the year", "prices"),
+    ("year_high", "highest price of the year", "prices"),
+    ("price_at_low", "price at the lower quartile of past ratios", "earnings"),
+    ("price_at_median", "price at the median of past ratios", "earnings"),
+    ("price_at_high", "price at the upper quartile of past ratios", "earnings"),
+    ("break_even", "sale without gain or loss", "cost and commission"),
+    ("buy_below", "level to buy at", "target"),
+    ("sell_above", "level to sell at", "target"),
 ]
 
 

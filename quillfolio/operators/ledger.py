@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import near, ratio
-from .scan import day_buckets, id_bucket, running_sums
+from ..sources.scratch import written
+from .scan import day_buckets, running_sums
 
 POSITION = ["account_id", "symbol"]
 DAY = POSITION + ["trade_date"]
@@ -30,7 +31,6 @@ STRETCH_LOG = 600.0
 ADDS = ("buy", "rights", "bonus")
 PAID = ("buy", "rights")
 TRADES = ("buy", "sell", "rights")
-SALE_IDS = ["sales", "first_sale", "last_sale"]
 
 
 def event_rank(txn_type: Column) -> Column:
@@ -75,8 +75,6 @@ def net_days(txns: DataFrame) -> DataFrame:
         total(sell, trade_value()).alias("out_value"),
         total(sell, _n("commission")).alias("out_commission"),
         F.count_if(sell).alias("sales"),
-        F.min(F.when(sell, F.col("txn_id"))).alias("first_sale"),
-        F.max(F.when(sell, F.col("txn_id"))).alias("last_sale"),
         total(div, _n("gross_amount")).alias("dividend_gross"),
         total(div, _n("tax_withheld")).alias("dividend_tax"),
         F.count_if(~div).alias("trades"),
@@ -135,35 +133,39 @@ def day_states(txns: DataFrame) -> DataFrame:
     return out.drop("_r", "_island", "_stretch", "_f", "_c", "_before")
 
 
-def _sale_fills(sales: DataFrame) -> DataFrame:
-    """Shares each sale could actually deliver, in ``txn_id`` order within its day.
+def _sales(txns: DataFrame) -> DataFrame:
+    return txns.filter(F.col("txn_type") == "sell").select(
+        *DAY, "txn_id", _n("quantity").alias("quantity"), _n("price_per_share").alias("price_per_share"), _n("commission").alias("commission")
+    )
+
+
+def _short_fills(txns: DataFrame, days: DataFrame) -> DataFrame:
+    """Sales of days that sold more than was held: what each could deliver, in ``txn_id`` order within its day.
 
-    ``sales`` carry the day's ``available`` shares and its number and ids of sales.
+    Only these days need the order of their sales.  ``days`` are netted days with their
+    shares; the days' sales are written to a scratch table, since the running sums read them twice.
     """
-    bucketed = sales.withColumn("bucket", id_bucket(F.col("txn_id"), F.col("first_sale"), F.col("last_sale"), F.col("sales")))
+    available = F.col("q_open") + F.col("in_qty")
+    short = days.filter(F.col("out_qty") > available).select(*DAY, available.alias("available"))
+    bucketed = day_buckets(written(_sales(txns).join(short, DAY)), DAY, "txn_id")
     run = running_sums(bucketed, DAY, ["bucket"], ["txn_id"], {"upto": "quantity"}).drop("bucket")
     left = F.greatest(F.col("available") - (F.col("upto") - F.col("quantity")), F.lit(0.0))
     return run.withColumn("left_before", left).withColumn("filled", F.least(F.col("quantity"), left)).drop("upto")
 
 
 def sale_gains(txns: DataFrame, states: DataFrame | None = None) -> DataFrame:
-    """Every sale with the gain it realised against average cost that day."""
-    states = day_states(txns) if states is None else states
+    """Every sale with the gain it realised against average cost that day.
+
+    The day states are written to a scratch table unless they are given: both the sales and the
+    search for short days read them, and the ledger is not netted twice.
+    """
+    states = written(day_states(txns)) if states is None else states
     day = states.filter(F.col("sales") > 0).select(
         *DAY, "average", (F.col("q_open") + F.col("in_qty")).alias("available")
     )
-    sales = txns.filter(F.col("txn_type") == "sell").select(
-        *DAY, "txn_id", _n("quantity").alias("quantity"), _n("price_per_share").alias("price_per_share"),
-        _n("commission").alias("commission"),
-    )
-    joined = sales.join(day, DAY)
-    # Only days that sold more than was held need the order of their sales.
-    short_days = share_walk(txns).filter(F.col("out_qty") > F.col("q_open") + F.col("in_qty")).select(
-        *DAY, (F.col("q_open") + F.col("in_qty")).alias("available"), *SALE_IDS
-    )
-    short = _sale_fills(sales.select(*DAY, "txn_id", "quantity").join(short_days, DAY)).select(*DAY, "txn_id", "quantity", "filled", "left_before")
+    short = _short_fills(txns, states).select(*DAY, "txn_id", "quantity", "filled", "left_before")
     row = DAY + ["txn_id", "quantity"]
-    filled = joined.join(short, row, "left").withColumns(
+    filled = _sales(txns).join(day, DAY).join(short, row, "left").withColumns(
         {"filled": F.coalesce("filled", "quantity"), "left_before": F.coalesce("left_before", "available")}
     )
     return filled.select(
@@ -175,26 +177,17 @@ def sale_gains(txns: DataFrame, states: DataFrame | None = None) -> DataFrame:
     )
 
 
-def oversells(txns: DataFrame, states: DataFrame | None = None) -> DataFrame:
-    """Sales of more shares than were held, with what was held."""
-    return sale_gains(txns, states).filter(F.col("oversold_from").isNotNull()).select(
-        *DAY, "txn_id", "quantity", F.col("oversold_from").alias("held")
-    )
+def oversells(txns: DataFrame) -> DataFrame:
+    """Sales of more shares than were held, with what was held.  The shares alone tell, without the cost."""
+    fills = _short_fills(txns, share_walk(txns))
+    return fills.filter(F.col("quantity") > F.col("left_before") + EMPTY_BELOW).select(*DAY, "txn_id", "quantity", F.col("left_before").alias("held"))
 
 
 def day_ledger(txns: DataFrame) -> DataFrame:
-    """Day states with the gain, proceeds and warnings of each day."""
-    states = day_states(txns)
-    available = F.col("q_open") + F.col("in_qty")
-    # Days that sold more than was held: the shares alone tell, without the cost.
-    short_days = share_walk(txns).filter(F.col("out_qty") > available).select(*DAY, available.alias("available"), *SALE_IDS)
-    sales = (
-        txns.filter(F.col("txn_type") == "sell")
-        .select(*DAY, "txn_id", _n("quantity").alias("quantity"), _n("price_per_share").alias("price_per_share"))
-        .join(short_days, DAY)
-    )
+    """Day states with the gain, proceeds and warnings of each day.  The states are written to a scratch table, since they are read twice."""
+    states = written(day_states(txns))
     filled = (
-        _sale_fills(sales)
+        _short_fills(txns, states)
         .groupBy(*DAY)
         .agg(
             F.sum(F.col("filled") * F.col("price_per_share")).alias("filled_value"),
@@ -336,11 +329,10 @@ def trading_stats(txns: DataFrame, gains: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("gain") < 0, F.col("gain"))).alias("average_loss"),
     )
     traded = txns.filter(F.col("txn_type").isin(*TRADES)).agg(
-        F.sum(_n("commission")).alias("commission"), F.sum(trade_value()).alias("turnover")
+        F.struct(F.sum(_n("commission")).alias("commission"), F.sum(trade_value()).alias("turnover")).alias("both")
     )
     return (
-        scored.withColumn("commission", traded.select("commission").scalar())
-        .withColumn("turnover", traded.select("turnover").scalar())
+        scored.withColumn("_t", traded.scalar()).select("*", "_t.commission", "_t.turnover").drop("_t")
         .withColumn("win_rate", ratio(F.col("wins"), F.col("sales")))
         .withColumn("commission_share", F.when(F.col("realised") + F.col("commission") > 0, ratio(F.col("commission"), F.col("realised") + F.col("commission"))))
     )
@@ -361,7 +353,7 @@ def cost_timeline(txns: DataFrame) -> DataFrame:
     """Position in a symbol after every event, summed over accounts.
 
     Each event's change to its own account needs no running state beyond its
-    day's; the changes are then accumulated per symbol, day by day.
+    day's; the changes are written to a scratch table and then accumulated per symbol, day by day.
     """
     kind, zero = F.col("txn_type"), F.lit(0.0)
     cols = ["symbol", "trade_date", "txn_id", "account_id", "txn_type", "quantity", "price_per_share", "cash"]
@@ -375,7 +367,8 @@ def cost_timeline(txns: DataFrame) -> DataFrame:
         F.col("proceeds").alias("cash"), (-F.col("filled")).alias("dq"),
         (F.col("gain") - F.col("filled_proceeds")).alias("dc"), (-F.col("filled_proceeds")).alias("dn"),
     )
-    change = day_buckets(other.unionByName(sold).withColumn("rank", event_rank(kind)), ["symbol", "trade_date"], "txn_id")
+    change = written(other.unionByName(sold).withColumn("rank", event_rank(kind)))
+    change = day_buckets(change, ["symbol", "trade_date"], "txn_id")
     out = running_sums(
         change, ["symbol"], ["trade_date", "rank", "bucket"], ["txn_id", "account_id"],
         {"held": "dq", "cost": "dc", "net_cost": "dn"},

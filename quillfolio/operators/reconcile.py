@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import near, round_half_up
-from .ledger import DAY, POSITION, TRADES, cash_flow, day_states, net_days, oversells, positions, sale_gains
+from ..sources.scratch import written
+from .apply import before_and_after, changed_holdings
+from .ledger import DAY, POSITION, TRADES, cash_flow, day_states, oversells, positions, sale_gains
 from .names import match_companies
 from .scan import day_buckets, running_sums
 
@@ -63,7 +65,8 @@ def account_checks(statements: DataFrame, holdings: DataFrame, txns: DataFrame,
     """
     dates = statements.select("account_id", "as_of")
     upto = txns.join(dates, "account_id").filter("trade_date <= as_of").drop("as_of")
-    pos = positions(upto, None, "2000-01-01")
+    # One row per holding, read by stock and by account.
+    pos = written(positions(upto, None, "2000-01-01").select(*POSITION, "quantity", "cost_basis", "realised_gain"))
     kept = dates.join(holdings.groupBy("account_id").agg(F.count(F.lit(1)).alias("_kept")), "account_id", "left")
     ours = pos.select(*POSITION, F.col("quantity").alias("oq"), F.col("cost_basis").alias("oc"))
     theirs = holdings.select(*POSITION, F.col("quantity").alias("bq"), F.col("cost_amount").alias("bc"))
@@ -125,10 +128,11 @@ def compare_pnl(lines: DataFrame, txns: DataFrame, companies: DataFrame, start,
         F.sum(F.when(F.col("txn_type") == "sell", F.col("quantity")).otherwise(0.0)).alias("l_sale"),
     )
     gains = sale_gains(txns.filter(F.col("trade_date") <= hi)).filter(F.col("trade_date") >= lo).groupBy(*POSITION).agg(F.sum("gain").alias("l_profit"))
-    ledger = trades.join(gains, POSITION, "left").withColumn("l_profit", F.coalesce("l_profit", F.lit(0.0)))
+    # One row per stock and one per report line, both read several times below.
+    ledger = written(trades.join(gains, POSITION, "left").withColumn("l_profit", F.coalesce("l_profit", F.lit(0.0))))
     named = lines.join(match_companies(lines, companies), "company_name", "left")
     have = ledger.select(*POSITION).withColumn("_l", F.lit(True))
-    named = named.join(have, POSITION, "left")
+    named = written(named.join(have, POSITION, "left"))
     taken = named.filter("_l").select(*POSITION).distinct()
     free = ledger.join(taken, POSITION, "left_anti")
     qty = ["account_id", "buy_qty", "sale_qty"]
@@ -138,13 +142,14 @@ def compare_pnl(lines: DataFrame, txns: DataFrame, companies: DataFrame, start,
     lost = named.filter("_l is null").groupBy(*qty).agg(F.count(F.lit(1)).alias("_m")).filter("_m = 1")
     fallback = only.join(lost, qty).select(*qty, "_only")
     matched = named.join(fallback, qty, "left").withColumn("symbol", F.when(F.col("_l"), F.col("symbol")).otherwise(F.coalesce("_only", "symbol"))).drop("_l", "_only")
+    matched = written(matched)
     rows = matched.join(ledger, POSITION, "left").select(
         "account_id", "company_name", "symbol", "buy_qty", "sale_qty", "profit", "l_buy", "l_sale", "l_profit",
         F.coalesce((F.col("l_buy") == F.col("buy_qty")) & (F.col("l_sale") == F.col("sale_qty")), F.lit(False)).alias("complete"),
     )
     used = matched.filter("symbol is not null").select(*POSITION).distinct()
     zero = F.lit(0.0)
-    rest = ledger.join(used, POSITION, "left_anti").join(lines.select("account_id").distinct(), "account_id", "left_semi").select(
+    rest = ledger.join(used, POSITION, "left_anti").join(matched.select("account_id").distinct(), "account_id", "left_semi").select(
         "account_id", F.col("symbol").alias("company_name"), "symbol", zero.alias("buy_qty"), zero.alias("sale_qty"), zero.alias("profit"),
         "l_buy", "l_sale", "l_profit", F.lit(False).alias("complete"),
     )
@@ -240,34 +245,51 @@ def match_manual_trades(manual: DataFrame, ledger: DataFrame, days: int = 3) ->
     return placed.join(got, key + ["d"], "left").select(*manual.columns, (F.col("_place") <= F.coalesce("got", F.lit(0))).alias("replaced"))
 
 
-def plan_ledger_import(ledger: DataFrame, existing: DataFrame, start, end, known: DataFrame) -> dict[str, DataFrame]:
+class LedgerImportPlan:
     """What importing a period of ledger trades would do, before anything is written.
 
     Trades of an earlier import in the period are replaced; hand-entered ones
-    only where a ledger trade duplicates them.
+    only where a ledger trade duplicates them.  The period's trades on both sides
+    are small beside the ledger and each is read several times, so they are written to
+    scratch tables; the ledger itself is read once for the holdings and twice for the blockers.
     """
-    inside = F.col("txn_type").isin("buy", "sell") & F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    scope = existing.join(ledger.select("account_id").distinct(), "account_id", "left_semi")
-    candidates = scope.filter(inside)
-    manual = match_manual_trades(candidates.filter("source = 'manual'"), ledger)
-    imported = candidates.filter("source <> 'manual'").withColumn("replaced", F.lit(True))
-    decided = manual.unionByName(imported)
-    row = DAY + ["txn_id"]
-    kept = existing.join(decided.filter("replaced").select(*row), row, "left_anti")
-    new = ledger.select(
-        "account_id", "symbol", "trade_date", "txn_type", "quantity", "price_per_share", F.lit(None).cast("double").alias("gross_amount"), "commission",
-        F.lit(0.0).alias("tax_withheld"), F.lit("ledger").alias("source"), F.lit(None).cast("date").alias("record_date"), "txn_id",
-    )
-    after = kept.unionByName(new)
-    shares = lambda df, name: day_states(df).groupBy(*POSITION).agg(F.max_by("q", "trade_date").alias(name))
-    held = shares(scope, "before").join(shares(after.join(ledger.select("account_id").distinct(), "account_id", "left_semi"), "after"), POSITION, "full_outer")
-    return {
-        "decided": decided,
-        "after": after,
-        "holdings": held.na.fill(0.0, ["before", "after"]).filter("before <> 0 or after <> 0"),
-        "new_symbols": ledger.select("symbol").distinct().join(known.select("symbol"), "symbol", "left_anti"),
-        "blockers": oversells(after),
-    }
+
+    def __init__(self, ledger: DataFrame, existing: DataFrame, start, end, known: DataFrame):
+        optional = [c for c in ("txn_id",) if c in ledger.columns]
+        self.ledger = written(ledger.select("account_id", "symbol", "trade_date", "txn_type", "quantity", "price_per_share", "commission", *optional))
+        self.existing, self.known = existing, known
+        self._accounts = self.ledger.select("account_id").distinct()
+        inside = F.col("txn_type").isin("buy", "sell") & F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+        candidates = written(existing.join(self._accounts, "account_id", "left_semi").filter(inside))
+        manual = match_manual_trades(candidates.filter("source = 'manual'"), self.ledger)
+        #: The account's trades in the period, and whether each is replaced.
+        self.decided = written(manual.unionByName(candidates.filter("source <> 'manual'").withColumn("replaced", F.lit(True))))
+
+    @property
+    def new(self) -> DataFrame:
+        """The ledger's trades as they would be written."""
+        return self.ledger.withColumns({"tax_withheld": F.lit(0.0), "source": F.lit("ledger")})
+
+    @property
+    def replaced(self) -> DataFrame:
+        return self.decided.filter("replaced").select(*DAY, "txn_id")
+
+    def after(self) -> DataFrame:
+        """All trades as they would be afterwards."""
+        return self.existing.join(self.replaced, DAY + ["txn_id"], "left_anti").unionByName(self.new, allowMissingColumns=True)
+
+    def holdings(self) -> DataFrame:
+        """Shares before and after, of every stock that the accounts hold or trade in the ledger."""
+        scope = self.existing.join(self._accounts, "account_id", "left_semi")
+        held = changed_holdings(before_and_after(scope, self.replaced, self.new))
+        return held.select(*POSITION, "before", "after").filter("before <> 0 or after <> 0")
+
+    def new_symbols(self) -> DataFrame:
+        return self.ledger.select("symbol").distinct().join(self.known.select("symbol"), "symbol", "left_anti")
+
+    def blockers(self) -> DataFrame:
+        """Sales of the accounts' rebuilt history that sell shares never bought."""
+        return oversells(self.after().join(self._accounts, "account_id", "left_semi"))
 
 
 def import_summary(lines: DataFrame) -> DataFrame:
@@ -318,7 +340,7 @@ def plan_dividend_import(lines: DataFrame, txns: DataFrame, companies: DataFrame
     j = j.withColumn("tax_withheld", F.coalesce("tax", round_half_up(F.col("gross") * F.col("rate"))))
     asked = j.filter("symbol is not null").select("account_id", "symbol", "record_date")
     held = holdings_at(day_states(txns), asked, "record_date", strict=True).select(*POSITION, "record_date", F.col("quantity").alias("ledger_holding"))
-    j = j.join(held, POSITION + ["record_date"], "left")
+    j = written(j.join(held, POSITION + ["record_date"], "left"))
     out = mark_recorded(j, txns)
     return out.withColumn(
         "suggested", ~F.col("recorded") & F.col("symbol").isNotNull() & (F.col("paid_via") == "broker")

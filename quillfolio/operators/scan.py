@@ -6,19 +6,23 @@ windowed on its own, and only the chunk totals are windowed per key.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-# Rows of one key and day above which the day itself is cut into buckets.
+from ..sources.scratch import written
+
+# Rows of one key and day above which the day itself is cut into buckets, and rows of a bucket, about.
 BUCKET_ROWS = 50_000
-# Buckets are this many times finer than the rows need, so that ids which crowd together do not fill one.
-FINER = 64
 
 
-def id_bucket(row_id: Column, low: Column, high: Column, rows: Column) -> Column:
-    """Order-preserving bucket of a row id inside [low, high]; their number follows the rows."""
-    buckets = F.when(rows > BUCKET_ROWS, F.ceil(rows / BUCKET_ROWS) * FINER).otherwise(F.lit(1))
-    width = F.greatest(F.ceil((high - low + 1) / F.greatest(buckets, F.lit(1))), F.lit(1))
-    return F.floor((row_id - low) / width).cast("long")
+def ranges(df: DataFrame, order: list[str], rows: int, out: str = "bucket") -> DataFrame:
+    """Add a number that does not decrease along ``order``, about ``rows`` rows sharing each.
+
+    The split points come from Spark's own sample of the rows, so values or ids that crowd together
+    are cut as finely as others.  The rows are written to a scratch table: a second
+    sample would give other points.
+    """
+    parts = -(-rows // BUCKET_ROWS) * 2
+    return written(df.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id().cast("long")))
 
 
 def running_sums(
@@ -50,11 +54,11 @@ def running_sums(
 
 
 def day_buckets(df: DataFrame, keys: list[str], row_id: str, out: str = "bucket") -> DataFrame:
-    """Add the bucket a row falls in, from the size of its (key) group."""
-    size = df.groupBy(*keys).agg(
-        F.min(row_id).alias("_lo"), F.max(row_id).alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
-    # Only groups above one bucket's worth are joined; the rest are bucket 0.
-    big = size.filter(F.col("_n") > BUCKET_ROWS)
-    bucket = F.coalesce(id_bucket(F.col(row_id), F.col("_lo"), F.col("_hi"), F.col("_n")), F.lit(0))
-    return df.join(big, keys, "left").select(*df.columns, bucket.cast("long").alias(out))
+    """Add the bucket a row falls in: 0 where its (key) group is small, ranges of the row id in groups of over BUCKET_ROWS rows."""
+    big = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS))
+    rows = big.agg(F.sum("_n")).first()[0]
+    if not rows:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    # Groups of this size are few, by their size.
+    crowded = ranges(df.join(big.select(*keys), keys, "left_semi"), [*keys, row_id], rows, out)
+    return df.join(big.select(*keys), keys, "left_anti").withColumn(out, F.lit(0).cast("long")).unionByName(crowded)

@@ -8,6 +8,7 @@ from ..operators import fundamentals as Fu
 from ..operators import ledger as L
 from .fundamentals_queries import restated
 from .ledger_queries import positions, stock_quotes
+from ..sources.scratch import written
 from ..sources.testtables import key_of
 from .registry import query
 
@@ -40,12 +41,12 @@ def _(t):
 
 @query("a16_paid_dividends", "account_id as_of:d next_as_of:d company_name symbol record_date:d gross:2 tax_withheld:2 check_split:b")
 def _(t):
-    return Dv.detect_paid(t.receivables(), t.credits())
+    return Dv.detect_paid(written(t.receivables()), written(t.credits()))
 
 
 @query("a16_unexplained_credits", "account_id as_of:d next_as_of:d credited:2 unexplained:2")
 def _(t):
-    r, c = t.receivables(), t.credits()
+    r, c = written(t.receivables()), written(t.credits())
     return Dv.unexplained_credits(Dv.detect_paid(r, c), c, r)
 
 

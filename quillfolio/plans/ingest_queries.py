@@ -144,7 +144,7 @@ def _accounts(t):
     )
 
 
-@query("j01_ledger_listing", "txn_id:i account_id broker symbol name sector trade_date:d txn_type")
+@query("j01_ledger_listing", "txn_id account_id broker symbol name sector trade_date:d txn_type")
 def _(t):
     return stored.ledger_listing(t.transactions(), t.listings(), _accounts(t))
 

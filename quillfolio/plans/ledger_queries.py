@@ -67,27 +67,27 @@ def _(t):
     return L.commission_rates(t.transactions())
 
 
-@query("w13_cost_timeline", "symbol trade_date:d txn_id:i account_id txn_type quantity:4 price_per_share:4 cash:4 held:4 average_cost:4 net_cost_per_share:4 net_cost:4")
+@query("w13_cost_timeline", "symbol trade_date:d txn_id account_id txn_type quantity:4 price_per_share:4 cash:4 held:4 average_cost:4 net_cost_per_share:4 net_cost:4")
 def _(t):
     return L.cost_timeline(t.transactions())
 
 
-@query("w14_sale_gains", "account_id symbol trade_date:d txn_id:i quantity:4 proceeds:4 gain:4")
+@query("w14_sale_gains", "account_id symbol trade_date:d txn_id quantity:4 proceeds:4 gain:4")
 def _(t):
     return L.sale_gains(t.transactions())
 
 
-@query("a06_oversell_warnings", "account_id symbol trade_date:d txn_id:i quantity:4 held:4")
+@query("a06_oversell_warnings", "account_id symbol trade_date:d txn_id quantity:4 held:4")
 def _(t):
     return L.oversells(t.transactions())
 
 
-@query("p05_cash_flows", "account_id symbol trade_date:d txn_id:i txn_type cash:4")
+@query("p05_cash_flows", "account_id symbol trade_date:d txn_id txn_type cash:4")
 def _(t):
     return L.with_cash_flow(t.transactions())
 
 
-@query("t05_event_order", "account_id symbol txn_id:i trade_date:d place:i")
+@query("t05_event_order", "account_id symbol txn_id trade_date:d place:i")
 def _(t):
     return L.event_order(t.transactions())
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import apply as A
 from ..operators import fundamentals as Fu
 from ..operators import ledger as L
 from ..operators import quality as Q
@@ -10,26 +11,23 @@ from ..operators import reconcile as R
 from ..operators import returns as Re
 from ..operators.names import match_companies
 from .ledger_queries import positions, stock_quotes
+from ..sources.scratch import written
 from ..sources.testtables import key_of, padded
 from .registry import query
 
-CHECK_DATE = "2001-03-31"
 START, END = "1998-01-01", "1998-12-31"
 
 
-def _upto(t):
-    return t.transactions().filter(F.col("trade_date") <= F.lit(CHECK_DATE).cast("date"))
-
-
 @query("j09_reconcile_holdings", "account_id symbol kind statement_qty:4 ledger_qty:4 delta:4 statement_cost:4 ledger_cost:4 proposed_type proposed_qty:4 proposed_price:4 selected:b")
 def _(t):
-    return R.reconcile_holdings(t.statement_holdings(CHECK_DATE), L.positions(_upto(t), None, CHECK_DATE))
+    statements = written(t.latest_statements())
+    upto = t.transactions().join(statements.select("account_id", "as_of"), "account_id").filter("trade_date <= as_of").drop("as_of")
+    return R.reconcile_holdings(t.statement_holdings(statements), L.positions(upto, None, END))
 
 
 def _checks(t):
-    statements = t.snapshots().filter(F.col("as_of") == F.lit(CHECK_DATE).cast("date"))
-    holdings = t.statement_holdings(CHECK_DATE).filter("account_id <> 'MACHINERY'")
-    return R.account_checks(statements, holdings, t.transactions(), t.cash_movements(), R.ledger_coverage(t.ledger_imports()))
+    statements = written(t.latest_statements())
+    return R.account_checks(statements, written(t.statement_holdings(statements)), t.transactions(), t.cash_movements(), R.ledger_coverage(t.ledger_imports()))
 
 
 @query("a23_account_checks", "account_id as_of:d label ours:2 broker:2 ok:b")
@@ -68,7 +66,7 @@ def _pnl_lines(t):
 
 @query("a25_j11_j12_pnl_comparison", "account_id company_name symbol buy_qty:4 sale_qty:4 profit:4 l_buy:4 l_sale:4 l_profit:4 complete:b")
 def _(t):
-    return R.compare_pnl(_pnl_lines(t), t.transactions(), t.listings().withColumn("short_name", F.lit(None).cast("string")), START, END)
+    return R.compare_pnl(written(_pnl_lines(t)), t.transactions(), t.listings().withColumn("short_name", F.lit(None).cast("string")), START, END)
 
 
 @query("w15_balance_breaks", "import_id line_no:i previous:2 debit:2 credit:2 balance:2 expected:2")
@@ -98,35 +96,88 @@ def _broker_trades(t):
 
 
 def _plan(t):
-    return R.plan_ledger_import(_broker_trades(t), t.transactions(), START, END, t.listings().filter("symbol not like '%7'"))
+    return R.LedgerImportPlan(_broker_trades(t), t.transactions(), START, END, t.listings().filter("symbol not like '%7'"))
 
 
-@query("j13_a27_replaced_trades", "account_id symbol trade_date:d txn_id:i txn_type quantity:4 source replaced:b")
+@query("j13_a27_replaced_trades", "account_id symbol trade_date:d txn_id txn_type quantity:4 source replaced:b")
 def _(t):
-    return _plan(t)["decided"]
+    return _plan(t).decided
 
 
 @query("a27_holdings_before_after", "account_id symbol before:4 after:4")
 def _(t):
-    return _plan(t)["holdings"]
+    return _plan(t).holdings()
 
 
 @query("a27_import_blockers", "account_id symbol trade_date:d quantity:4 held:4")
 def _(t):
-    return _plan(t)["blockers"]
+    return _plan(t).blockers()
 
 
 @query("k08_new_symbols", "symbol")
 def _(t):
-    return _plan(t)["new_symbols"]
+    return _plan(t).new_symbols()
 
 
-@query("k05_replace_period", "account_id symbol trade_date:d txn_id:i txn_type quantity:4")
+@query("k05_replace_period", "account_id symbol trade_date:d txn_id txn_type quantity:4")
 def _(t):
     new = _broker_trades(t).filter("account_id in ('BUILDING', 'MACHINERY')")
     return R.replace_period(t.transactions(), new, START, END)
 
 
+def _applied(t):
+    """Imports of 1998 for every customer; the customer's number decides what the preview, the person and the opening lots are like."""
+    acc = F.col("account_id").cast("long") % 6
+    x = t.transactions("c_custkey")
+    lots = x.filter(acc != 0).groupBy("account_id", "symbol").agg(F.lit(0).cast("decimal(38,0)").alias("txn_id")).select(
+        "account_id", "symbol", F.lit("1992-01-01").cast("date").alias("trade_date"), F.lit("buy").alias("txn_type"), F.lit(1e6).alias("quantity"),
+        F.lit(10.0).alias("price_per_share"), F.lit(0.0).alias("commission"), F.lit(0.0).alias("tax_withheld"), F.lit("statement").alias("source"), "txn_id",
+    )
+    existing = x.unionByName(lots, allowMissingColumns=True)
+    inside = F.col("txn_type").isin("buy", "sell") & F.col("trade_date").between(F.lit(START).cast("date"), F.lit(END).cast("date"))
+    now = x.filter(inside)
+    seen = now.filter(~((acc == 1) & (F.col("txn_id") % 11 == 0)))
+    late = x.filter((acc == 2) & F.col("txn_type").isin("buy", "sell") & (F.year("trade_date") == 1997))
+    remove = now.filter((F.col("source") != "manual") | (F.col("txn_id") % 5 == 0)).unionByName(late)
+    new = now.filter(F.col("txn_id") % 7 != 0).select(
+        "account_id", "symbol", "trade_date", "txn_type", "quantity", "price_per_share", "commission", F.lit(0.0).alias("tax_withheld"), F.lit("ledger").alias("source"), (F.col("txn_id") + 1).alias("txn_id"),
+    )
+    plans = new.groupBy("account_id").agg(F.sum("quantity").alias("opening_balance")).select(
+        "account_id", F.lit(START).cast("date").alias("period_from"), F.lit(END).cast("date").alias("period_to"), "opening_balance", (F.col("opening_balance") + 1).alias("closing_balance"),
+        acc.isin(3, 4).alias("confirmed"),
+    )
+    cash = t.cash_movements("c_custkey")
+    lines = cash.filter((F.year("move_date") == 1998) & (F.col("movement_id") % 3 != 0)).join(plans, "account_id", "left_semi").withColumn("movement_id", -F.col("movement_id"))
+    periods = t.ledger_imports().select("account_id", "period_from", "period_to", "opening_balance")
+    companies = t.listings().filter("symbol not like '%7'").select("symbol", "name")
+    return A.apply_import(plans, existing, seen, remove, new, cash, lines, periods, companies)
+
+
+@query("k05_import_outcomes", "account_id applied:b reason symbol rows:i")
+def _(t):
+    return _applied(t)["outcomes"]
+
+
+@query("k05_import_trades", "account_id symbol trade_date:d txn_id txn_type quantity:4 source")
+def _(t):
+    return _applied(t)["trades"]
+
+
+@query("k05_import_cash", "account_id move_date:d movement_id:i kind amount:2")
+def _(t):
+    return _applied(t)["cash"]
+
+
+@query("k05_import_periods", "account_id period_from:d period_to:d opening_balance:2 closing_balance:2 trades:i cash_lines:i")
+def _(t):
+    return _applied(t)["periods"]
+
+
+@query("k05_import_companies", "symbol name is_tracked:b")
+def _(t):
+    return _applied(t)["companies"]
+
+
 @query("k07_snapshot_upsert", "account_id as_of:d deposit:2 imported:i")
 def _(t):
     s = t.snapshots().select("account_id", "as_of", "deposit").withColumn("imported", F.lit(1))
@@ -135,7 +186,7 @@ def _(t):
     return R.upsert_snapshots(s, again.unionByName(late))
 
 
-@query("d12q_changed_since_preview", "account_id symbol trade_date:d txn_id:i change")
+@query("d12q_changed_since_preview", "account_id symbol trade_date:d txn_id change")
 def _(t):
     x = t.transactions().select("account_id", "symbol", "trade_date", "txn_id")
     return R.unchanged_since(x.filter("txn_id % 11 <> 0"), x.filter("txn_id % 13 <> 0"), x.columns)
@@ -143,7 +194,7 @@ def _(t):
 
 @query("a28_dividend_import_plan", "line_id company_name symbol record_date:d gross:2 tax_withheld:2 ledger_holding:4 recorded:b suggested:b holding_differs:b")
 def _(t):
-    return R.plan_dividend_import(t.report_lines(), t.transactions(), t.listings().withColumn("short_name", F.lit(None).cast("string")))
+    return R.plan_dividend_import(written(t.report_lines()), t.transactions(), t.listings().withColumn("short_name", F.lit(None).cast("string")))
 
 
 @query("r1_nested_receivables", "account_id as_of:d company_name entitlement:2 record_date:d lines:i")
@@ -160,7 +211,7 @@ def _(t):
 # -- rules ----------------------------------------------------------------------
 
 
-@query("d01q_transaction_rules", "txn_id:i symbol trade_date:d rule")
+@query("d01q_transaction_rules", "txn_id symbol trade_date:d rule")
 def _(t):
     n = F.col("txn_id") % 50
     rows = t.transactions().withColumns({
@@ -301,7 +352,7 @@ def _(t):
     return t.cash_movements().withColumn("line_class", Q.classify_line(F.lit("Journal"), text, debit, credit))
 
 
-@query("p12_note_backfill", "txn_id:i symbol trade_date:d source record_date:d")
+@query("p12_note_backfill", "txn_id symbol trade_date:d source record_date:d")
 def _(t):
     note = (
         F.when(F.col("source") == "ledger", "From the broker ledger 2000")

@@ -6,6 +6,8 @@ order they are added in.  All tables grow with the data they derive from.
 """
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.dates import fiscal_year_end, fiscal_year_of, fiscal_year_start
@@ -47,8 +49,9 @@ def nation_code(key: Column) -> Column:
 
 
 def _row_id() -> Column:
-    """A number unique within (supplier, day), ordered by order and line."""
-    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2097152 + F.pmod(F.col("l_partkey"), F.lit(2097152))
+    """A number ordered by order, line and part: order and line, then twelve digits of the part."""
+    line = F.col("l_orderkey").cast("decimal(20,0)") * 8 + F.col("l_linenumber")
+    return (line * F.lit(Decimal(10**12)) + F.col("l_partkey")).cast("decimal(38,0)")
 
 
 def _price() -> Column:
@@ -110,7 +113,7 @@ class TestTables:
     def _prices(self, rows: DataFrame) -> DataFrame:
         # One number that orders a day's rows: fixed width, so that the aggregation can hash.
         at = "_at"
-        order = _row_id().cast("decimal(20,0)") * F.lit(1000000000).cast("decimal(10,0)") + F.col("l_suppkey")
+        order = _row_id() * F.lit(Decimal(10**11)) + F.col("l_suppkey")
         return (
             rows.withColumn("_at", order).withColumn("_p", round_half_up(_price()))
             .groupBy("symbol", F.to_date("l_shipdate").alias("trade_date"))
@@ -288,7 +291,7 @@ class TestTables:
             (b * 0.02 - F.when(m % 4 == 0, 1000.0).otherwise(0.0)).alias("ipo_refund"),
         )
 
-    def cash_movements(self) -> DataFrame:
+    def cash_movements(self, account: str = "c_mktsegment") -> DataFrame:
         """Dated money in and out of each account, signed as the account sees it."""
         p = F.substring("o_orderpriority", 1, 1)
         kind = (
@@ -306,7 +309,7 @@ class TestTables:
             self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .withColumn("kind", kind)
             .select(
-                F.col("c_mktsegment").alias("account_id"), F.to_date("o_orderdate").alias("move_date"), "kind",
+                F.col(account).cast("string").alias("account_id"), F.to_date("o_orderdate").alias("move_date"), "kind",
                 amount.alias("amount"), F.col("o_orderkey").alias("movement_id"),
             )
         )
@@ -368,11 +371,18 @@ class TestTables:
             "symbol", "ex_date", (F.col("cash_pct") / 10 + F.when(k == 0, 0.0123).otherwise(0.0)).alias("amount"), (k == 0).alias("restated"), "action_id",
         )
 
-    def statement_holdings(self, as_of: str = "2001-03-31") -> DataFrame:
-        """A broker's holdings on a date: the ledger's, with some lines differing."""
+    def latest_statements(self) -> DataFrame:
+        """Each account's latest statement.  Accounts with some first letters have none after May 2001, so that the days differ."""
+        none_yet = (F.ascii("account_id") % 4 == 1) & (F.col("as_of") > F.lit("2001-05-31").cast("date"))
+        rows = self.snapshots().filter(~none_yet)
+        last = rows.groupBy("account_id").agg(F.max("as_of").alias("as_of"))
+        return rows.join(last, ["account_id", "as_of"])
+
+    def statement_holdings(self, statements: DataFrame) -> DataFrame:
+        """A broker's holdings on each account's statement day: the ledger's, with some lines differing."""
         from ..operators.ledger import day_states
 
-        upto = self.transactions().filter(F.col("trade_date") <= F.lit(as_of).cast("date"))
+        upto = self.transactions().join(statements.select("account_id", "as_of"), "account_id").filter("trade_date <= as_of").drop("as_of")
         held = day_states(upto).groupBy("account_id", "symbol").agg(F.max_by(F.struct("q", "c"), "trade_date").alias("s")).select("account_id", "symbol", "s.*")
         k = key_of("symbol")
         return held.filter(((F.col("q") > 0) | (k % 13 == 0)) & (k % 11 != 0)).select(

@@ -251,7 +251,7 @@ def top_inner_products(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k:
     that kth score on, so a query's rows from all shards are about k a wave.
     """
     given = stored(whole_vectors(vectors, scale))
-    asked = given.filter(queries)
+    asked = stored(given.filter(queries))
     n, m = given.count(), asked.count()
     shards = max(1, -(-n // shard_rows), min(_SHARDS, n // _LEAST_ROWS))
     groups = max(1, -(-m // group_rows))

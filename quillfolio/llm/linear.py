@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored
 from .tokens import Words, arrow_schema, byte_values, mix, pieces
 
 _U = np.uint64
@@ -15,6 +16,8 @@ _U = np.uint64
 SPACE = 1 << 18
 #: Labelled rows are dealt to this many folds by a hash of doc_id and text.
 FOLDS = 4
+#: N-grams in fewer texts have no weight.
+LEAST = 3
 #: A text's words are taken in pieces of about this many bytes of a batch.
 _PIECE = 2 << 20
 
@@ -73,34 +76,66 @@ def _order() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def class_counts(rows: DataFrame, classes: list[str], space: int = SPACE, chars: int = 0) -> np.ndarray:
-    """How many texts of each class and fold hold each n-gram: an array (2 per class, folds, space), 0 before 1.
+@dataclass
+class Counts:
+    """How many texts of class 0 and 1 hold each n-gram, by fold: the n-grams that enough texts hold, and sums over all."""
+
+    feature: np.ndarray  # numbers of the n-grams, ascending
+    held: np.ndarray  # (2, folds, n-grams)
+    sums: np.ndarray  # (2, folds), rare n-grams too
+    space: int
+
+    def ratios(self, without: int | None = None, least: int = LEAST) -> np.ndarray:
+        """Log of the ratio of the smoothed shares that an n-gram has in class 1 and in class 0, by its number; 0 for n-grams in fewer than `least` texts.
+
+        `without` leaves a fold's texts out.
+        """
+        folds = [f for f in range(FOLDS) if f != without]
+        held, sums = self.held[:, folds].sum(1), self.sums[:, folds].sum(1) + float(self.space)
+        zero, one = held + 1.0
+        out = np.zeros(self.space)
+        out[self.feature] = np.where(held.sum(0) >= least, np.log(one / sums[1]) - np.log(zero / sums[0]), 0.0)
+        return out
 
-    rows: doc_id, text and 0/1 columns.  A task sums its rows; the sums meet by fold and feature, and one
-    row for each (at most `space` a fold) comes to the driver.
+
+def class_counts(rows: DataFrame, classes: list[str], space: int = SPACE, chars: int = 0) -> DataFrame:
+    """How many texts of each class and fold hold each n-gram, as a written table for counts_of().
+
+    rows: doc_id, text and 0/1 columns.  A task sums its rows; the sums meet by n-gram, and
+    n-grams in fewer than LEAST texts are left out, but for the sums over all n-grams, which stand under -1.
     """
-    names = [f"c{k}" for k in range(2 * len(classes))]
+    names = [f"c{k}_{f}" for k in range(2 * len(classes)) for f in range(FOLDS)]
     ddl = ", ".join(["feature int", *[f"{c} long" for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), FOLDS * space), np.int64)
+        sums = np.zeros((2 * len(classes), FOLDS * space), np.int32)
         for part in pieces(batches, _PIECE):
             limits, held = indicators(part.column("text"), space, chars)
             held = held + np.repeat(part.column("fold").to_numpy() * space, np.diff(limits))
             for k, c in enumerate(classes):
                 y = np.repeat(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(limits))
                 for v in (0, 1):
-                    sums[2 * k + v] += np.bincount(held[y == v], minlength=FOLDS * space)
+                    sums[2 * k + v] += np.bincount(held[y == v], minlength=FOLDS * space).astype(np.int32)
+        sums = sums.reshape(len(names), space)
         on = np.flatnonzero(sums.any(0))
-        for at in range(0, len(on), 1 << 16):
-            some = on[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(s[some]) for s in sums]], schema=arrow_schema(ddl))
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([int(s.sum(dtype=np.int64))]) for s in sums]], schema=arrow_schema(ddl))
+        for at in range(0, len(on), 1 << 14):
+            some = on[at : at + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(s[some].astype(np.int64)) for s in sums]], schema=arrow_schema(ddl))
+
+    cells = rows.select("text", F.pmod(_order(), F.lit(FOLDS)).alias("fold"), *classes).mapInArrow(run, ddl)
+    total = sum((F.col(c) for c in names[: 2 * FOLDS]), F.lit(0))
+    return stored(cells.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).filter((F.col("feature") < 0) | (total >= LEAST)))
 
-    got = rows.select("text", F.pmod(_order(), F.lit(FOLDS)).alias("fold"), *classes).mapInArrow(run, ddl).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    out = np.zeros((len(names), FOLDS * space), np.int64)
-    for k, c in enumerate(names):
-        out[k, got.column("feature").to_numpy()] = got.column(c).to_numpy()
-    return out.reshape(len(names), FOLDS, space)
+
+def counts_of(table: DataFrame, k: int = 0, space: int = SPACE) -> Counts:
+    """The counts of the k-th class: what the driver holds of them, at most `space` rows of a few numbers."""
+    names = [f"c{2 * k + v}_{f}" for v in (0, 1) for f in range(FOLDS)]
+    got = table.select("feature", *names).toArrow().sort_by("feature")
+    feature = got.column("feature").to_numpy()
+    held = np.array([got.column(c).to_numpy() for c in names], np.int64).reshape(2, FOLDS, len(feature))
+    whole = feature < 0
+    return Counts(feature[~whole], held[:, :, ~whole], held[:, :, whole].sum(2), space)
 
 
 def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
@@ -109,25 +144,28 @@ def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
 
 
-def collected(rows: DataFrame, classes: list[str], space: int = SPACE, chars: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The n-gram numbers, labels and folds of a bounded sample, in an order that does not depend on partitions."""
+def collected(rows: DataFrame, classes: list[str], features: np.ndarray, space: int = SPACE, chars: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The n-gram numbers (of the given ones), labels and folds of a bounded sample, in an order that does not depend on partitions."""
+    wanted = np.zeros(space, bool)
+    wanted[features] = True
+    bits = np.packbits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(bits, count=space).astype(bool)
         for part in pieces(batches, _PIECE):
             limits, held = indicators(part.column("text"), space, chars)
-            blobs = [held[a:b].astype(np.int32).tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+            texts = [held[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)]
+            blobs = [t[wanted[t]].astype(np.int32).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("order"), pa.array(blobs, pa.binary()), *[part.column(c) for c in classes]], schema=arrow_schema(ddl))
 
     ddl = ", ".join(["order long", "held binary", *[f"{c} int" for c in classes]])
-    got = rows.select(_order().alias("order"), "text", *[F.col(c).cast("int").alias(c) for c in classes]).mapInArrow(run, ddl).toArrow().sort_by("order")
-    labels = np.stack([got.column(c).to_numpy() for c in classes], 1) if got.num_rows else np.zeros((0, len(classes)), int)
-    return [np.frombuffer(x, np.int32) for x in got.column("held").to_pylist()], labels, got.column("order").to_numpy() % FOLDS
-
-
-def log_ratios(counts: np.ndarray, least: int = 3) -> np.ndarray:
-    """Log of the ratio of the smoothed shares that an n-gram has in class 1 and in class 0; 0 for n-grams in fewer than `least` texts."""
-    zero, one = counts.astype(float) + 1
-    return np.where(counts.sum(0) >= least, np.log(one / one.sum()) - np.log(zero / zero.sum()), 0.0)
+    got = rows.select(_order().alias("order"), "text", *[F.col(c).cast("int").alias(c) for c in classes]).mapInArrow(run, ddl).toArrow()
+    order = got.column("order").to_numpy()
+    place = np.argsort(order, kind="stable")
+    labels = np.stack([got.column(c).to_numpy() for c in classes], 1)[place] if got.num_rows else np.zeros((0, len(classes)), int)
+    # The texts are views of what came; their numbers are not copied.
+    texts = [np.frombuffer(x.as_buffer(), np.int32) if x.as_buffer().size else np.zeros(0, np.int32) for x in got.column("held")]
+    return [texts[i] for i in place.tolist()], labels, order[place] % FOLDS
 
 
 @dataclass
@@ -154,30 +192,29 @@ def descend(texts: list[np.ndarray], extra: np.ndarray, y: np.ndarray, ratios: n
 
     Features are n-gram indicators times their log-count ratios, the further numbers, and
     a constant.  Both classes weigh the same in total.  Weights are blended with the mean
-    weight (the naive Bayes direction), as suits texts of few words.
+    weight (the naive Bayes direction), as suits texts of few words.  The weights are held
+    times their ratios, so that a text's margin is a sum over its n-grams and no values are kept beside them.
     """
     n = len(texts)
-    w, e, b = np.zeros(len(ratios)), np.zeros(extra.shape[1]), 0.0
-    sign = np.where(y == 1, 1.0, -1.0)
+    u, e, b = np.zeros(len(ratios)), np.zeros(extra.shape[1]), 0.0
+    sign, squares = np.where(y == 1, 1.0, -1.0), ratios**2
     top = cost * np.where(y == 1, n / max(1, 2 * (y == 1).sum()), n / max(1, 2 * (y == 0).sum()))
-    texts = [t[ratios[t] != 0] for t in texts]
-    values = [ratios[t] for t in texts]
-    square = np.array([v @ v for v in values]) + (extra**2).sum(1) + 1
+    square = np.array([squares[t].sum() for t in texts]) + (extra**2).sum(1) + 1
     alpha, rng = np.zeros(n), np.random.default_rng(seed)
     for _ in range(passes):
         for i in rng.permutation(n).tolist():
-            t, v, s = texts[i], values[i], sign[i]
-            gap = s * (w[t] @ v + extra[i] @ e + b) - 1
+            t, s = texts[i], sign[i]
+            gap = s * (u[t].sum() + extra[i] @ e + b) - 1
             new = min(max(alpha[i] - gap / square[i], 0.0), top[i])
             step = (new - alpha[i]) * s
             if step:
                 alpha[i] = new
-                w[t] += step * v
+                u[t] += step * squares[t]
                 e += step * extra[i]
                 b += step
     used = ratios != 0
-    mean = np.abs(w[used]).mean() if used.any() else 0.0
-    return LinearModel(np.where(used, (blend * w + (1 - blend) * mean) * ratios, 0.0), e, b)
+    mean = np.abs(u[used] / ratios[used]).mean() if used.any() else 0.0
+    return LinearModel(blend * u + (1 - blend) * mean * ratios, e, b)
 
 
 def calibrate(model: LinearModel, margins: np.ndarray, y: np.ndarray) -> LinearModel:
@@ -197,25 +234,16 @@ def calibrate(model: LinearModel, margins: np.ndarray, y: np.ndarray) -> LinearM
     return LinearModel(model.weights, model.extra, model.bias, a, c)
 
 
-def flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    limits = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return limits, np.concatenate(texts) if texts else np.zeros(0, np.int32)
-
-
-def fit_folds(texts: list[np.ndarray], extra: np.ndarray, y: np.ndarray, fold: np.ndarray, counts: np.ndarray) -> tuple[LinearModel, np.ndarray]:
-    """A calibrated model of all rows, and each row's probability by a model that has not seen it, in its ratios neither.
-
-    counts: of class 0 and 1, by fold, as class_counts gives them.
-    """
-    total = counts.sum(1)
+def fit_folds(texts: list[np.ndarray], extra: np.ndarray, y: np.ndarray, fold: np.ndarray, counts: Counts) -> tuple[LinearModel, np.ndarray]:
+    """A calibrated model of all rows, and each row's probability by a model that has not seen it, in its ratios neither."""
     if len(set(y.tolist())) < 2:
-        constant = LinearModel(np.zeros(total.shape[1]), np.zeros(extra.shape[1]), 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
-        return constant, constant.probabilities(*flat(texts), extra)
+        constant = LinearModel(np.zeros(counts.space), np.zeros(extra.shape[1]), 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+        return constant, np.full(len(y), 1 / (1 + np.exp(-constant.shift)))
     margins = np.zeros(len(texts))
     for k in range(FOLDS):
         here = np.flatnonzero(fold == k)
         rest = np.flatnonzero(fold != k)
-        part = descend([texts[i] for i in rest], extra[rest], y[rest], log_ratios(total - counts[:, k]))
-        margins[here] = part.margins(*flat([texts[i] for i in here]), extra[here])
-    model = calibrate(descend(texts, extra, y, log_ratios(total)), margins, y)
+        part = descend([texts[i] for i in rest], extra[rest], y[rest], counts.ratios(without=k))
+        margins[here] = [part.weights[texts[i]].sum() + extra[i] @ part.extra + part.bias for i in here]
+    model = calibrate(descend(texts, extra, y, counts.ratios()), margins, y)
     return model, 1 / (1 + np.exp(-np.clip(model.slope * margins + model.shift, -35, 35)))

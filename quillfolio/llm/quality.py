@@ -34,8 +34,8 @@ def fit(rows: DataFrame, most: int = 8000) -> linear.LinearModel:
     to about `most` rows of them, by a hash of the doc_id (the bound of what the driver
     holds).  Without rows of both classes every score is the share of label 1.
     """
-    counts = linear.class_counts(rows, ["label"])
-    texts, y, fold = linear.collected(linear.sampled(rows, F.col("doc_id"), most), ["label"])
+    counts = linear.counts_of(linear.class_counts(rows, ["label"]))
+    texts, y, fold = linear.collected(linear.sampled(rows, F.col("doc_id"), most), ["label"], counts.feature)
     model, _ = linear.fit_folds(texts, np.zeros((len(texts), 0)), y[:, 0], fold, counts)
     return model
 

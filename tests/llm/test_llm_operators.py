@@ -344,8 +344,9 @@ def test_held_out_labels_leave_a_fold_alone(spark):
     mine = F.pmod(F.xxhash64("doc_id", "text"), F.lit(linear.FOLDS)) == 0
 
     def order(frame):
-        texts, y, fold = linear.collected(frame, ["label"])
-        _, unseen = linear.fit_folds(texts, np.zeros((len(texts), 0)), y[:, 0], fold, linear.class_counts(frame, ["label"]))
+        counts = linear.counts_of(linear.class_counts(frame, ["label"]))
+        texts, y, fold = linear.collected(frame, ["label"], counts.feature)
+        _, unseen = linear.fit_folds(texts, np.zeros((len(texts), 0)), y[:, 0], fold, counts)
         assert (fold == 0).sum() > 20
         return np.argsort(unseen[fold == 0]).tolist()
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import id_groups, stored
+from .common import id_groups, join_small, stored
 
 #: The range of an unsigned 64-bit hash.
 _RANGE = float(2**64)
@@ -83,6 +83,15 @@ def part_sketches(docs: DataFrame, by: str, k: int = 128, shingle: int = 5, salt
     return hashes.groupBy("part").agg(F.sort_array(F.collect_list("h")).alias("sketch")).withColumnRenamed("part", by)
 
 
+def _before(groups: DataFrame) -> DataFrame:
+    """g, before: the group before each one, the last one before the first.  In two steps: within runs of groups, and over the runs, which are few."""
+    run = groups.select("g", F.floor(F.col("g") / 4096).alias("run"))
+    ends = run.groupBy("run").agg(F.max("g").alias("end"))
+    carry = ends.select("run", F.max("end").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
+    own = run.withColumn("own", F.lag("g").over(W.partitionBy("run").orderBy("g")))
+    return own.join(carry, "run").select("g", F.coalesce("own", "carry", groups.agg(F.max("g")).scalar()).alias("before"))
+
+
 def edited_sketches(docs: DataFrame, k: int = 128, shingle: int = 5, bytes_per_group: int = 4 << 20, rows_per_group: int = 1500) -> DataFrame:
     """Each text beside its edited form: the last half of its characters replaced by the next document's first ones.
 
@@ -94,19 +103,12 @@ def edited_sketches(docs: DataFrame, k: int = 128, shingle: int = 5, bytes_per_g
     Returns doc_id, n_chars, edited (text), sketch, edited_sketch, next_sketch.  A null text
     is empty; a single document is its own next one.
     """
-    grouped, n = id_groups(docs, bytes_per_group, rows_per_group)
+    grouped, _ = id_groups(docs, bytes_per_group, rows_per_group)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()]
     # The first row of each range, by (doc_id, text); one row a range.
     least = stored(grouped.groupBy("g").agg(F.min("doc_id").alias("least")))
-    groups = sorted(r["g"] for r in least.select("g").collect())
-    if not groups:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited string, sketch array<long>, edited_sketch array<long>, next_sketch array<long>")
-    before = dict(zip(groups, [groups[-1], *groups[:-1]], strict=True))
-    heads = (
-        grouped.join(F.broadcast(least), "g").filter("doc_id <=> least").groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
-        .withColumn("g", F.element_at(F.create_map(*[F.lit(int(x)) for pair in before.items() for x in pair]), F.col("g")))
-    )
-    heads = stored(heads.select("g", "doc_id", "text", F.lit(1).alias("head")))
+    heads = join_small(grouped, least, "g", F.col("text")).filter("doc_id <=> least").groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    heads = stored(heads.join(_before(least), "g").select(F.col("before").alias("g"), "doc_id", "text", F.lit(1).alias("head")))
     rows = grouped.select("g", "doc_id", "text", F.lit(0).alias("head")).unionByName(heads)
     rows = rows.repartition("g").withColumn("sketch", sketch(F.col("text"), k, shingle))
     at = W.partitionBy("g").orderBy("head", *order)

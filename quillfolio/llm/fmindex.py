@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import stored
 from .tokens import ALPHANUMERIC, Words, arrow_schema, byte_values, pieces
 
 _U = np.uint64
@@ -127,24 +128,36 @@ class FmIndex:
 
 
 class Phrases:
-    """The distinct windows of the benchmark items, as word hashes."""
-
-    def __init__(self, items: pa.Table, window: int):
-        names = [("" if x is None else str(x)) for x in items.column("item_id").to_pylist()]
-        words = Words(items.column("text").combine_chunks().cast(pa.string()) if items.num_rows else pa.array([], pa.string()), ALPHANUMERIC)
-        h = words.hashes(byte_values(lower=True))
-        held: dict[tuple, set[str]] = {}
-        for name, a, n in zip(names, words.first, words.count, strict=False):
-            for s in range(a, a + n - min(n, window) + 1) if n else ():
-                held.setdefault(tuple(h[s : s + min(n, window)].tolist()), set()).add(name)
-        self.lengths = np.array([len(x) for x in held], np.int64)
-        self.hashes = np.zeros((len(held), window), np.uint64)
-        for k, x in enumerate(held):
-            self.hashes[k, : len(x)] = x
-        self.items = [sorted(x) for x in held.values()]
-
-
-def _shard(rows: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+    """Distinct windows of the benchmark items, as word hashes, and the items that hold each."""
+
+    def __init__(self, rows: pa.Table, window: int):
+        rows = rows.sort_by("key").combine_chunks()
+        keys = rows.column("key").to_pylist()
+        self.lengths = np.array([len(k) // 8 for k in keys], np.int64)
+        self.hashes = np.zeros((len(keys), window), np.uint64)
+        for i, k in enumerate(keys):
+            self.hashes[i, : len(k) // 8] = np.frombuffer(k, np.uint64)
+        self.items = [sorted(x) for x in rows.column("items").to_pylist()]
+
+
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """key (a window's word hashes, eight bytes each) and items (the ids that hold it): a row for each distinct window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches, 1 << 20):
+            words = Words(rows.column("text"), ALPHANUMERIC)
+            h, many = words.hashes(byte_values(lower=True)), np.where(words.count > 0, np.maximum(words.count - window, 0) + 1, 0)
+            of = np.repeat(np.arange(len(many)), many)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + words.first[:-1][of]
+            size = np.minimum(words.count, window)[of]
+            keys = [h[x : x + n].tobytes() for x, n in zip(at.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), rows.column("item_id").take(pa.array(of))], names=["key", "item_id"])
+
+    found = items.mapInArrow(run, "key binary, item_id string")
+    return found.groupBy("key").agg(F.collect_set("item_id").alias("items"))
+
+
+def _shard(rows: pa.RecordBatch, phrases: Phrases, keep: list[str]) -> pa.RecordBatch:
     words = Words(rows.column("text"), ALPHANUMERIC)
     n, docs = len(words), len(words.count)
     vocabulary, ids = np.unique(words.hashes(byte_values(lower=True)), return_inverse=True)
@@ -158,13 +171,13 @@ def _shard(rows: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
         found = np.minimum(np.searchsorted(vocabulary, phrases.hashes), len(vocabulary) - 1)
         c = np.where(vocabulary[found] == phrases.hashes, found + docs, -1)
         c[np.arange(c.shape[1]) >= phrases.lengths[:, None]] = 0
-        keep = np.flatnonzero((c >= 0).all(1))
-        if len(keep):
+        there = np.flatnonzero((c >= 0).all(1))
+        if len(there):
             index = FmIndex(symbols, docs + len(vocabulary) - 1)
-            low, high = index.search(c[keep], phrases.lengths[keep])
+            low, high = index.search(c[there], phrases.lengths[there])
             hit = np.flatnonzero(low < high)
             count = high[hit] - low[hit]
-            which = np.repeat(keep[hit], count)
+            which = np.repeat(there[hit], count)
             at = index.locate(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[hit], count))
             np.add.at(gone, at, 1)
             np.add.at(gone, at + phrases.lengths[which], -1)
@@ -181,10 +194,10 @@ def _shard(rows: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
             "intervals": [{"start": s, "end": e} for s, e in turn.reshape(-1, 2).tolist()], "items": sorted(items[k]),
         })
     found = pa.RecordBatch.from_pylist(out, arrow_schema(_FOUND))
-    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), *found.columns], names=["doc_id", "row", *found.schema.names])
+    return pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *found.columns], names=[*keep, *found.schema.names])
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 3 << 20, block_bytes: int = 32 << 20, carry: Sequence[str] = ()) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 3 << 20, block_windows: int = 1 << 16, carry: Sequence[str] = ()) -> DataFrame:
     """Find the benchmark items' word windows in the documents.
 
     Words are runs of ASCII letters and digits and of all other characters beyond ASCII, A-Z
@@ -194,8 +207,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shar
     the Burrows-Wheeler transform, sampled suffix places), all windows are searched
     backward in it and the occurrences located.  Documents are not shuffled.
 
-    The benchmark is the query set: it goes to the tasks in blocks of about `block_bytes`
-    of text, one pass over the documents a block.
+    The benchmark is the query set: its distinct windows are made and grouped by tasks and written in
+    blocks of about `block_windows`.  The driver holds one block at a time and broadcasts it for one pass over the
+    documents.  With several blocks a pass writes only the rows that it found something in,
+    and these are joined to the documents at the end.
 
     Returns doc_id, n_words, intervals (of word numbers, end exclusive, merged), n_hit,
     items (ids of the items with an occurring window, as sorted strings), text and the columns to carry.  A null text has no
@@ -203,39 +218,58 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shar
     words never occur, items that repeat an id count as one, a null item_id reads as ''.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.col("text").alias("text"), *carry).alias("row"))
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("intervals", spans), T.StructField("items", T.ArrayType(T.StringType()))])
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
-    found = None
-    for b in range(blocks):
-        phrases = Phrases(items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toArrow(), window)
-
-        def shards(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for rows in pieces(batches, shard_bytes):
-                yield _shard(rows, phrases)
-
-        part = docs.mapInArrow(shards, schema)
-        found = part if found is None else found.unionByName(part)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    phrases = stored(_windows(items, window))
+    blocks = -(-max(1, phrases.count()) // block_windows)
+    phrases = phrases.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     if blocks > 1:
-        # A row for each block: join the blocks' intervals and items; copies of a row stay as many as they were.
-        merged = F.aggregate(
-            F.array_sort(F.flatten(F.collect_list("intervals"))), F.array().cast("array<struct<start: bigint, end: bigint>>"),
-            lambda done, x: F.when(
-                (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-                F.concat(
-                    F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                    F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))),
-                ),
-            ).otherwise(F.concat(done, F.array(x))),
-        )
-        found = found.groupBy("doc_id", "row", "n_words").agg(
-            merged.alias("intervals"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies")
-        ).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+        phrases = stored(phrases.repartitionByRange("block").sortWithinPartitions("block"))
+    if blocks == 1:
+        found = _searched(docs, phrases, window, shard_bytes, ["doc_id", "row"])
+    else:
+        docs = stored(docs.withColumn("n", F.monotonically_increasing_id()))
+        parts = []
+        for b in range(blocks):
+            part = _searched(docs, phrases.filter(F.col("block") == b), window, shard_bytes, ["n"])
+            # Every row has its number of words from the first block; else only rows with a hit are kept.
+            parts.append(stored(part if b == 0 else part.filter(F.size("intervals") > 0)))
+        each = parts[0].filter(F.size("intervals") > 0)
+        for part in parts[1:]:
+            each = each.unionByName(part)
+        merged = each.groupBy("n").agg(_merged_intervals(F.flatten(F.collect_list("intervals"))).alias("intervals"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = docs.join(parts[0].select("n", "n_words"), "n").join(merged, "n", "left")
+        found = found.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("intervals", "array<struct<start: bigint, end: bigint>>"), ("items", "array<string>"))})
     hit = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select("doc_id", "n_words", "intervals", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), "items", "row.*")
 
 
+def _searched(docs: DataFrame, block: DataFrame, window: int, shard_bytes: int, keep: list[str]) -> DataFrame:
+    """The columns to keep of every document, its words, and where and whose the block's windows are in it."""
+    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block.select("key", "items").toArrow(), window))
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_words", T.LongType()), T.StructField("intervals", spans), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches, shard_bytes):
+            yield _shard(rows, phrases.value, keep)
+
+    return docs.select(*keep, "text").mapInArrow(shards, schema)
+
+
+def _merged_intervals(spans: Column) -> Column:
+    """Intervals in order, with those that touch or overlap as one."""
+    return F.aggregate(
+        F.array_sort(spans), F.array().cast("array<struct<start: bigint, end: bigint>>"),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
+            F.concat(
+                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
+                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(done, F.array(x))),
+    )
+
+
 def contaminated(share: int = 20) -> Column:
     """At least one word in `share` is hit."""
     return (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))

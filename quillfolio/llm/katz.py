@@ -11,6 +11,8 @@ from .common import id_groups
 from .tokens import Words, arrow_schema, byte_values, mix, pack, unpack
 
 _U = np.uint64
+#: Bytes of text for each bucket of words and pairs.
+BUCKET_BYTES = 16 << 20
 #: Counts up to this are discounted by Good-Turing; of each larger one LARGE is held back, so that no history is left without a rest.
 LOW = 5
 LARGE = 0.01
@@ -183,7 +185,11 @@ class KatzModel:
 
     @classmethod
     def of(cls, docs: DataFrame, held_out: Column, buckets: int | None = None) -> KatzModel:
-        return cls(docs, held_out, buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        """Without a number of buckets there is one for every 16 MB of text."""
+        if not buckets:
+            size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
+            buckets = max(1, -(-int(size) // BUCKET_BYTES))
+        return cls(docs, held_out, buckets)
 
     def _grouped(self) -> DataFrame:
         grouped, _ = id_groups(self.docs, 6 << 20, 4000)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from .common import id_groups
 from .tokens import Words, arrow_schema, byte_values, pack, unpack, window_hashes
 
+#: Bytes of text for each bucket of window hashes.
+BUCKET_BYTES = 16 << 20
 _SHIPPED = "bucket int, g int, hashes binary, places binary"
 _REMOVED = "g int, places binary"
 _RESULT = "doc_id long, n_words long, intervals array<struct<start: long, end: long>>, n_removed long, kept string"
@@ -44,7 +46,7 @@ def _same_document(words: Words, ids: pa.Array) -> np.ndarray:
     return out
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = 20, bytes_per_group: int = 6 << 20, rows_per_group: int = 4000) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = 20, bytes_per_group: int = 6 << 20, rows_per_group: int = 4000, buckets: int | None = None) -> DataFrame:
     """Remove each word that lies in a window of `window` words which also starts earlier.
 
     Earlier: in a document with a smaller doc_id, or further ahead in the same document.
@@ -52,7 +54,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, bytes_per_group:
     doc_id order; a group sends each window hash once, with its first place, to the hash's bucket; the bucket
     sends back the places that are not the first of all, and the group merges all repeated
     windows into maximal intervals of words and cuts them out.  A window that a third of
-    all documents hold so reaches its bucket once a group.
+    all documents hold so reaches its bucket once a group.  There is a bucket for every 16 MB of text, unless
+    their number is given.
 
     Windows are told apart by 64-bit hashes.  Returns doc_id, n_words, intervals (of word
     numbers, end exclusive), n_removed, kept (the words left, joined by one space).
@@ -61,8 +64,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, bytes_per_group:
     repeat doc_id and text are one document and get the same result; rows that repeat
     doc_id with another text come in the order of the texts.  Other columns are not read.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped, _ = id_groups(docs, bytes_per_group, rows_per_group)
+    grouped, size = id_groups(docs, bytes_per_group, rows_per_group)
+    buckets = buckets or max(1, -(-size // BUCKET_BYTES))
     grouped = grouped.select("g", "doc_id", "text").repartition("g")
 
     def ship(key: tuple, rows: pa.Table) -> pa.Table:

@@ -133,7 +133,7 @@ def test_fm_index_finds_what_is_there(spark, docs, empty, texts):
     one = fmindex.find_benchmark(docs, bench, carry=["lang"])
     rows = {r.doc_id: r for r in one.collect()}
     assert rows[9].n_hit >= 13 and "1" in rows[9]["items"] and rows[64]["items"] == ["2"] and rows[61].n_words == 0 and rows[61].n_hit == 0
-    split = fmindex.find_benchmark(docs, bench, block_bytes=60)
+    split = fmindex.find_benchmark(docs, bench, block_windows=3)
     key = lambda d: sorted(str((r.doc_id, r.n_words, r.n_hit, r["items"], r.intervals)) for r in d.collect())
     assert key(one) == key(split)
     assert fmindex.find_benchmark(empty, bench).count() == 0 and fmindex.find_benchmark(docs, bench.limit(0)).filter("n_hit > 0").count() == 0

@@ -52,6 +52,7 @@ oracle("t01_screener_sorted", "SELECT * FROM screen", "screen")
 for name, ranges in SCREENS.items():
     conds = " AND ".join(f"{f} >= {lo}" if hi is None else f"{f} <= {hi}" for f, (lo, hi) in ranges.items())
     oracle(f"p02_screen_{name}", f"SELECT * FROM screen WHERE {conds}", "screen")
+oracle("p02_screen_income_split", "SELECT * REPLACE (dividend_yield * 5 AS dividend_yield) FROM screen WHERE dividend_yield * 5 >= 0.04", "screen")
 oracle("p01_screen_filters", "SELECT * FROM screen WHERE (contains(symbol, 'NATION 1') OR contains(upper(name), 'NATION 1')) AND sector = 'America' AND pe >= 0 AND years_entered > 0", "screen")
 oracle("p06_scaled_values", """SELECT *, value_base / (CASE natural_unit WHEN 'crore' THEN 1e7 WHEN 'lakh' THEN 1e5 ELSE 1e0 END) AS in_natural FROM (
  SELECT *, CASE WHEN abs(value_base) >= 1e7 THEN 'crore' WHEN abs(value_base) >= 1e5 THEN 'lakh' ELSE 'unit' END AS natural_unit FROM base_facts)""", "base_facts")

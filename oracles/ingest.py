@@ -3,6 +3,7 @@ from .registry import oracle
 
 FILE = "symbol || '_Stock-Price+History (1).csv'"
 oracle("s01_s06_price_files", f"SELECT {FILE} AS file, * FROM px", "px")
+oracle("s01_price_files_on_disk", "SELECT * FROM px", "px")
 JUNK = "CASE CAST(symbol[2:] AS INTEGER) % 4 WHEN 2 THEN 'not a date;x;-' WHEN 1 THEN 'not a date' || chr(9) || 'x' || chr(9) || '-' || chr(9) || '-' ELSE 'not a date,x,-' END"
 oracle("s05_price_file_rejects", f"SELECT {FILE} AS file, (trade_date - DATE '1990-01-01') * 4 + 2 AS line_no, {JUNK} AS raw, 'unreadable date' AS reason FROM px WHERE dayofyear(trade_date) % 17 = 0", "px")
 PLACES = "(VALUES (0, 0, 6, 5, 3, 4, 8, 1), (1, 0, 3, 6, 4, 5, 7, 1), (2, 0, 2, 3, 4, 5, 6, 1), (3, 0, 2, 3, 4, 5, 6, 1)) v(style, at_date, at_close, at_open, at_high, at_low, at_volume, at_symbol)"

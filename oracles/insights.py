@@ -24,6 +24,9 @@ FROM screen s JOIN last_quote q USING (symbol) JOIN (SELECT symbol, count(*) AS
  LEFT JOIN (SELECT symbol, (arg_max(close, trade_date) - min(close)) / (max(close) - min(close)) AS pos FROM px WHERE trade_date >= DATE '2000-11-30' GROUP BY symbol) r USING (symbol)
  LEFT JOIN band b USING (symbol) LEFT JOIN (SELECT symbol, min(close / pk - 1) AS worst FROM (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS pk FROM px) GROUP BY symbol) f USING (symbol)
  LEFT JOIN ({PEERS.format(m='peer_m')}) p ON p.symbol = s.symbol AND p.metric = 'pe'""", "screen", "last_quote", "px", "band", "peer_m")
+oracle("a33_features", """SELECT symbol, trade_date, close, lag(close) OVER d AS ycp, max(high) OVER y AS yearly_high, min(low) OVER y AS yearly_low, max(close) OVER d AS peak, close / (max(close) OVER d) - 1 AS fall, row_number() OVER d AS days,
+ eps
+ FROM px JOIN (SELECT symbol, trade_date, eps FROM known) USING (symbol, trade_date) WINDOW d AS (PARTITION BY symbol ORDER BY trade_date), y AS (PARTITION BY symbol ORDER BY trade_date RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND CURRENT ROW)""", "px", "known")
 RATES = "SELECT CASE WHEN count(*) < 3 OR sum(val) <= 0 THEN 0.004e0 ELSE sum(commission) / sum(val) END AS rate FROM ev WHERE txn_type IN ('buy','sell')"
 oracle("f09_scenarios", f"""
 SELECT symbol, label, basis, level, level / price - 1 AS move, CASE WHEN quantity > 0 THEN quantity * level END AS value, CASE WHEN quantity > 0 THEN quantity * level - cost_basis END AS gain,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import dates as D
+from ..sources.scratch import written
 from ..functions.numeric import cagr, growth, mean_of_known, near, ratio, same_number, scale_factor, to_base
 
 # Figures a bonus, rights issue or split makes incomparable.
@@ -117,7 +118,8 @@ def with_period_end(wide: DataFrame, companies: DataFrame) -> DataFrame:
 
 def restate(wide: DataFrame, companies: DataFrame, actions: DataFrame) -> DataFrame:
     """Per-share figures on today's share base; the other figures as reported."""
-    ended = with_period_end(wide, companies)
+    # A row a company and year, read for the dates and for the figures.
+    ended = written(with_period_end(wide, companies))
     factors = cumulative_factors(actions, ended.select("symbol", F.col("period_end").alias("at")))
     joined = ended.join(factors.withColumnRenamed("at", "period_end"), ["symbol", "period_end"], "left")
     by = F.coalesce(F.col("factor"), F.lit(1.0))
@@ -165,16 +167,16 @@ def history_summary(metrics: DataFrame) -> DataFrame:
     out = metrics.groupBy("symbol").agg(
         (F.max("fiscal_year") - F.min("fiscal_year")).alias("years"),
         F.count(F.lit(1)).alias("years_entered"),
-        F.min_by(F.struct(*ends), "fiscal_year").alias("_a"),
-        F.max_by(F.struct(*ends, "debt_to_equity"), "fiscal_year").alias("_z"),
+        *[F.min_by(c, "fiscal_year").alias(f"_a_{c}") for c in ends],
+        *[F.max_by(c, "fiscal_year").alias(f"_z_{c}") for c in [*ends, "debt_to_equity"]],
         F.avg("roe").alias("average_roe"), F.avg("roce").alias("average_roce"),
         F.count_if(F.col("fcf") > 0).alias("positive_fcf_years"), F.count("fcf").alias("fcf_years_counted"),
     )
-    rate = lambda tag: cagr(F.col(f"_a.{tag}"), F.col(f"_z.{tag}"), F.col("years"))
+    rate = lambda tag: cagr(F.col(f"_a_{tag}"), F.col(f"_z_{tag}"), F.col("years"))
     return out.select(
         "symbol", "years", "years_entered", rate("revenue").alias("revenue_cagr"), rate("eps_basic").alias("eps_cagr"),
         rate("net_profit").alias("net_profit_cagr"), "average_roe", "average_roce",
-        F.col("_z.debt_to_equity").alias("latest_debt_to_equity"), "positive_fcf_years", "fcf_years_counted",
+        F.col("_z_debt_to_equity").alias("latest_debt_to_equity"), "positive_fcf_years", "fcf_years_counted",
     )
 
 
@@ -203,11 +205,12 @@ def valuation(df: DataFrame) -> DataFrame:
 
 def screener(companies: DataFrame, restated: DataFrame, quotes: DataFrame) -> DataFrame:
     """One row per tracked company: price, valuation, returns and growth."""
-    metrics = year_metrics(restated)
+    # A row a company and year, read for the latest year and for the whole span.
+    metrics = written(year_metrics(restated))
     keep = ["eps_basic", "navps", "dividend_per_share", "roe", "roce", "net_margin", "debt_to_equity", "cash_conversion"]
     latest = metrics.groupBy("symbol").agg(
-        F.max("fiscal_year").alias("latest_fiscal_year"), F.max_by(F.struct(*keep), "fiscal_year").alias("_m")
-    ).select("symbol", "latest_fiscal_year", "_m.*")
+        F.max("fiscal_year").alias("latest_fiscal_year"), *[F.max_by(c, "fiscal_year").alias(c) for c in keep]
+    )
     summary = history_summary(metrics).select("symbol", "years_entered", "revenue_cagr", "eps_cagr")
     quote = quotes.select("symbol", "trade_date", "close", "ycp", "yearly_high", "yearly_low")
     joined = (

@@ -36,9 +36,12 @@ def pe_band(prices: DataFrame, earnings: DataFrame, now: DataFrame, start: Colum
     ``now`` holds (symbol, price, eps).  Days with earnings at or below zero are
     dropped, not filled from an older figure.
     """
-    ratios = earnings_known(prices.filter(F.col("trade_date") >= start), earnings).filter("eps > 0").withColumn(
-        "pe", F.try_divide(F.col("close"), F.col("eps"))
-    )
+    return band_of_days(earnings_known(prices.filter(F.col("trade_date") >= start), earnings), now)
+
+
+def band_of_days(days: DataFrame, now: DataFrame) -> DataFrame:
+    """The band of ``pe_band`` from days that carry their close and the earnings known on them."""
+    ratios = days.filter("eps > 0").select("symbol", "trade_date", F.try_divide(F.col("close"), F.col("eps")).alias("pe"))
     joined = ratios.join(now.select("symbol", "price", F.col("eps").alias("eps_now")), "symbol")
     current = F.when(F.col("eps_now") > 0, F.try_divide(F.col("price"), F.col("eps_now")))
     out = joined.withColumn("current", current).groupBy("symbol").agg(

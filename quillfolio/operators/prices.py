@@ -95,14 +95,13 @@ def price_stats(prices: DataFrame) -> DataFrame:
     # The last 250 returns, not the last 250 rows: days without one do not count.
     nth = F.count("_move").over(series(F.desc("trade_date")).rowsBetween(W.unboundedPreceding, W.currentRow))
     recent = F.when(F.col("_n") <= TRADING_DAYS, F.col("_move"))
-    last = F.max_by(F.struct("close", "change_month", "change_quarter", "change_year", "ma50", "ma200"), "trade_date")
     out = rows.withColumn("_n", nth).groupBy("symbol").agg(
         F.avg(F.abs(recent)).alias("typical_daily_move"),
         F.sqrt(F.var_samp(recent) * TRADING_DAYS).alias("volatility"),
-        last.alias("_l"),
+        *[F.max_by(c, "trade_date").alias(c) for c in ("close", "change_month", "change_quarter", "change_year", "ma50", "ma200")],
     )
     above = lambda ma: F.when(F.col(ma) > 0, F.try_divide(F.col("close"), F.col(ma)) - 1)
-    return out.select("symbol", "typical_daily_move", "volatility", "_l.*").withColumns(
+    return out.withColumns(
         {"above_ma50": above("ma50"), "above_ma200": above("ma200")}
     )
 

@@ -322,7 +322,7 @@ def upsert_snapshots(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """One snapshot per account and day, the newest import winning (``imported`` orders them)."""
     rows = stored.unionByName(incoming, allowMissingColumns=True)
     rest = [c for c in rows.columns if c not in ("account_id", "as_of")]
-    return rows.groupBy("account_id", "as_of").agg(F.max_by(F.struct(*rest), "imported").alias("_r")).select("account_id", "as_of", "_r.*")
+    return rows.groupBy("account_id", "as_of").agg(*[F.max_by(c, "imported").alias(c) for c in rest])
 
 
 def plan_dividend_import(lines: DataFrame, txns: DataFrame, companies: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def account_worth() -> Column:
 
 def latest_snapshots(snaps: DataFrame) -> DataFrame:
     rest = [c for c in snaps.columns if c not in ("account_id", "as_of")]
-    return snaps.groupBy("account_id").agg(F.max("as_of").alias("as_of"), F.max_by(F.struct(*rest), "as_of").alias("_r")).select("account_id", "as_of", "_r.*")
+    return snaps.groupBy("account_id").agg(F.max("as_of").alias("as_of"), *[F.max_by(c, "as_of").alias(c) for c in rest])
 
 
 def lifetime_returns(latest: DataFrame) -> DataFrame:

@@ -35,10 +35,10 @@ def held_at_year_ends(txns: DataFrame, last_year: int) -> DataFrame:
     the years in between by opening each state up to the year before the next.
     """
     states = day_states(txns).withColumn("year", income_year(F.col("trade_date")))
-    ends = states.groupBy(*POSITION, "year").agg(F.max_by(F.struct("q", "c"), "trade_date").alias("s"))
+    ends = states.groupBy(*POSITION, "year").agg(F.max_by("q", "trade_date").alias("q"), F.max_by("c", "trade_date").alias("c"))
     following = F.coalesce(F.lead("year").over(W.partitionBy(*POSITION).orderBy("year")) - 1, F.lit(last_year))
     spread = ends.withColumn("_to", following).filter("_to >= year").select(
-        *POSITION, F.explode(F.sequence("year", "_to")).alias("year"), "s.q", "s.c"
+        *POSITION, F.explode(F.sequence("year", "_to")).alias("year"), "q", "c"
     )
     return spread.filter("q > 0").select(
         *POSITION, "year", income_year_end(F.col("year")).alias("year_end"), F.col("q").alias("quantity"),

@@ -4,31 +4,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import years_ago
+from ..operators import features as Ft
 from ..operators import fundamentals as Fu
 from ..operators import insights as I
-from ..operators import prices as P
+from ..sources.scratch import written
 
 
-def stock_insights(prices: DataFrame, wide: DataFrame, companies: DataFrame, actions: DataFrame, today) -> DataFrame:
+def stock_insights(features: DataFrame, restated: DataFrame, companies: DataFrame, today) -> DataFrame:
     """Range, valuation, band, fall and peers of every tracked company.
 
-    The band uses earnings as reported against prices as traded; today's
+    ``features`` is the daily feature table, read once for the newest rows and once for
+    the band.  The band uses earnings as reported against prices as traded; today's
     multiples use restated figures.
     """
     day = F.lit(today).cast("date")
-    restated = Fu.restate(wide, companies, actions)
-    quotes = P.latest_quotes(P.quoted(prices))
-    rows = Fu.screener(companies, restated, quotes)
+    newest = written(Ft.latest_features(features, years_ago(day, 1)))
+    rows = written(Fu.screener(companies, restated, newest))
     now = rows.select("symbol", "price", F.col("eps_basic").alias("eps"))
-    have = P.coverage(prices).select("symbol", "days", "has_year", "has_band", "has_seasons")
-    year = P.range_over(prices, years_ago(day, 1), quotes).select("symbol", F.col("position").alias("own_position"))
-    band = I.pe_band(prices, I.earnings_timeline(wide, companies), now, years_ago(day, 5)).select(
+    band = I.band_of_days(features.filter(F.col("trade_date") >= years_ago(day, 5)), now).select(
         "symbol", F.col("median").alias("band_median"), F.col("rank").alias("band_rank")
     )
-    fall = P.drawdown(prices).select("symbol", F.col("worst").alias("worst_fall"))
     peers = I.compare_with_peers(rows, ["pe"]).select("symbol", F.col("peers").alias("pe_peers"), F.col("rank").alias("pe_rank"))
     out = rows
-    for part in (have, year, band, fall, peers):
+    for part in (newest.select("symbol", "days", "has_year", "has_band", "own_position", "worst_fall"), band, peers):
         out = out.join(part, "symbol", "left")
     year_ok, band_ok = F.coalesce("has_year", F.lit(False)), F.coalesce("has_band", F.lit(False))
     return out.select(

@@ -95,6 +95,12 @@ for _name, _ranges in Fu.SCREENS.items():
         return Fu.screen(screener(t), ranges=_ranges)
 
 
+@query("p02_screen_income_split", SCREENER_SPEC)
+def _(t):
+    """The income screen as if every share had been split in five and kept its dividend."""
+    return Fu.screen(screener(t).withColumn("dividend_yield", F.col("dividend_yield") * 5), ranges=Fu.SCREENS["income"])
+
+
 @query("p01_screen_filters", SCREENER_SPEC)
 def _(t):
     return Fu.screen(screener(t), search="nation 1", sector="America", ranges={"pe": (0.0, None)}, with_data_only=True)

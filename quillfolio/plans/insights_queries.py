@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..operators import features as Ft
 from ..operators import fundamentals as Fu
 from ..operators import insights as I
 from ..operators import ledger as L
 from ..operators import prices as P
 from ..operators import targets as Tg
+from ..sources.scratch import written
 from .bundles import stock_insights
 from .fundamentals_queries import restated, screener, wide
 from .ledger_queries import positions, stock_quotes
@@ -48,7 +50,17 @@ def _(t):
 
 @query("a33_stock_insight", "symbol name price:4 trade_date:d change_pct:6 pe:4 pb:4 dividend_yield:6 year_high:4 year_low:4 own_position:6 band_median:4 band_rank:6 worst_fall:6 days:i pe_peers:i pe_rank:6")
 def _(t):
-    return stock_insights(t.daily_prices(), wide(t), t.companies(), t.corporate_actions(), TODAY)
+    figures = written(wide(t))
+    features = written(Ft.daily_features(t.daily_prices(), I.earnings_timeline(figures, t.companies())))
+    return stock_insights(features, Fu.restate(figures, t.companies(), t.corporate_actions()), t.companies(), TODAY)
+
+
+@query("a33_features", "symbol trade_date:d close:4 ycp:4 yearly_high:4 yearly_low:4 peak:4 fall:6 days:i eps:6")
+def _(t):
+    """The feature table brought forward in two steps: up to May 2000, and from there by the days since."""
+    prices, earnings = written(t.daily_prices()), written(I.earnings_timeline(wide(t), t.companies()))
+    early = written(Ft.daily_features(prices.filter("trade_date < date'2000-05-17'"), earnings))
+    return early.unionByName(Ft.advance_features(early, prices, earnings, "2000-05-17"))
 
 
 def _scenario_rows(t):

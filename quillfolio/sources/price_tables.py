@@ -5,11 +5,17 @@ cells, from which ``read_price_rows`` gives good rows and a full reject log.
 """
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import SLASHED, read_date
 from ..functions.numeric import cell_number, clean_cell
 from ..functions.text import delimiter_of, html_rows, split_cells
+from .scratch import written
+
+#: A task reads fewer rows than this.
+_ROWS = 2**33
 
 # Heading names per field; earlier names win over later ones.
 ALIASES = {
@@ -60,17 +66,22 @@ def read_price_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_n"), F.col("value").alias("line"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS - 1)).alias("_n"), F.col("value").alias("line"),
     )
-    # Compared as a pair: the split's byte offset, then the row within the split.
-    return raw.select("file", F.struct("_at", "_n").alias("line_no"), "line")
+    # The split's byte offset, then the row's place within the task: one number of fixed width, so that aggregations by it can hash.
+    return raw.select("file", (F.col("_at").cast("decimal(19,0)") * F.lit(Decimal(_ROWS)) + F.col("_n")).cast("decimal(38,0)").alias("line_no"), "line")
 
 
 def cells_of_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Heading cells per file and body cells per line."""
+    """Heading cells per file and body cells per line.
+
+    A file's heading is found by its line number, a minimum that hashes, and its text joined
+    back by that number; the headings, a row a file, are written to a scratch table.
+    """
     rows = lines.filter(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").withColumn("line", F.regexp_replace("line", "\r$", ""))
-    first = rows.groupBy("file").agg(F.min_by("line", "line_no").alias("_head"), F.min("line_no").alias("_at"))
-    heads = first.withColumn("_delimiter", delimiter_of(F.col("_head")))
+    first = rows.groupBy("file").agg(F.min("line_no").alias("line_no"))
+    found = rows.join(first, ["file", "line_no"]).select("file", F.col("line").alias("_head"), F.col("line_no").alias("_at"))
+    heads = written(found.withColumn("_delimiter", delimiter_of(F.col("_head"))))
 
     def cells(text: Column) -> Column:
         d = F.col("_delimiter")
@@ -104,12 +115,13 @@ def file_columns(heads: DataFrame) -> DataFrame:
 
 def date_orders(body: DataFrame, columns: DataFrame) -> DataFrame:
     """Which way round each file writes slashed dates, from all of its rows."""
-    cell = F.col("_cell")
+    cell = {"_date": clean_cell(F.get("cells", F.col("at_date")))}
+    return _date_orders(once(body.join(columns.select("file", "at_date"), "file").filter("at_date is not null"), ["file"], cell))
+
+
+def _date_orders(dated: DataFrame) -> DataFrame:
+    cell = F.col("_date")
     part = lambda g: F.regexp_extract(cell, SLASHED, g).try_cast("int") > 12
-    dated = once(
-        body.join(columns.select("file", "at_date"), "file").filter("at_date is not null"), ["file"],
-        {"_cell": clean_cell(F.get("cells", F.col("at_date")))},
-    )
     seen = dated.groupBy("file").agg(
         F.bool_or(part(1)).alias("_d"), F.bool_or(part(2)).alias("_m"), F.count_if(cell.rlike(SLASHED)).alias("slashed")
     )
@@ -120,17 +132,21 @@ def date_orders(body: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def read_price_rows(heads: DataFrame, body: DataFrame, fallback_symbol: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Good rows (a repeated day's later line wins) and rejects with their reason."""
+    """Good rows (a repeated day's later line wins) and rejects with their reason.
+
+    Each line is cut into cells once; the cells that matter are written to a scratch
+    table, from which the files' date orders and then the rows are read.
+    """
     columns = file_columns(heads)
-    j = body.join(columns, "file").join(date_orders(body, columns), "file", "left")
     padding = F.forall("cells", lambda c: clean_cell(c) == "")
     at = lambda field: F.get("cells", F.col(f"at_{field}"))
     symbol = F.when(F.col("at_symbol").isNotNull(), F.nullif(F.upper(clean_cell(at("symbol"))), F.lit(""))).otherwise(F.lit(fallback_symbol))
-    picked = once(j.filter(~padding), ["file", "line_no", "raw", "at_date", "at_close", "month_first", "conflict"], {
+    picked = written(once(body.join(columns, "file").filter(~padding), ["file", "line_no", "raw", "at_date", "at_close"], {
         "symbol": symbol, **{f"_{f}": clean_cell(at(f)) for f in ("date", "close", "open", "high", "low", "volume")},
-    })
+    }))
+    orders = _date_orders(picked.filter("at_date is not null"))
     at = lambda field: F.col(f"_{field}")
-    rows = once(picked, ["file", "line_no", "raw", "symbol"], {
+    rows = once(picked.join(orders, "file", "left"), ["file", "line_no", "raw", "symbol"], {
         "trade_date": read_date(at("date"), F.coalesce("month_first", F.lit(False)), cleaned=True),
         **{f: cell_number(at(f), cleaned=True) for f in ("close", "open", "high", "low")}, "volume": F.floor(cell_number(at("volume"), cleaned=True) + 0.5),
         "_file_issue": F.when(F.col("at_date").isNull(), "date column missing").when(F.col("at_close").isNull(), "close column missing")
@@ -142,8 +158,9 @@ def read_price_rows(heads: DataFrame, body: DataFrame, fallback_symbol: str | No
     )
     rows = rows.withColumn("reason", reason)
     fields = ["close", "open", "high", "low", "volume"]
-    good = rows.filter("reason is null").groupBy("file", "symbol", "trade_date").agg(F.max_by(F.struct(*fields), "line_no").alias("_r"))
-    return good.select("file", "symbol", "trade_date", "_r.*"), rows.filter("reason is not null").select("file", "line_no", "raw", "reason")
+    # Column by column: numbers of fixed width keep this a hash aggregation.
+    good = rows.filter("reason is null").groupBy("file", "symbol", "trade_date").agg(*[F.max_by(f, "line_no").alias(f) for f in fields])
+    return good, rows.filter("reason is not null").select("file", "line_no", "raw", "reason")
 
 
 def clean_rows(rows: DataFrame) -> DataFrame:

@@ -119,14 +119,20 @@ class CuckooFilter:
 
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
         """Take out keys that were added, one mark each."""
-        mark = self._mark(hi, lo)
-        for k in range(len(hi)):
-            for t in self.tables:
-                a = self._home(hi[k : k + 1], len(t))
-                hit = [(b, s) for b in {int(a[0]), int(self._other(a, mark[k : k + 1], len(t))[0])} for s in np.flatnonzero(t[b] == mark[k])]
-                if hit:
-                    t[hit[0]] = 0
-                    break
+        mark, todo = self._mark(hi, lo), np.arange(len(hi))
+        for t in self.tables:
+            home = self._home(hi, len(t))
+            for at in (home, self._other(home, mark, len(t))):
+                while len(todo):
+                    # Of the keys that look into a bucket for one mark, one at a time takes a slot.
+                    _, one = np.unique(at[todo] * 65536 + mark[todo], return_index=True)
+                    now = todo[one]
+                    hit = t[at[now]] == mark[now, None]
+                    there = hit.any(1)
+                    if not there.any():
+                        break
+                    t[at[now[there]], hit[there].argmax(1)] = 0
+                    todo = np.setdiff1d(todo, now[there])
 
 
 def _documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -142,11 +148,14 @@ class LineIndex:
 
     refs: a row for each (line key, document) with +1 when it comes and -1 when it goes;
     their sum is the exact reference count.  filters: a cuckoo filter for each shard of
-    keys, rewritten for the shards that a batch touches, holding the keys with a count above 0.  A key
-    that the filter does not know needs no look into the exact table.
+    keys, rewritten for the shards that a batch touches, holding the keys with a count above 0.  repeats: the keys
+    that a batch found in several documents.  Each key of a batch is looked up in its shard's filter first: one that
+    the filter does not know is new for certain, and only the others meet the exact table.  Counts are taken
+    of repeated keys alone.
 
     insert() and delete() return the index after the batch; a version counts once its filters are
-    written, so a batch that broke off is simply run again.  A document is a row's
+    written, so a batch that broke off is simply run again.  open() finds the newest version of a folder;
+    compact() nets all versions into one, so that what a batch reads follows the lines that are held.  A document is a row's
     (doc_id, text): rows that repeat both are one document, rows that repeat a doc_id with another
     text, or have none, are documents of their own (ordered by a hash of the text; without
     a doc_id after all others).  Null texts are empty: one empty line.
@@ -166,27 +175,54 @@ class LineIndex:
         partitions, 64 at least, unless their number is given: about one for a million distinct lines.
         """
         shards = shards or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        return cls(spark, path or scratch(spark), 0, shards, least)
+        index = cls(spark, path or scratch(spark), 0, shards, least)
+        spark.createDataFrame([(shards, least)], "shards int, least int").coalesce(1).write.parquet(f"{index.path}/about")
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineIndex:
+        """The index in a folder, at its newest whole version."""
+        about = spark.read.parquet(f"{path}/about").first()
+        index = cls(spark, path, 0, about.shards, about.least)
+        names = index._whole()
+        n = max([int(x[4:]) for x in names if x.startswith("base")], default=0)
+        while f"v{n + 1}" in names:
+            n += 1
+        return cls(spark, path, n, about.shards, about.least)
+
+    def _folder(self, name: str):
+        """A folder of the index, and its file system."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _whole(self) -> set[str]:
+        """The versions whose filters, which are written last, are there."""
+        at, fs = self._folder(f"{self.path}/filters")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return {x for x in names if fs.exists(self._folder(f"{self.path}/filters/{x}/_SUCCESS")[0])}
+
+    def _tables(self, kind: str) -> list[str]:
+        """The folders that hold a kind of table: the newest compacted version's, and those of the batches since."""
+        base = max([n for x in self._whole() if x.startswith("base") and (n := int(x[4:])) <= self.version], default=0)
+        return [f"{self.path}/{kind}/base{base}"] * (base > 0) + [f"{self.path}/{kind}/v{n}" for n in range(base + 1, self.version + 1)]
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        folders = self._tables(kind)
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def _refs(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], f"shard int, {_KEYS}, change int")
-        return self.spark.read.schema(f"shard int, {_KEYS}, change int").parquet(*[f"{self.path}/refs/v{n}" for n in range(1, self.version + 1)])
+        return self._read("refs", f"shard int, {_KEYS}, change int")
 
     def _filters(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], "shard int, filter binary")
-        all_versions = None
-        for n in range(1, self.version + 1):
-            part = self.spark.read.schema("shard int, filter binary").parquet(f"{self.path}/filters/v{n}").withColumn("n", F.lit(n))
-            all_versions = part if all_versions is None else all_versions.unionByName(part)
-        newest = all_versions.groupBy("shard").agg(F.max("n").alias("n"))
-        return all_versions.join(newest, ["shard", "n"]).select("shard", "filter")
+        """Each shard's newest filter."""
+        rows = self._read("filters", "shard int, filter binary, version int")
+        newest = rows.groupBy("shard").agg(F.max("version").alias("version"))
+        return rows.join(newest, ["shard", "version"]).select("shard", "filter")
 
     def live(self) -> DataFrame:
         """shard, hi, lo, doc, twin: the references that are held now."""
         rows = self._refs()
-        if self.version < 2:
+        if len(self._tables("refs")) < 2:
             return rows.drop("change")
         return rows.groupBy("shard", "hi", "lo", "doc", "twin").agg(F.sum("change").alias("held")).filter("held > 0").drop("held")
 
@@ -234,42 +270,62 @@ class LineIndex:
 
         return keys.groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInArrow(run, "shard int, filter binary")
 
-    def _write(self, refs: DataFrame, change: int, keys, add: bool) -> LineIndex:
+    def _write(self, refs: DataFrame, change: int, keys: DataFrame, repeats: DataFrame, add: bool) -> LineIndex:
+        """The next version: references that come or go, repeated keys, and the filters with the keys that come or go."""
         n = self.version + 1
         refs.withColumn("change", F.lit(change)).write.mode("overwrite").parquet(f"{self.path}/refs/v{n}")
-        written = self.spark.read.schema(f"shard int, {_KEYS}, change int").parquet(f"{self.path}/refs/v{n}")
-        self._changed(keys(written), add).write.mode("overwrite").parquet(f"{self.path}/filters/v{n}")
+        repeats.write.mode("overwrite").parquet(f"{self.path}/repeats/v{n}")
+        self._changed(keys, add).withColumn("version", F.lit(n)).write.mode("overwrite").parquet(f"{self.path}/filters/v{n}")
         return LineIndex(self.spark, self.path, n, self.shards, self.least)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Take in the lines of docs; documents that are in already change nothing."""
-        held = self.live()
-        came = self.keys(docs).join(held, ["shard", "hi", "lo", "doc", "twin"], "left_anti") if self.version else self.keys(docs)
-
-        def new(refs: DataFrame) -> DataFrame:
-            probed = self.probe(refs.select("shard", "hi", "lo").distinct())
-            sure = probed.filter("not maybe")
-            if not self.version:
-                return sure.drop("maybe")
-            # What the filter takes for known is looked up: a wrong guess is new as well.
-            return sure.drop("maybe").unionByName(probed.filter("maybe").drop("maybe").join(held.select(*_KEY).distinct(), _KEY, "left_anti"))
-
-        return self._write(came, 1, new, True)
+        came = stored(self.keys(docs))
+        each = stored(came.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")))
+        several = each.filter("n > 1").select(*_KEY)
+        if not self.version:
+            return self._write(came, 1, each.select(*_KEY), several, True)
+        probed = stored(self.probe(each.select(*_KEY)))
+        # What the filter takes for known is looked up; a wrong guess is new as well.
+        maybe = probed.filter("maybe").select(*_KEY)
+        known = stored(self.live().join(maybe, _KEY, "left_semi"))
+        held = stored(known.select(*_KEY).distinct())
+        new = probed.filter("not maybe").select(*_KEY).unionByName(maybe.join(held, _KEY, "left_anti"))
+        refs = came.join(known, [*_KEY, "doc", "twin"], "left_anti")
+        return self._write(refs, 1, new, several.unionByName(held).distinct(), True)
+
+    def insert_batches(self, docs: DataFrame, batches: int = 2) -> LineIndex:
+        """Take in docs in some batches, dealt by a hash of the text: each batch meets the filters of those before it."""
+        index = self
+        for n in range(batches):
+            index = index.insert(docs.filter(F.pmod(F.xxhash64("text"), F.lit(batches)) == n))
+        return index
 
     def delete(self, docs: DataFrame) -> LineIndex:
         """Take documents back, by doc_id; keys whose count falls to 0 leave the filters."""
         ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")).distinct()
-        held = self.live()
-
-        def gone(refs: DataFrame) -> DataFrame:
-            left = held.join(ids, "doc", "left_anti").select(*_KEY).distinct()
-            return refs.select(*_KEY).distinct().join(left, _KEY, "left_anti")
-
-        return self._write(held.join(ids, "doc", "left_semi"), -1, gone, False)
+        gone = stored(self.live().join(ids, "doc", "left_semi").select("shard", "hi", "lo", "doc", "twin"))
+        keys = gone.select(*_KEY).distinct()
+        left = self.live().join(keys, _KEY, "left_semi").join(ids, "doc", "left_anti").select(*_KEY).distinct()
+        return self._write(gone, -1, keys.join(left, _KEY, "left_anti"), keys.limit(0), False)
+
+    def compact(self) -> LineIndex:
+        """Net all versions into one set of tables and remove the folders that it replaces."""
+        n, old = self.version, [f for kind in ("refs", "repeats", "filters") for f in self._tables(kind)]
+        if not n or self._tables("filters") == [f"{self.path}/filters/base{n}"]:
+            return self
+        self.live().withColumn("change", F.lit(1)).write.mode("overwrite").parquet(f"{self.path}/refs/base{n}")
+        self.counts().filter("n_docs > 1").select(*_KEY).write.mode("overwrite").parquet(f"{self.path}/repeats/base{n}")
+        self._filters().withColumn("version", F.lit(n)).write.mode("overwrite").parquet(f"{self.path}/filters/base{n}")
+        for folder in old:
+            at, fs = self._folder(folder)
+            fs.delete(at, True)
+        return self
 
     def counts(self) -> DataFrame:
-        """shard, hi, lo, n_docs, first, first_twin: each key's exact count and the document that keeps it."""
-        each = self.live().groupBy("shard", "hi", "lo", "doc").agg(F.count(F.lit(1)).alias("n"), F.min("twin").alias("t"))
+        """shard, hi, lo, n_docs, first, first_twin: the exact count of each key that was found repeated, and the document that keeps it."""
+        repeats = self._read("repeats", "shard int, hi long, lo long").distinct()
+        each = self.live().join(repeats, _KEY, "left_semi").groupBy("shard", "hi", "lo", "doc").agg(F.count(F.lit(1)).alias("n"), F.min("twin").alias("t"))
         return each.groupBy("shard", "hi", "lo").agg(F.sum("n").alias("n_docs"), F.min("doc").alias("first"), F.min_by("t", "doc").alias("first_twin"))
 
     def deduplicated(self, docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

@@ -100,7 +100,7 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    r = cuckoo.LineIndex.new(spark).insert(docs).deduplicated(docs)
+    r = cuckoo.LineIndex.new(spark).insert_batches(docs).deduplicated(docs)
     return r.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

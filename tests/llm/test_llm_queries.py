@@ -2,11 +2,13 @@
 import hashlib
 import random
 import re
+import shutil
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from quillfolio.llm import cuckoo
 from quillfolio.llm.common import id_groups
 from quillfolio.llm.registry import QUERIES
 
@@ -147,3 +149,44 @@ def test_groups_follow_the_ids_and_the_bytes(spark):
     assert fine.select("g").distinct().count() > 300 and plan(fine) < 1.2 * plan(grouped)
     none, size = id_groups(docs.filter(F.lit(False)), 10, 10)
     assert none.count() == 0 and size == 0 and id_groups(docs.filter("doc_id is null"), 10, 10)[0].count() == 40
+
+
+def test_line_index_is_reopened_compacted_and_taken_back(spark, tmp_path):
+    rng = random.Random(31)
+    lines = [f"a line of its own, number {i}" for i in range(60)] + ["short"]
+    texts = {i: "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12))) for i in range(50)}
+    frame = lambda ids: spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string")
+
+    def plain(ids):
+        holders = {}
+        for i in sorted(ids):
+            for line in texts[i].split("\n"):
+                if len(line) >= 10:
+                    holders.setdefault(line, set()).add(i)
+        return {i: "\n".join(x for x in texts[i].split("\n") if len(holders.get(x, ())) < 2 or min(holders[x]) == i) for i in ids}
+
+    def kept(index, ids):
+        return {r.doc_id: r.kept for r in index.deduplicated(frame(ids)).collect()}
+
+    path = str(tmp_path / "index")
+    index = cuckoo.LineIndex.new(spark, path, shards=3).insert(frame(range(0, 20))).insert(frame(range(15, 35)))
+    again = cuckoo.LineIndex.open(spark, path)
+    assert (again.version, again.shards, again.least) == (2, 3, 10) and kept(again, range(35)) == plain(range(35))
+    # A batch that broke off before its filters were whole does not count.
+    frame([40]).write.parquet(f"{path}/refs/v3")
+    assert cuckoo.LineIndex.open(spark, path).version == 2
+    shutil.rmtree(f"{path}/refs/v3")
+    before = [r.n for r in again.counts().filter("n_docs > 1").orderBy("hi", "lo").selectExpr("n_docs as n").collect()]
+    small = cuckoo.LineIndex.open(spark, path).compact()
+    assert [p.name for p in (tmp_path / "index" / "refs").iterdir()] == ["base2"]
+    assert [r.n for r in small.counts().filter("n_docs > 1").orderBy("hi", "lo").selectExpr("n_docs as n").collect()] == before
+    index = cuckoo.LineIndex.open(spark, path).delete(frame(range(0, 50, 3))).insert(frame(range(30, 50)))
+    left = sorted((set(range(35)) - set(range(0, 50, 3))) | set(range(30, 50)))
+    assert kept(index, left) == plain(left) and cuckoo.LineIndex.open(spark, path).version == 4
+    # A filter knows every key that is held, whatever came and went.
+    held = index.live().select("shard", "hi", "lo").distinct()
+    assert index.probe(held).filter("not maybe").count() == 0
+    gone = index.delete(frame(range(50)))
+    assert gone.live().count() == 0 and gone.probe(held).filter("maybe").count() == 0
+    whole = cuckoo.LineIndex.new(spark).insert_batches(frame(range(50)), 3)
+    assert whole.version == 3 and kept(whole, range(50)) == plain(range(50))

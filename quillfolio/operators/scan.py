@@ -19,8 +19,10 @@ def ranges(df: DataFrame, order: list[str], rows: int, out: str = "bucket") -> D
 
     The split points come from Spark's own sample of the rows, so values or ids that crowd together
     are cut as finely as others.  The rows are written to a scratch table: a second
-    sample would give other points.
+    sample would give other points.  Up to BUCKET_ROWS rows share one number.
     """
+    if rows <= BUCKET_ROWS:
+        return df.withColumn(out, F.lit(0).cast("long"))
     parts = -(-rows // BUCKET_ROWS) * 2
     return written(df.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id().cast("long")))
 
@@ -55,10 +57,10 @@ def running_sums(
 
 def day_buckets(df: DataFrame, keys: list[str], row_id: str, out: str = "bucket") -> DataFrame:
     """Add the bucket a row falls in: 0 where its (key) group is small, ranges of the row id in groups of over BUCKET_ROWS rows."""
-    big = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS))
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS)
     rows = big.agg(F.sum("_n")).first()[0]
     if not rows:
         return df.withColumn(out, F.lit(0).cast("long"))
-    # Groups of this size are few, by their size.
+    big = written(big)  # groups of this size are few, by their size
     crowded = ranges(df.join(big.select(*keys), keys, "left_semi"), [*keys, row_id], rows, out)
     return df.join(big.select(*keys), keys, "left_anti").withColumn(out, F.lit(0).cast("long")).unionByName(crowded)

@@ -50,8 +50,8 @@ def nation_code(key: Column) -> Column:
 
 def _row_id() -> Column:
     """A number ordered by order, line and part: order and line, then twelve digits of the part."""
-    line = F.col("l_orderkey").cast("decimal(20,0)") * 8 + F.col("l_linenumber")
-    return (line * F.lit(Decimal(10**12)) + F.col("l_partkey")).cast("decimal(38,0)")
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return (line.cast("decimal(19,0)") * F.lit(Decimal(10**12)) + F.col("l_partkey").cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def _price() -> Column:

@@ -8,9 +8,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillfolio.llm import cuckoo
+import corpus_pipeline
+from quillfolio.llm import cuckoo, quality, toxicity
 from quillfolio.llm.common import id_groups
-from quillfolio.llm.registry import QUERIES
+from quillfolio.llm.registry import CATEGORIES, QUERIES
 
 LOW = {c: c + 32 for c in range(65, 91)}
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -190,3 +191,34 @@ def test_line_index_is_reopened_compacted_and_taken_back(spark, tmp_path):
     assert gone.live().count() == 0 and gone.probe(held).filter("maybe").count() == 0
     whole = cuckoo.LineIndex.new(spark).insert_batches(frame(range(50)), 3)
     assert whole.version == 3 and kept(whole, range(50)) == plain(range(50))
+
+
+def odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, near long, taken long"
+    line = "A line that many documents hold, word for word"
+    rows = [(i, f"{line}\nand one of its own: {i} {'y' * i}", "en", "s" if i % 3 else None, None, 0.1, 1, 2, 3) for i in range(12)]
+    rows += [rows[3], (None, "no id", None, None, None, None, None, None, None), (40, None, "en", "s", 0, 0.0, 0, 0, 0), (41, "", "en", "s", 0, 0.0, 0, 0, 0), (42, "z " * 40000, "en", "t", 1, 0.0, 0, 0, 0)]
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_extra_columns_and_empty_tables(spark, tmp_path, empty):
+    docs = odd_rows(spark)
+    (docs.limit(0) if empty else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string, doc_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(set(r.asDict()) == {"doc_id", "source", "size", "source_size", "target", "taken"} for r in rows)
+    # Without labels nothing is rejected; the copy, and one of the two empty texts, go as near duplicates.
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == ([] if empty else [-1, *range(12), 40, 42])
+
+
+def test_classifiers_of_nothing_and_of_nulls(spark):
+    docs, names = odd_rows(spark), list(CATEGORIES)
+    labels = spark.createDataFrame([(3, 1, 0), (40, 0, 1), (41, 0, 1), (None, 1, 1), (9, None, 1)], "doc_id long, quality int, toxic int")
+    for labelled in (labels, labels.limit(0)):
+        models = toxicity.fit(quality.labelled(docs, labelled, CATEGORIES), names)
+        scored = toxicity.score(docs, models, names)
+        assert scored.count() == docs.count() and toxicity.score(docs.limit(0), models, names).count() == 0
+        assert scored.filter("doc_id in (40, 41)").select("p_abusive").distinct().count() == 1  # a null text is an empty one
+        assert scored.filter("p_abusive < 0 or p_abusive > 1 or isnan(p_abusive)").count() == 0

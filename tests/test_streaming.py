@@ -44,7 +44,7 @@ def test_price_store_keeps_one_folder_a_month_and_survives_a_crash(spark, tmp_pa
     schema = "symbol string, trade_date date, close double, open double, high double, low double, volume double, arrived long"
     store = str(tmp_path / "store")
     day = lambda i: dt.date(2025, 1 + i % 3, 1 + i % 20)
-    rows = [("X", day(i), float(i), float(i) if i % 2 else None, None, None, None, i) for i in range(12)]
+    rows = [("X", day(i), float(i), float(i) if i % 2 else None, None, None, None, i) for i in range(5)]
     want = {}
     for i, r in enumerate(rows):
         merge_days(spark, store, spark.createDataFrame([r], schema), i)
@@ -62,10 +62,10 @@ def test_price_store_keeps_one_folder_a_month_and_survives_a_crash(spark, tmp_pa
     with monkeypatch.context() as lost:
         lost.setattr(type(late), "hint", dies)  # what the step after the staging begins with
         with pytest.raises(RuntimeError):
-            merge_days(spark, store, late, 12)
+            merge_days(spark, store, late, 5)
     assert held() == want
     shutil.rmtree(tmp_path / "store" / "month=202502")
-    merge_days(spark, store, late, 12)
+    merge_days(spark, store, late, 5)
     assert held() == want | {day(0): (99.0, want[day(0)][1]), dt.date(2025, 2, 27): (98.0, 1.0)}
 
 
@@ -85,15 +85,15 @@ def test_alert_stream_of_shuffled_and_corrected_days_equals_batch(spark, map_sta
     want = sorted(tuple(r) for r in Tg.alerts(spark.createDataFrame(rows, schema)).collect())
     # Days come in any order; some come wrong first, twice in a batch, or are replayed.
     shuffled = rng.sample(rows, len(rows))
-    batches = [[], [], [], []]
+    batches = [[], [], []]
     for r in shuffled:
-        n = rng.randrange(4)
+        n = rng.randrange(3)
         batches[n].append(r)
         if n and rng.random() < 0.4:
             batches[rng.randrange(n)].append((*r[:3], r[3] + 0.5, r[4], not r[5], r[6], 1))
         if rng.random() < 0.2:
             batches[n].append((*r[:5], not r[5], not r[6], 0))
-    batches[3] += [r for r in rng.sample(rows, 20) if r not in batches[3]]
+    batches[2] += [r for r in rng.sample(rows, 20) if r not in batches[2]]
     src = str(tmp_path / "in")
     for days in batches:
         spark.createDataFrame(days, schema).coalesce(1).write.mode("append").parquet(src)
@@ -109,13 +109,13 @@ def test_single_day_runs_equal_the_replay(spark, tmp_path):
     rng = random.Random(8)
     d = lambda i: dt.date(2025, 1, 1) + dt.timedelta(days=i)
     targets = spark.createDataFrame([(i, f"S{i % 3}", "A" if i % 2 else None, 9.0 if i != 4 else None, 11.0 if i != 5 else None) for i in range(6)], "target_id long, symbol string, account_id string, buy_below double, sell_above double")
-    prices = [(f"S{s}", d(i), rng.choice([8.0, 9.0, 10.0, 11.0, 12.0])) for s in range(3) for i in range(12) if rng.random() < 0.8]
-    held = [(a, f"S{s}", d(i), rng.choice([0.0, 5.0])) for a in ("A", None) for s in range(3) for i in (0, 3, 7)]
+    prices = [(f"S{s}", d(i), rng.choice([8.0, 9.0, 10.0, 11.0, 12.0])) for s in range(3) for i in range(7) if rng.random() < 0.8]
+    held = [(a, f"S{s}", d(i), rng.choice([0.0, 5.0])) for a in ("A", None) for s in range(3) for i in (0, 2, 4)]
     closes = spark.createDataFrame(prices, "symbol string, trade_date date, close double")
     holdings = spark.createDataFrame(held, "account_id string, symbol string, trade_date date, quantity double")
     want = sorted(tuple(r) for r in Tg.alerts(Tg.target_days(targets, closes, holdings)).collect())
     got = []
-    for i in [*range(7), 6, *range(7, 12)]:  # the seventh day is run twice
+    for i in [*range(4), 3, *range(4, 7)]:  # the fourth day is run twice
         now = {(a, s): q for a, s, day, q in held if day <= d(i)}
         shares = spark.createDataFrame([(*k, q) for k, q in now.items()], "account_id string, symbol string, quantity double")
         got += [tuple(r) for r in alert_run(spark, str(tmp_path / "state"), targets, closes.filter(F.col("trade_date") == F.lit(d(i))), shares, str(d(i))).collect()]

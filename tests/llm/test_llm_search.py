@@ -66,8 +66,8 @@ def test_term_scan_equals_a_plain_ranking(corpus, tables):
     want = ranked(*corpus)
     assert rows_of(termscan.search(*tables)) == want and len(want) > 100
     # Many blocks, and lists that are cut short.
-    assert rows_of(termscan.search(*tables, block_items=2)) == want
-    assert rows_of(termscan.search(*tables, k=3, block_bytes=40)) == ranked(*corpus, 3)
+    assert rows_of(termscan.search(*tables, block_items=7)) == want
+    assert rows_of(termscan.search(*tables, k=3, block_bytes=200)) == ranked(*corpus, 3)
 
 
 def test_term_scan_of_nothing(spark, tables):
@@ -131,8 +131,8 @@ def coded(rows, parts=8, entries=16, rounds=6):
 
 def test_grid_codes_equal_a_plain_quantizer(table, vectors):
     rows = kept(vectors, 4096, 16)
-    books, found = coded(rows)
-    got = gridcodes.fit(table)
+    books, found = coded(rows, rounds=2)
+    got = gridcodes.fit(table, rounds=2)
     assert got.tolist() == books
     want = sorted((str(i), [j for _, j in f], sum(d for d, _ in f)) for (i, _, _), f in zip(rows, found))
     out = gridcodes.encode(table, got, ("label",))
@@ -197,7 +197,7 @@ def test_ball_trees_equal_a_plain_search(table, vectors):
     key = lambda df: sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect()), key=str)
     assert key(balltree.top_inner_products(table)) == want
     # Many shards in waves, and groups of few queries.
-    assert key(balltree.top_inner_products(table, shard_rows=40, group_rows=3)) == want
+    assert key(balltree.top_inner_products(table, shard_rows=150, group_rows=6)) == want
     assert balltree.top_inner_products(table.limit(0)).count() == 0 and balltree.top_inner_products(table.filter("vec_id = 100 and label is null")).count() == 0
 
 

@@ -1,15 +1,17 @@
 """Target alerts over a stream of closes that may come late, shuffled or corrected.
 
-The state of each target side is a map from day to what that day looked like and the
-event that it gave.  A batch puts its days into the map and judges again from the first
+The state of each target side is a map from year to its days, packed: what each day looked like and the
+event that it gave.  A side costs a call of the state store a year, not a day.  A batch puts its days into the map and judges again from the first
 day that changed on: what a day no longer gives is taken back, what it gives now is
 added.  Events added less events taken back are ``operators.targets.alerts`` of the final history.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,22 +21,37 @@ OUTPUT = "target_id long, side string, trade_date date, close double, level doub
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: A packed day.
+_DAY = np.dtype([("day", "<i4"), ("close", "<f8"), ("level", "<f8"), ("reached", "?"), ("can_send", "?"), ("event", "u1")])
+_EVENTS = (None, "send", "rearm")
+
+
+def _packed(days: dict) -> bytes:
+    return np.array([(d.toordinal(), *row[:4], _EVENTS.index(row[4])) for d, row in days.items()], _DAY).tobytes()
+
+
+def _unpacked(held: bytes) -> dict:
+    return {date.fromordinal(d): (*row, _EVENTS[event]) for d, *row, event in np.frombuffer(held, _DAY).tolist()}
+
+
 class AlertDays(StatefulProcessor):
     """Judges the days of one target side; a side has at most one day of the calendar each."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", "trade_date date", "close double, level double, reached boolean, can_send boolean, event string")
+        self.years = handle.getMapState("years", "year int", "days binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         given = pd.concat(list(rows)).sort_values("arrived", kind="stable")
-        seen = {r.trade_date: (r.close, r.level, bool(r.reached), bool(r.can_send)) for r in given.itertuples(index=False)}
-        known = {k[0]: tuple(v) for k, v in self.days.iterator()}
+        seen = {d: (close, level, bool(reached), bool(can_send)) for d, close, level, reached, can_send in zip(*(given[c] for c in ("trade_date", "close", "level", "reached", "can_send")), strict=True)}
+        known: dict = {}
+        for _, held in self.years.iterator():
+            known.update(_unpacked(bytes(held[0])))
         changed = {day: row for day, row in seen.items() if day not in known or known[day][:4] != row}
         out = list(self._judged(key, known, changed)) if changed else []
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def _judged(self, key: Any, known: dict, changed: dict) -> Iterator[tuple]:
-        first, outstanding = min(changed), False
+        first, outstanding, touched = min(changed), False, {}
         for day in sorted(known.keys() | changed.keys()):
             old = known.get(day, (None,) * 5)
             event = old[4]
@@ -49,8 +66,14 @@ class AlertDays(StatefulProcessor):
                     if event:
                         yield (*key, day, *gives, 1)
                 if day in changed or gave != gives:
-                    self.days.updateValue((day,), (*row, event))
+                    touched[day] = (*row, event)
             outstanding = event == "send" or (outstanding and event is None)
+        years = {day.year: {} for day in touched}
+        for day, row in (known | touched).items():
+            if day.year in years:
+                years[day.year][day] = row
+        for year, days in years.items():
+            self.years.updateValue((year,), (_packed(days),))
 
     def close(self) -> None:
         pass

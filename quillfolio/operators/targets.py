@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .scan import dealt
+
 # Fixed value: within this share of the price counts as near.
 NEAR = 0.02
 
@@ -87,18 +89,27 @@ def target_sides(targets: DataFrame) -> DataFrame:
     ).filter("level is not null")
 
 
+def _pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> int:
+    """Rows of the join of two tables on keys."""
+    n = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias(c)) for df, c in ((a, "_a"), (b, "_b"))]
+    return n[0].join(n[1], keys).agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+
+
 def target_days(targets: DataFrame, prices: DataFrame, holdings: DataFrame) -> DataFrame:
     """Every close against every target side: whether it is reached, and whether an alert may go out.
 
     A side's days are bounded by the calendar.  A sell alert needs shares held
-    that day (the ledger's state on or before it).
+    that day (the ledger's state on or before it).  Rows are counted first, so that the sides are
+    dealt to as many tasks as they need: the tables should be cheap to read (written).
     """
     sides = target_sides(targets)
+    selling = _scope(sides.filter("side = 'sell'")).select("target_id", "_scope", "symbol")
+    size = _pairs(sides, prices, ["symbol"]) + _pairs(_scope(holdings), selling, ["_scope", "symbol"])
     close, level = F.col("close"), F.col("level")
     days = sides.join(prices.select("symbol", "trade_date", "close"), "symbol").withColumn(
         "reached", F.when(F.col("side") == "buy", close <= level).otherwise(close >= level)
     )
-    held = _scope(holdings).join(_scope(sides.filter("side = 'sell'")).select("target_id", "_scope", "symbol"), ["_scope", "symbol"]).select(
+    held = _scope(holdings).join(selling, ["_scope", "symbol"]).select(
         "target_id", "trade_date", F.lit("sell").alias("side"), "quantity"
     )
     cols = {"level": "double", "close": "double", "reached": "boolean"}
@@ -108,7 +119,7 @@ def target_days(targets: DataFrame, prices: DataFrame, holdings: DataFrame) -> D
     )
     w = W.partitionBy("target_id", "side").orderBy("trade_date", "_k").rowsBetween(W.unboundedPreceding, W.currentRow)
     shares = F.coalesce(F.last("quantity", ignorenulls=True).over(w), F.lit(0.0))
-    return rows.withColumn("held", shares).filter("_k = 1").select(
+    return dealt(rows, ["target_id", "side"], size).withColumn("held", shares).filter("_k = 1").select(
         "target_id", "side", "trade_date", *cols, ((F.col("side") == "buy") | (F.col("held") > 1e-9)).alias("can_send")
     )
 
@@ -119,13 +130,13 @@ def alerts(days: DataFrame) -> DataFrame:
     An alert goes out on the first day of a run of reached days on which it can,
     and the side is armed again by the first close that no longer reaches.
     """
-    key = W.partitionBy("target_id", "side")
-    run = key.orderBy("trade_date").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = days.withColumn("_run", F.sum((~F.col("reached")).cast("int")).over(run))
+    key = W.partitionBy("target_id", "side").orderBy("trade_date")
+    run = key.rowsBetween(W.unboundedPreceding, W.currentRow)
     eligible = (F.col("reached") & F.col("can_send")).cast("int")
-    in_run = W.partitionBy("target_id", "side", "_run").orderBy("trade_date").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("_sent", F.sum(eligible).over(in_run))
-    before = F.coalesce(F.lag("_sent").over(key.orderBy("trade_date")), F.lit(0)) > 0
+    rows = days.withColumn("_all", F.sum(eligible).over(run))
+    # Sent in this run: all so far less those up to the last day that was not reached, so that one order of the days does.
+    rows = rows.withColumn("_sent", F.col("_all") - F.coalesce(F.max(F.when(~F.col("reached"), F.col("_all"))).over(run), F.lit(0)))
+    before = F.coalesce(F.lag("_sent").over(key), F.lit(0)) > 0
     event = F.when((eligible == 1) & (F.col("_sent") == 1), "send").when(~F.col("reached") & before, "rearm")
     return rows.withColumn("event", event).filter("event is not null").select("target_id", "side", "trade_date", "close", "level", "event")
 

@@ -107,8 +107,8 @@ def _(t):
 
 @query("w22_target_alerts", "target_id:i side trade_date:d close:4 level:4 event")
 def _(t):
-    days = Tg.target_days(t.targets(), t.stock_prices(), Tg.daily_holdings(L.day_states(t.transactions())))
-    return Tg.alerts(days)
+    states = written(L.day_states(t.transactions()).select("account_id", "symbol", "trade_date", "q", "q_open"))
+    return Tg.alerts(Tg.target_days(written(t.targets()), written(t.stock_prices()), written(Tg.daily_holdings(states))))
 
 
 @query("d08_trading_calendar", "symbol trade_date:d trading_day:b previous_session:d sessions_to_date:i")

@@ -29,7 +29,7 @@ def _(t):
 
 @query("w22_new_alerts", "target_id:i side trade_date:d event")
 def _(t):
-    return new_alerts(t.targets(), t.stock_prices(), Tg.daily_holdings(L.day_states(t.transactions())), "2001-01-01")
+    return new_alerts(written(t.targets()), written(t.stock_prices()), written(_holdings(t)), "2001-01-01")
 
 
 @query("k01_job_store", "symbol trade_date:d open:4 high:4 low:4 close:4 volume:2")
@@ -64,7 +64,7 @@ def _(t):
 
 
 def _holdings(t):
-    return Tg.daily_holdings(L.day_states(t.transactions()))
+    return Tg.daily_holdings(written(L.day_states(t.transactions()).select("account_id", "symbol", "trade_date", "q", "q_open")))
 
 
 @query("w22_day_runs", "target_id:i side trade_date:d event")
@@ -86,7 +86,7 @@ def _(t):
 def _(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     d = F.dayofmonth("trade_date")
-    days = written(Tg.target_days(t.targets(), t.stock_prices(), _holdings(t)))
+    days = written(Tg.target_days(written(t.targets()), written(t.stock_prices()), written(_holdings(t))))
     wrong, late = d % 5 == 0, d % 4 == 1
     first = days.filter(~late).withColumns({"reached": F.col("reached") != wrong, "close": F.col("close") + F.when(wrong, 1.0).otherwise(0.0)})
     folder, arrivals = _two_arrivals(t, first, days.filter(wrong | late))

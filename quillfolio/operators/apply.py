@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.scratch import written as stored
 from .ledger import ADDS, DAY, EMPTY_BELOW, POSITION
 
 #: What tells a trade from all others.
@@ -89,9 +90,10 @@ def apply_import(
     A refused account keeps its rows in every table.  An applied one loses its ``remove``
     rows and gets the new trades; its cash movements in the period are replaced by the new ones; its
     period is added with its balances; symbols that nobody has listed are added as untracked.
-    The outcomes decide by a join on the account, so no account is half written.
+    The outcomes decide by a join on the account, so no account is half written; they are
+    written to a scratch table, since every table asks for them, some more than once.
     """
-    outcomes = import_outcomes(plans, existing, seen, remove, new)
+    outcomes = stored(import_outcomes(plans, existing, seen, remove, new))
     done = outcomes.filter("applied").select("account_id", "period_from", "period_to")
     ids = done.select("account_id")
     added = new.join(ids, "account_id", "left_semi")

@@ -128,7 +128,8 @@ def _(t):
 def _applied(t):
     """Imports of 1998 for every customer; the customer's number decides what the preview, the person and the opening lots are like."""
     acc = F.col("account_id").cast("long") % 6
-    x = t.transactions("c_custkey")
+    # Written once, as the preview, the removed and the new trades and both histories read it.
+    x = written(t.transactions("c_custkey"))
     lots = x.filter(acc != 0).groupBy("account_id", "symbol").agg(F.lit(0).cast("decimal(38,0)").alias("txn_id")).select(
         "account_id", "symbol", F.lit("1992-01-01").cast("date").alias("trade_date"), F.lit("buy").alias("txn_type"), F.lit(1e6).alias("quantity"),
         F.lit(10.0).alias("price_per_share"), F.lit(0.0).alias("commission"), F.lit(0.0).alias("tax_withheld"), F.lit("statement").alias("source"), "txn_id",
@@ -142,10 +143,10 @@ def _applied(t):
     new = now.filter(F.col("txn_id") % 7 != 0).select(
         "account_id", "symbol", "trade_date", "txn_type", "quantity", "price_per_share", "commission", F.lit(0.0).alias("tax_withheld"), F.lit("ledger").alias("source"), (F.col("txn_id") + 1).alias("txn_id"),
     )
-    plans = new.groupBy("account_id").agg(F.sum("quantity").alias("opening_balance")).select(
+    plans = written(new.groupBy("account_id").agg(F.sum("quantity").alias("opening_balance")).select(
         "account_id", F.lit(START).cast("date").alias("period_from"), F.lit(END).cast("date").alias("period_to"), "opening_balance", (F.col("opening_balance") + 1).alias("closing_balance"),
         acc.isin(3, 4).alias("confirmed"),
-    )
+    ))
     cash = t.cash_movements("c_custkey")
     lines = cash.filter((F.year("move_date") == 1998) & (F.col("movement_id") % 3 != 0)).join(plans, "account_id", "left_semi").withColumn("movement_id", -F.col("movement_id"))
     periods = t.ledger_imports().select("account_id", "period_from", "period_to", "opening_balance")

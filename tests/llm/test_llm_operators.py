@@ -330,6 +330,18 @@ def test_pipeline_drops_edited_copies(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near(spark, docs, str(tmp_path)).collect()) == [1, 4, 5]
 
 
+def test_pipeline_links_fingerprints_and_shingle_sets(spark, tmp_path):
+    refrain, tail = ["round", "and", "about"], [[f"{x}{i}" for i in range(30)] for x in "pqrs"]
+    text = lambda times, k: " ".join(refrain * times + tail[k])
+    # A long refrain makes equal fingerprints of texts that share few shingles; a short one leaves the set of shingles, not the fingerprint.
+    rows = [(2, text(200, 0)), (None, text(200, 1)), (4, text(3, 1)), (5, text(3, 2)), (6, text(200, 2)), (7, text(0, 3))]
+    prints = {t: simhash.fingerprint(t) for _, t in rows}
+    assert prints[rows[0][1]] == prints[rows[1][1]] == prints[rows[4][1]] and (prints[rows[1][1]] ^ prints[rows[2][1]]).bit_count() > 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near(spark, docs.repartition(3), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 7]
+
+
 def test_quality_stage_takes_documents_with_a_score(spark, docs, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([(i, 1, 0) for i in range(1, 50)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")

@@ -251,6 +251,20 @@ def test_classifiers_on_planted_words(spark, docs, empty):
     assert linear.indicators(pa.array(["", "a a"]))[0].tolist()[1] == 0
 
 
+def test_indicators_are_sorted_not_hashed(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(rng.randrange(200))) for _ in range(30)] + ["", None, "one"]
+    apart = [linear.indicators(pa.array([t], pa.string()), 1 << 12, 4)[1].tolist() for t in texts]
+    assert all(a == sorted(set(a)) for a in apart) and apart[-3] == apart[-2] == []
+
+    def hashed(*_, **__):
+        raise AssertionError("np.unique hashes whole numbers: several times the CPU seconds of a sort")
+
+    monkeypatch.setattr(np, "unique", hashed)
+    limits, held = linear.indicators(pa.array(texts, pa.string()), 1 << 12, 4)
+    assert [held[a:b].tolist() for a, b in zip(limits[:-1], limits[1:], strict=True)] == apart
+
+
 def test_sketches_estimate_and_merge(docs, empty, texts):
     k = 64
     rows = bottomk.edited_sketches(docs, k, rows_per_group=7).collect()

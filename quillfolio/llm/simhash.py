@@ -131,11 +131,11 @@ def near_pairs(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     keyed = fps.select("fp").distinct().select(
         "fp", F.bit_count("fp").cast("long").alias("pop"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("block", "part"),
     ).withColumn("block", F.col("block").cast("long"))
-    counts = keyed.groupBy("block", "part", "pop").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(keyed.groupBy("block", "part", "pop").agg(F.count(F.lit(1)).alias("n")))
     cells = counts.groupBy("block", "part").agg(F.sum("n").alias("total")).filter("total > 1")
     rows = keyed.join(cells, ["block", "part"])
     light = rows.filter(F.col("total") <= 2 * tile).select("block", "part", F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), "fp")
-    tiles = counts.join(cells.filter(F.col("total") > 2 * tile), ["block", "part"]).select("block", "part", "pop", F.ceil(F.col("n") / tile).cast("long").alias("subs"))
+    tiles = stored(counts.join(cells.filter(F.col("total") > 2 * tile), ["block", "part"]).select("block", "part", "pop", F.ceil(F.col("n") / tile).cast("long").alias("subs")))
     other = tiles.select("block", "part", F.col("pop").alias("pop2"), F.col("subs").alias("subs2"))
     heavy = (
         rows.filter(F.col("total") > 2 * tile).join(tiles, ["block", "part", "pop"])
@@ -149,27 +149,31 @@ def near_pairs(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return light.unionByName(heavy).repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_links(radius), "u long, v long").distinct()
 
 
+def _starred(state: DataFrame) -> bool:
+    """Whether every link (u to a smaller v) binds its larger node to a root: no node has two smaller neighbours, or one and a larger one."""
+    ends = state.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).filter("ups > 1 or ups = 1 and low = 0").count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node that each linked node reaches, by alternating large and small stars.
 
     Each round points every node's larger neighbours, then its smaller ones, at the least
-    node around it; each is one aggregation with partial minima and one join.  Rounds are
-    written to the shared folder and end when the links no longer change.
+    node around it; each is one aggregation with partial minima and one join.  Both steps are
+    written to the shared folder, so that a plan reads a table three times at most (the driver
+    keeps the plans and their metrics); rounds end when all links are stars.
     """
-    state = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Links now run from larger to smaller nodes; bind each node's smaller neighbours to the least of them.
+    state = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    while not _starred(state):
+        back = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = state.select(F.inline(F.array(F.struct("u", "v"), back))).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Links run from larger to smaller nodes: turned back, they lead to a node's larger neighbours.
+        large = stored(state.select(back.alias("x")).select("x.*").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        # Bind each node's smaller neighbours to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:

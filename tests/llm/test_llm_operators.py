@@ -169,6 +169,29 @@ def test_near_fingerprints_link_like_all_pairs(spark, docs, empty):
     assert simhash.near_duplicates(docs).count() == docs.count() and simhash.near_duplicates(empty).count() == 0
 
 
+def test_rounds_of_components_are_small_plans_and_end_at_stars(spark, monkeypatch):
+    written, write = [], simhash.stored
+
+    def counted(df):
+        written.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df)
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    # Two chains, a ring, a link of a node with itself, a link twice and one turned round.
+    pairs = [(i, i + 1) for i in range(20)] + [(40 - 2 * i, 38 - 2 * i) for i in range(5)] + [(50, 51), (51, 52), (52, 50), (60, 60), (70, 71), (70, 71), (71, 70)]
+    links = spark.createDataFrame(pairs, "u long, v long")
+    got = sorted((r.node, r.root) for r in simhash.components(links).collect())
+    want = {i: 0 for i in range(1, 21)} | {i: 30 for i in range(32, 41, 2)} | {51: 50, 52: 50, 71: 70}
+    assert got == sorted(want.items())
+    # The driver keeps each plan and its metrics: a step reads the links three times at most.
+    assert max(written) <= 3
+    written.clear()
+    stars = spark.createDataFrame([(0, 5), (0, 6), (7, 8), (None, 9)], "u long, v long")
+    assert sorted((r.node, r.root) for r in simhash.components(stars).collect()) == [(5, 0), (6, 0), (8, 7)]
+    assert len(written) == 1
+    assert simhash.components(links.limit(0)).isEmpty()
+
+
 def plain_lines(texts):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
     held = defaultdict(list)

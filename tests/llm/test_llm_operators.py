@@ -1,6 +1,7 @@
 """The operators of quillfolio.llm against plain loops, and on nulls, empty texts and tables, repeated rows and extra columns."""
 import math
 import random
+import tracemalloc
 import re
 from collections import Counter, defaultdict
 
@@ -358,6 +359,29 @@ def test_near_sets_equal_all_pairs(spark, texts):
     assert nearsets.near_sets(frame.limit(0)).count() == 0
 
 
+def test_near_sets_tasks_hold_little_beside_their_batch():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 400))) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])
+    limits, h = nearsets.shingle_sets(pa.array([" ".join(texts[:600]), "", *texts[:3]]), 5)
+    kernels = {
+        "firsts": lambda: sum(r.num_rows for r in nearsets._first_shingles(5, 0.8, np.zeros(nearsets._SLOTS, np.uint8))(iter([batch]))),
+        "marks": lambda: sum(r.num_rows for r in nearsets._marks(5)(iter([batch]))),
+        "signatures of a long text": lambda: len(nearsets._signatures(limits, h)),
+    }
+    for name, kernel in kernels.items():
+        tracemalloc.start()
+        assert kernel() > 0
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert peak < 20, (name, peak)
+    # Bits are counted in blocks that cut texts: as over the whole set.
+    for k, x in enumerate((h, nearsets.mix(h ^ np.uint64(0x9E3779B97F4A7C15)))):
+        for d, (a, b) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
+            ones = np.unpackbits(x[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=int)
+            assert nearsets._signatures(limits, h)[d, k] == np.packbits(2 * ones > b - a, bitorder="little").view(np.uint64)[0]
+
+
 def test_pipeline_drops_edited_copies(spark, tmp_path):
     rng = random.Random(9)
     text = [f"v{rng.randrange(5000)}" for _ in range(300)]

@@ -424,3 +424,24 @@ def test_held_out_labels_leave_a_fold_alone(spark):
         return np.argsort(unseen[fold == 0]).tolist()
 
     assert order(frame) == order(frame.withColumn("label", F.when(mine, 1 - F.col("label")).otherwise(F.col("label"))))
+
+
+def test_driver_gets_weights_alone_of_a_fit(spark, monkeypatch):
+    rows = [(i, f"{'good fine' if i % 3 else 'junk spam'} text {i % 7} of {i % 11}", int(i % 3 > 0), int(i % 5 == 0)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int, other int").repartition(3)
+
+    def on_driver(classes, fit, **features):
+        space = features.get("space", linear.SPACE)
+        table = linear.class_counts(frame, classes, **features)
+        some = linear.collected(frame, classes, linear.counts_of(table, 0, space).feature, **features)
+        return fit(lambda k: linear.counts_of(table, k, space), *some)
+
+    here = on_driver(["label"], quality._fit), on_driver(["label", "other"], toxicity._fit, **toxicity._FEATURES)
+    brought, kind = [], type(frame)
+    whole = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: brought.extend(self.columns) or whole(self))
+    there = [quality.fit(frame)], toxicity.fit(frame, ["label", "other"])
+    assert set(brought) == {"feature", "k", "weights", "extra", "bias", "slope", "shift"}
+    for a, b in zip([*here[0], *here[1]], [*there[0], *there[1]], strict=True):
+        assert np.array_equal(a.weights, b.weights) and np.array_equal(a.extra, b.extra) and (a.bias, a.slope, a.shift) == (b.bias, b.slope, b.shift)
+    assert quality.fit(frame.limit(0)).shift == 0

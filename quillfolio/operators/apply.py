@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..sources.scratch import written as stored
 from .ledger import ADDS, DAY, EMPTY_BELOW, POSITION
 
+#: Up to so many accounts the ledger is cut to those of an import before it is netted; beyond, it is netted whole, as a join would shuffle it once more.
+FEW_ACCOUNTS = 10_000
+
 #: What tells a trade from all others.
 ROW = DAY + ["txn_id"]
 
@@ -29,10 +32,17 @@ def changed_holdings(versions: DataFrame) -> DataFrame:
     Both histories are netted to days in one aggregation and walked in one window over the
     netted days, so the ledger is read once however many trades a key holds.
     """
+    return _walked(_netted(versions))
+
+
+def _netted(versions: DataFrame) -> DataFrame:
     kind, quantity = F.col("txn_type"), F.coalesce("quantity", F.lit(0.0))
     total = lambda cond: F.sum(F.when(cond, quantity).otherwise(0.0))
     sides = {"in": kind.isin(*ADDS), "out": kind == "sell"}
-    days = versions.groupBy(*DAY).agg(*[total(F.col(v) & c).alias(f"{v}_{s}") for v in ("before", "after") for s, c in sides.items()])
+    return versions.groupBy(*DAY).agg(*[total(F.col(v) & c).alias(f"{v}_{s}") for v in ("before", "after") for s, c in sides.items()])
+
+
+def _walked(days: DataFrame) -> DataFrame:
     key = W.partitionBy(*POSITION).orderBy("trade_date")
     run = key.rowsBetween(W.unboundedPreceding, W.currentRow)
     days = days.withColumns({f"{v}_sum": F.sum(F.col(f"{v}_in") - F.col(f"{v}_out")).over(run) for v in ("before", "after")})
@@ -49,29 +59,46 @@ def changed_holdings(versions: DataFrame) -> DataFrame:
     )
 
 
+def _inside(first, last) -> Column:
+    """Whether a trade's day lies in a range; false if either is unknown."""
+    return F.coalesce(F.col("trade_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.lit(False))
+
+
+def _between(trades: DataFrame, first, last) -> DataFrame:
+    return trades.filter(_inside(first, last))
+
+
 def import_outcomes(plans: DataFrame, existing: DataFrame, seen: DataFrame, remove: DataFrame, new: DataFrame) -> DataFrame:
     """Whether each account's import may be written: account_id, period, applied, reason, and the first symbol (and how many) behind the reason.
 
     plans: account_id, period_from, period_to, confirmed; an account has one plan.  ``seen``
     are the rows (ROW) of the account's buys and sells in the period as the preview showed
-    them, ``remove`` those to be deleted, ``new`` the trades to be added.
+    them, ``remove`` those to be deleted, ``new`` the trades to be added.  ``existing`` is
+    read three times, so it should be cheap to read (written); only its days that plans or removed rows reach are
+    matched by row.  Steps are written to scratch tables, so that the disk holds the shuffles of one at a time.
     """
     period = plans.select("account_id", "period_from", "period_to", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
-    now = existing.join(period, "account_id").filter(F.col("txn_type").isin("buy", "sell") & F.col("trade_date").between(F.col("period_from"), F.col("period_to")))
+    now = _between(existing, *plans.agg(F.min("period_from"), F.max("period_to")).first()).join(period, "account_id").filter(F.col("txn_type").isin("buy", "sell") & F.col("trade_date").between(F.col("period_from"), F.col("period_to")))
     one = F.lit(1)
     shown = (
         now.select(*ROW, one.alias("_now"), F.lit(0).alias("_seen"), F.lit(0).alias("_gone"))
         .unionByName(seen.select(*ROW, F.lit(0).alias("_now"), one.alias("_seen"), F.lit(0).alias("_gone")))
         .unionByName(remove.select(*ROW, F.lit(0).alias("_now"), F.lit(0).alias("_seen"), one.alias("_gone")))
     ).groupBy(*ROW).agg(*[F.max(c).alias(c) for c in ("_now", "_seen", "_gone")])
-    preview = shown.groupBy("account_id").agg(
+    preview = stored(shown.groupBy("account_id").agg(
         F.count_if(F.col("_now") != F.col("_seen")).alias("stale"), F.count_if((F.col("_gone") == 1) & (F.col("_seen") == 0)).alias("unseen"),
         F.min(F.when(F.col("_now") != F.col("_seen"), F.col("symbol"))).alias("stale_symbol"), F.min(F.when((F.col("_gone") == 1) & (F.col("_seen") == 0), F.col("symbol"))).alias("unseen_symbol"),
-    )
+    ))
     mine = plans.select("account_id")
-    versions = before_and_after(existing.join(mine, "account_id", "left_semi"), remove, new.join(mine, "account_id", "left_semi"))
+    if mine.limit(FEW_ACCOUNTS + 1).count() <= FEW_ACCOUNTS:
+        existing, new = existing.join(mine, "account_id", "left_semi"), new.join(mine, "account_id", "left_semi")
+    reach = remove.agg(F.min("trade_date"), F.max("trade_date")).first()
+    # Rows of other days can't be removed ones: they stand in both histories.
+    rest = existing.filter(~_inside(*reach)).withColumns({"before": F.lit(True), "after": F.lit(True)})
+    cut = [*DAY, "txn_type", "quantity", "before", "after"]
+    versions = stored(before_and_after(_between(existing, *reach), remove, new).select(*cut)).unionByName(rest.select(*cut))
     moved = F.col("before") != F.col("after")
-    holdings = changed_holdings(versions).groupBy("account_id").agg(
+    holdings = _walked(stored(_netted(versions))).groupBy("account_id").agg(
         F.count("oversold_on").alias("oversold"), F.min(F.when(F.col("oversold_on").isNotNull(), F.col("symbol"))).alias("oversold_symbol"),
         F.count_if(moved).alias("moved"), F.min(F.when(moved, F.col("symbol"))).alias("moved_symbol"),
     )

@@ -130,7 +130,7 @@ def _applied(t):
     acc = F.col("account_id").cast("long") % 6
     # Written once, as the preview, the removed and the new trades and both histories read it.
     x = written(t.transactions("c_custkey"))
-    lots = x.filter(acc != 0).groupBy("account_id", "symbol").agg(F.lit(0).cast("decimal(38,0)").alias("txn_id")).select(
+    lots = written(x.filter(acc != 0).select("account_id", "symbol").distinct()).withColumn("txn_id", F.lit(0).cast("decimal(38,0)")).select(
         "account_id", "symbol", F.lit("1992-01-01").cast("date").alias("trade_date"), F.lit("buy").alias("txn_type"), F.lit(1e6).alias("quantity"),
         F.lit(10.0).alias("price_per_share"), F.lit(0.0).alias("commission"), F.lit(0.0).alias("tax_withheld"), F.lit("statement").alias("source"), "txn_id",
     )

@@ -1,12 +1,14 @@
 """Importing a ledger: hand-worked cases of what is written and what is refused, and a plain walk over random histories."""
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillfolio.operators import apply as A
 from quillfolio.operators import reconcile as R
+from quillfolio.sources.scratch import written
 from quillfolio.sources.testtables import TestTables
 
 D = dt.date
@@ -96,3 +98,31 @@ def test_row_ids_stay_apart_for_any_part_key(spark, tmp_path):
     ids = [int(r.txn_id) for r in rows.orderBy("txn_id").collect()]
     assert len(set(ids)) == 4 and ids[-1] == (600_000_000_000 * 8 + 7) * 10**12 + 1
     assert R.replace_period(rows, rows.limit(0), "2000-01-01", "2000-12-31").count() == 4
+
+
+def test_many_accounts_and_rows_without_ids_or_days(spark, world, monkeypatch):
+    odd = [("A", "X", None, "buy", 7.0, 1.0, 0.0, 900), ("B", None, D(2025, 1, 3), "buy", 8.0, 1.0, 0.0, None), (None, "X", D(2025, 1, 4), "sell", 9.0, 1.0, 0.0, 902), ("Z", "X", D(2025, 1, 5), "buy", 9.0, 1.0, 0.0, 903)]
+    world["existing"] = world["existing"].unionByName(spark.createDataFrame(odd, TRADE))
+    for key in ("seen", "remove"):  # a row that comes twice, and one without an id
+        world[key] = world[key].unionByName(world[key].filter("account_id = 'A'")).unionByName(spark.createDataFrame(odd[1:2], TRADE))
+    got = []
+    for few in (A.FEW_ACCOUNTS, 0):
+        monkeypatch.setattr(A, "FEW_ACCOUNTS", few)
+        got.append({key: sorted(map(str, df.collect())) for key, df in A.apply_import(**world).items()})
+    assert got[0] == got[1] and len(got[0]["outcomes"]) == 5 and any("applied=True" in r for r in got[0]["outcomes"])
+
+
+def test_written_table_leaves_no_shuffle_on_disk(spark):
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+    before = shuffles()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+

@@ -26,12 +26,34 @@ _DAY = np.dtype([("day", "<i4"), ("close", "<f8"), ("level", "<f8"), ("reached",
 _EVENTS = (None, "send", "rearm")
 
 
-def _packed(days: dict) -> bytes:
-    return np.array([(d.toordinal(), *row[:4], _EVENTS.index(row[4])) for d, row in days.items()], _DAY).tobytes()
+_EPOCH = date(1970, 1, 1).toordinal()
 
 
-def _unpacked(held: bytes) -> dict:
-    return {date.fromordinal(d): (*row, _EVENTS[event]) for d, *row, event in np.frombuffer(held, _DAY).tolist()}
+def _days(given: pd.DataFrame) -> np.ndarray:
+    """A batch's days, packed, in order; of several rows for a day the last to come."""
+    out = np.zeros(len(given), _DAY)
+    out["day"] = given["trade_date"].to_numpy("datetime64[D]").astype(np.int64) + _EPOCH
+    for c in ("close", "level"):
+        out[c] = given[c].to_numpy(np.float64, na_value=np.nan)
+    for c in ("reached", "can_send"):
+        values = given[c].to_numpy()
+        out[c] = values if values.dtype == bool else [bool(v) for v in values]
+    out = out[np.lexsort((given["arrived"].to_numpy(), out["day"]))]
+    return out[np.append(out["day"][1:] != out["day"][:-1], True)[: len(out)]]
+
+
+def _same(a: np.ndarray, b: np.ndarray, columns: tuple[str, ...]) -> np.ndarray:
+    """Where two tables of days agree."""
+    return np.logical_and.reduce([(a[c] == b[c]) | ((a[c] != a[c]) & (b[c] != b[c])) for c in columns])
+
+
+def _events(days: np.ndarray) -> np.ndarray:
+    """What each day of a whole history gives: all alerts so far less those up to the last day that was not reached are the ones outstanding."""
+    can = days["reached"] & days["can_send"]
+    so_far = np.cumsum(can)
+    out_now = so_far - np.maximum.accumulate(np.where(days["reached"], 0, so_far))
+    before = np.append(0, out_now[:-1])[: len(days)] > 0
+    return np.where(can & (out_now == 1), 1, np.where(~days["reached"] & before, 2, 0)).astype(np.uint8)
 
 
 class AlertDays(StatefulProcessor):
@@ -41,39 +63,29 @@ class AlertDays(StatefulProcessor):
         self.years = handle.getMapState("years", "year int", "days binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows)).sort_values("arrived", kind="stable")
-        seen = {d: (close, level, bool(reached), bool(can_send)) for d, close, level, reached, can_send in zip(*(given[c] for c in ("trade_date", "close", "level", "reached", "can_send")), strict=True)}
-        known: dict = {}
-        for _, held in self.years.iterator():
-            known.update(_unpacked(bytes(held[0])))
-        changed = {day: row for day, row in seen.items() if day not in known or known[day][:4] != row}
-        out = list(self._judged(key, known, changed)) if changed else []
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    def _judged(self, key: Any, known: dict, changed: dict) -> Iterator[tuple]:
-        first, outstanding, touched = min(changed), False, {}
-        for day in sorted(known.keys() | changed.keys()):
-            old = known.get(day, (None,) * 5)
-            event = old[4]
-            if day >= first:
-                row = changed.get(day, old[:4])
-                _, _, reached, can_send = row
-                event = "send" if reached and can_send and not outstanding else "rearm" if outstanding and not reached else None
-                gave, gives = (*old[:2], old[4]), (*row[:2], event)
-                if gave != gives:
-                    if gave[2]:
-                        yield (*key, day, *gave, -1)
-                    if event:
-                        yield (*key, day, *gives, 1)
-                if day in changed or gave != gives:
-                    touched[day] = (*row, event)
-            outstanding = event == "send" or (outstanding and event is None)
-        years = {day.year: {} for day in touched}
-        for day, row in (known | touched).items():
-            if day.year in years:
-                years[day.year][day] = row
-        for year, days in years.items():
-            self.years.updateValue((year,), (_packed(days),))
+        given = _days(pd.concat(list(rows)))
+        known = [np.zeros(0, _DAY), *[np.frombuffer(bytes(held[0]), _DAY) for _, held in self.years.iterator()]]
+        known = np.sort(np.concatenate(known), order="day")
+        # Every day that is known or given, once: as it was and as it is.
+        day = np.union1d(known["day"], given["day"])
+        was, now = np.zeros(len(day), _DAY), np.zeros(len(day), _DAY)
+        had, came = np.isin(day, known["day"]), np.isin(day, given["day"])
+        was[had], now[had] = known, known
+        now[came] = given
+        now["event"] = _events(now)
+        gave = had & _same(was, now, ("close", "level", "event"))
+        changed = ~(had & _same(was, now, ("close", "level", "reached", "can_send", "event")))
+        lines = [x for x in ((was, -1, np.flatnonzero(~gave & (was["event"] > 0))), (now, 1, np.flatnonzero(~gave & (now["event"] > 0))))]
+        at, side = np.concatenate([x[2] for x in lines]), np.repeat([0, 1], [len(x[2]) for x in lines])
+        order = np.lexsort((side, at))
+        picked = np.concatenate([x[0][x[2]] for x in lines])[order]
+        yield pd.DataFrame({
+            "target_id": key[0], "side": key[1], "trade_date": [date.fromordinal(d) for d in picked["day"].tolist()], "close": picked["close"], "level": picked["level"],
+            "event": [_EVENTS[e] for e in picked["event"].tolist()], "change": np.array([-1, 1], np.int32)[side[order]],
+        })
+        years = (now["day"] - _EPOCH).astype("datetime64[D]").astype("datetime64[Y]").astype(np.int64) + 1970
+        for year in np.unique(years[changed]).tolist():
+            self.years.updateValue((year,), (now[years == year].tobytes(),))
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 import contextlib
 import datetime as dt
 import io
+import sys
 
 import pandas as pd
 
@@ -52,6 +53,24 @@ def test_alert_state_is_written_once_a_year_not_a_day():
     assert handle.writes == 3 and [(r.trade_date, r.event, r.change) for r in out.itertuples()] == [(D, "send", -1), (D + dt.timedelta(1), "send", 1)]
 
 
+def test_alert_days_are_judged_without_a_call_a_day():
+    def calls(n):
+        frame = pd.DataFrame([(D + dt.timedelta(i), 5.0, 4.0, False, True, 0) for i in range(n)], columns=["trade_date", "close", "level", "reached", "can_send", "arrived"])
+        handle, side, seen = Handle(), AlertDays(), []
+        side.init(handle)
+        for part in (frame, frame.assign(close=6.0)):
+            sys.setprofile(lambda _, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+            try:
+                list(side.handleInputRows((1, "buy"), iter([part]), None))
+            finally:
+                sys.setprofile(None)
+        assert sum(len(held[0]) for held in handle.held.values()) > 20 * n
+        return len(seen)
+
+    calls(10)  # what is imported and cached on first use
+    assert calls(3600) < 2 * calls(36)
+
+
 def test_alerts_take_one_order_of_the_days(spark):
     days = [(1, "buy", D + dt.timedelta(i), float(i), 1.0, r, c) for i, (r, c) in enumerate([(True, False), (True, True), (True, True), (None, True), (False, True), (True, True)])]
     got = Tg.alerts(spark.createDataFrame(days, "target_id long, side string, trade_date date, close double, level double, reached boolean, can_send boolean"))
